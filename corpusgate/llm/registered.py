@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgate.llm import leakage, mixing, quantiles, topn
+from corpusgate.llm import credentials, leakage, mixing, quantiles, topn
 from corpusgate.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,15 @@ def p3_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.most_complex_facts(read_table(spark, sf_dir, "policy_facts"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.credential_strings(read_table(spark, sf_dir, "macros"), read_table(spark, sf_dir, "tooling_gates"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strings = credentials.command_strings(read_table(spark, sf_dir, "macros"), read_table(spark, sf_dir, "tooling_gates"))
+    return credentials.redacted(strings, credentials.KEYS, "text")
+
+
 def p5_language_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.language_percentiles(read_table(spark, sf_dir, "policy_facts"))
 
@@ -50,7 +59,7 @@ def p7_mix_exact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p3_found, p3_ranked, p5_language_percentiles, p6_found, p6_spans, p6_item_report, p7_mixed_documents, p7_mix_report, p7_mix_exact_report)
+    for f in (p3_found, p3_ranked, p4_found, p4_redacted, p5_language_percentiles, p6_found, p6_spans, p6_item_report, p7_mixed_documents, p7_mix_report, p7_mix_exact_report)
 }
 
 _RANKED = """
