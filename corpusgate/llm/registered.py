@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgate.llm import credentials, leakage, mixing, quantiles, topn
+from corpusgate.llm import credentials, docpairs, leakage, mixing, quantiles, topn
 from corpusgate.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.documented_symbols(read_table(spark, sf_dir, "source_files"))
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.documented_pairs(read_table(spark, sf_dir, "source_files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.most_complex_facts(read_table(spark, sf_dir, "policy_facts")).select("file_path", "fact_id")
 
@@ -59,7 +67,7 @@ def p7_mix_exact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p3_found, p3_ranked, p4_found, p4_redacted, p5_language_percentiles, p6_found, p6_spans, p6_item_report, p7_mixed_documents, p7_mix_report, p7_mix_exact_report)
+    for f in (p1_found, p1_pairs, p3_found, p3_ranked, p4_found, p4_redacted, p5_language_percentiles, p6_found, p6_spans, p6_item_report, p7_mixed_documents, p7_mix_report, p7_mix_exact_report)
 }
 
 _RANKED = """
