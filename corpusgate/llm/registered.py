@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgate.llm import credentials, docpairs, leakage, mixing, quantiles, topn
+from corpusgate.llm import credentials, docpairs, leakage, mixing, pii, quantiles, topn
 from corpusgate.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,9 +65,17 @@ def p7_mix_exact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"), "exact")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_lines(read_table(spark, sf_dir, "documents"))
+
+
+def p8_anonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymised(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p3_found, p3_ranked, p4_found, p4_redacted, p5_language_percentiles, p6_found, p6_spans, p6_item_report, p7_mixed_documents, p7_mix_report, p7_mix_exact_report)
+    for f in (p1_found, p1_pairs, p3_found, p3_ranked, p4_found, p4_redacted, p5_language_percentiles, p6_found, p6_spans, p6_item_report, p7_mixed_documents, p7_mix_report, p7_mix_exact_report, p8_found, p8_anonymised)
 }
 
 _RANKED = """
