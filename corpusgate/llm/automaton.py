@@ -76,12 +76,6 @@ def many(part: Part, least: int = 0) -> Part:
     return Part(build)
 
 
-def up_to(part: Part, most: int) -> Part:
-    out = maybe(part)
-    for _ in range(most - 1):
-        inner = out
-        out = maybe(part + inner)
-    return out
 
 
 class _Machine:
@@ -170,14 +164,16 @@ class Automaton:
         classes, table, opened, closed, names = self.classes, self.table, self.opened, self.closed, self.names
         coded = [classes[c] if c < 128 else classes[128] for c in map(ord, text)]
         first, n, i = table[1], len(text), 0
-        while i < n:
+        at_start = opened[1]
+        while i < n - 2:
+            # Most places are left again within three characters; no value is that short.
             s = first[coded[i]]
-            if not s:
+            if not s or not (s := table[s][coded[i + 1]]) or not table[s][coded[i + 2]]:
                 i += 1
                 continue
-            begun: dict[int, int] = dict.fromkeys(opened[1], i)
+            begun: dict[int, int] = dict.fromkeys(at_start, i)
             found: list[tuple[int, int, int]] = []
-            j = i
+            j, s = i, first[coded[i]]
             while s:
                 j += 1
                 for g in opened[s]:
@@ -187,6 +183,9 @@ class Automaton:
                 if j == n:
                     break
                 s = table[s][coded[j]]
+            if not found:
+                i += 1
+                continue
             after = None
             # The value's own longest end first; a rejected one gives way to another grammar at this place.
             tried = set()

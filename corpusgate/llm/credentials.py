@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgate.llm.automaton import ALNUM, DIGITS, LETTERS, Automaton, Part, but, chars, many, maybe, one_of, up_to, word, words
+from corpusgate.llm.automaton import ALNUM, DIGITS, Automaton, Part, but, chars, many, maybe, one_of, word, words
+from corpusgate.session import materialize
 
 #: Characters of a chunk, and of the stretch that it shares with the next one.
 CHUNK = 200_000
@@ -70,7 +71,7 @@ def grammars() -> list[tuple[str, Part, Part]]:
     command = lambda *parts: sum_of(*parts)
     return [
         ("private_key", Part(lambda m, s: s), armor),
-        ("url_login", many(chars(LETTERS + "+"), 2) + word("://") + many(but(" \t\r\n'\"`/:@?#")) + word(":"), many(but(" \t\r\n'\"`/@"), 3) + word("@")),
+        ("url_login", word("://") + many(but(" \t\r\n'\"`/:@?#")) + word(":"), many(but(" \t\r\n'\"`/@"), 3) + word("@")),
         ("webhook", words("hooks.slack.", "hooks.", "discord.com/api/webhooks/") + many(but(" \t\r\n'\"`?")) + word("/"), many(chars(ALNUM + "_-"), 20)),
         ("parameter", chars("?&") + words(*SECRET_PARAMETERS) + word("="), many(but(" \t\r\n'\"`&#<>{}$"), 8)),
         ("assigned", name + closed + sign + escaped + word("'"), many(_SQ, 3)),
@@ -208,7 +209,7 @@ def credential_spans(strings: DataFrame, keys: list[str], text: str, chunk: int
             yield pd.DataFrame(rows, columns=[*keys, "kind", "start", "end", "cut"])
 
     some = strings.where(F.length(text) > 0).select(*keys, text)
-    found = chunked(some, keys, text, chunk, overlap).mapInPandas(scan, schema).distinct()
+    found = materialize(chunked(some, keys, text, chunk, overlap).mapInPandas(scan, schema).distinct(), "spans")
     longer = some.where(F.length(text) > chunk)
     # Strings of more than one chunk only: those with a match up to a chunk's end are scanned whole.
     again = longer.join(found.where("cut").select(*keys).distinct(), keys, "left_semi")
