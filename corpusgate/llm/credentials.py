@@ -86,12 +86,12 @@ def grammars() -> list[tuple[str, Part, Part]]:
         ("configured", words("secret_access_key", "secretaccesskey", "auth_token", "authtoken", "_password") + _GAP, bare_start + many(_BARE, 7)),
         ("header", words("authorization") + closed + many(_SPACE) + chars(":=") + many(_SPACE) + closed + words("bearer", "basic", "token", "apikey") + many(_SPACE, 1), many(chars(ALNUM + "+/=_-.~"), 6)),
         ("encoded_login", word('"auth') + escaped + word('"') + many(_SPACE) + word(":") + many(_SPACE) + word('"'), many(_B64, 8)),
-        ("command", command(words("sshpass"), _GAP, word("-p"), many(_SPACE), maybe(chars("'\""))), many(but(" \t\r\n'\""), 3)),
-        ("command", command(words("docker", "podman", "helm", "oras", "crane"), _GAP, maybe(words("registry", "auth") + _GAP), words("login"), many(one_of(but("|;&\n"), word("\\\n"))), _SPACE, words("-p", any_case=False), many(_SPACE, 1), maybe(chars("'\""))), many(but(" \t\r\n'\"|;&"), 3)),
+        ("command", command(words("sshpass"), _GAP, word("-p"), maybe(_GAP), maybe(chars("'\""))), many(but(" \t\r\n'\""), 3)),
+        ("command", command(words("docker", "podman", "helm", "oras", "crane"), _GAP, maybe(words("registry", "auth") + _GAP), words("login"), many(one_of(but("|;&\n"), word("\\\n"))), _SPACE, words("-p", any_case=False), _GAP, maybe(chars("'\""))), many(but(" \t\r\n'\"|;&"), 3)),
         ("command", command(words("mysql", "mysqldump", "mysqladmin", "mariadb"), many(one_of(but("|;&\n"), word("\\\n"))), _SPACE, word("-p"), maybe(chars("'\""))), many(but(" \t\r\n'\"|;&"), 3)),
-        ("command", command(words("redis-cli"), many(one_of(but("|;&\n"), word("\\\n"))), _SPACE, word("-a"), many(_SPACE, 1), maybe(chars("'\""))), many(but(" \t\r\n'\"|;&"), 3)),
-        ("command", command(words("curl", "wget", "http"), many(one_of(but("|;&\n"), word("\\\n"))), _SPACE, words("-u", "--user", any_case=False), one_of(many(_SPACE, 1), word("=")), maybe(chars("'\"")), many(but(" \t\r\n'\":"), 1), word(":")), many(but(" \t\r\n'\"|;&"), 3)),
-        ("command", command(words("openssl"), many(one_of(but("|;&\n"), word("\\\n"))), _SPACE, words("-K", "-k", any_case=False), many(_SPACE, 1)), many(chars(ALNUM), 8)),
+        ("command", command(words("redis-cli"), many(one_of(but("|;&\n"), word("\\\n"))), _SPACE, word("-a"), _GAP, maybe(chars("'\""))), many(but(" \t\r\n'\"|;&"), 3)),
+        ("command", command(words("curl", "wget", "http"), many(one_of(but("|;&\n"), word("\\\n"))), _SPACE, words("-u", "--user", any_case=False), one_of(_GAP, word("=")), maybe(chars("'\"")), many(but(" \t\r\n'\":"), 1), word(":")), many(but(" \t\r\n'\"|;&"), 3)),
+        ("command", command(words("openssl"), many(one_of(but("|;&\n"), word("\\\n"))), _SPACE, words("-K", "-k", any_case=False), _GAP), many(chars(ALNUM), 8)),
         ("command", command(words("openssl"), many(one_of(but("|;&\n"), word("\\\n")), 1), words("pass:", any_case=False)), many(but(" \t\r\n'\"|;&"), 3)),
         ("piped", words("echo", "printf") + _GAP + maybe(words("-n", "-e", any_case=False) + _GAP) + word("'"), many(_SQ, 3) + _PIPED_END),
         ("piped", words("echo", "printf") + _GAP + maybe(words("-n", "-e", any_case=False) + _GAP) + word('"'), many(_DQ, 3) + _PIPED_END),
@@ -107,7 +107,7 @@ def sum_of(*parts: Part) -> Part:
 
 
 # What follows a secret that is piped into a login; cut off again by ``accepted``.
-_PIPED_END = chars("'\"") + many(_SPACE) + word("|") + many(but("|;&\n")) + words("--password-stdin", "--with-token", "--stdin", any_case=False)
+_PIPED_END = chars("'\"") + maybe(_GAP) + word("|") + many(one_of(but("|;&\n"), word("\\\n"))) + words("--password-stdin", "--with-token", "--stdin", any_case=False)
 
 _REFERENCE = re.compile(
     r"^\$[\w{(]|\$\{|\$\(|\{\{|\}\}|^%\w+%$|^<[^>]*>$|^[*xX•.#_-]+$|^\[[^\]]*\]$|^@|^(?:\./|\.\./|~/|/)[\w./~-]*$|^file:|^env:|^vault:|secrets?\.[A-Z_a-z]|process\.env|os\.environ"
@@ -124,7 +124,7 @@ def accepted(kind: str, text: str, at: int, start: int, end: int) -> int | None:
         body = re.sub(r"-----[^-]*-----|\\n|\s", "", value)
         return end if len(body) >= 40 else None
     if kind == "piped":
-        end = start + re.search(r"['\"]\s*\|[^|]*$", value).start()
+        end = start + re.search(r"['\"][\s\\]*\|[^|]*$", value).start()
         value = text[start:end].removesuffix("\\n")
     elif kind == "url_login":
         end -= 1
