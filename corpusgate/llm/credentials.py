@@ -153,17 +153,20 @@ def accepted(kind: str, text: str, at: int, start: int, end: int) -> int | None:
     elif kind in ("option", "configured"):
         if re.search(r"(?i)-key$", text[at:start].rstrip(" ='\"\\\n\t")) and not _looks_random(value):
             return None
-    if not value.strip() or _REFERENCE.search(value) or _STAND_IN.search(value):
+    if not value.strip() or _STAND_IN.search(value):
+        return None
+    # Base64 may begin like a path, but no path mixes all kinds of characters at such a length.
+    if _REFERENCE.search(value) and not (value[0] == "/" and len(value) >= 24 and "." not in value and _looks_random(value, 3)):
         return None
     if kind == "header" and not _looks_random(value) and not re.search(r"(?i)basic\s", text[at:start]):
         return None
     return end
 
 
-def _looks_random(value: str) -> bool:
-    """Eight or more characters of at least two kinds, as in generated keys."""
+def _looks_random(value: str, least: int = 2) -> bool:
+    """Eight or more characters of at least ``least`` kinds, as in generated keys."""
     kinds = (any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value))
-    return len(value) >= 8 and sum(kinds) >= 2
+    return len(value) >= 8 and sum(kinds) >= least
 
 
 @lru_cache(maxsize=1)
