@@ -32,11 +32,12 @@ def source_symbols(files: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from corpusgate.llm import sourcecode as S
+        from corpusgate.sources.sourcecode import symbols_of
 
         for pdf in batches:
             rows = []
             for rel, content in zip(pdf["rel"], pdf["content"]):
-                for s in S.symbols_of(rel, content):
+                for s in symbols_of(rel, content):
                     text = S.described(s.doc)
                     rows.append((rel, s.name, s.kind, s.owner, list(s.bases), s.line, s.end_line, s.code, text, S.telling_words(text, s.name) >= 5))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SYMBOL.split(", ")])

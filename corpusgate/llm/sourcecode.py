@@ -1,279 +1,11 @@
-"""Functions and methods of one source file with the comment that documents them.
+"""What the documentation of a symbol says, and whether it says anything.
 
-Python files are read with the standard ``ast``; Go, TypeScript and JavaScript files by masking
-strings and comments, so that plain patterns and brace pairs find the declarations. What cannot
-be parsed gives what was found up to there, never an error.
+The symbols themselves, with their leading comments, come from ``corpusgate.sources.sourcecode``.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-from bisect import bisect_right
-from typing import NamedTuple
-
-LANGUAGES = {".go": "go", ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript"}
-
-
-class Symbol(NamedTuple):
-    name: str
-    kind: str
-    owner: str | None
-    bases: tuple[str, ...]
-    line: int
-    end_line: int
-    code: str
-    doc: str
-
-
-def language_of(path: str | None) -> str | None:
-    dot = (path or "").rfind(".")
-    return LANGUAGES.get(path[dot:].lower()) if dot >= 0 else None
-
-
-def symbols_of(path: str | None, content: str | None) -> list[Symbol]:
-    """Every named function and method of a file of the known languages, also nested ones, in line order."""
-    language = language_of(path)
-    if language is None or not content:
-        return []
-    text = content.removeprefix("﻿")
-    if language == "python":
-        return _python(text)
-    masked, comments = _masked(text, language)
-    return (_go if language == "go" else _script)(text, masked, comments)
-
-
-# Python
-
-
-def _python(text: str) -> list[Symbol]:
-    # ``\f`` and the like do not end a line here, as in the line numbers of ``ast``.
-    try:
-        tree = ast.parse(text.replace("\r\n", "\n"))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return _python_lines(text)
-    lines = text.replace("\r\n", "\n").split("\n")
-    out, todo = [], [(tree, None, ())]
-    while todo:
-        node, owner, bases = todo.pop()
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                code = "\n".join(lines[child.lineno - 1 : child.end_lineno])
-                out.append(Symbol(child.name, "method" if owner else "function", owner, bases, child.lineno, child.end_lineno, code, ast.get_docstring(child) or ""))
-                todo.append((child, None, ()))
-            elif isinstance(child, ast.ClassDef):
-                todo.append((child, child.name, tuple(b.attr if isinstance(b, ast.Attribute) else getattr(b, "id", "") for b in child.bases)))
-            elif isinstance(child, (ast.stmt, ast.ExceptHandler, ast.match_case)):
-                todo.append((child, owner, bases))
-    return sorted(out, key=lambda s: s.line)
-
-
-_DEF = re.compile(r"(?m)^([ \t]*)(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*(?:\[[^\]]*\])?\(")
-_DOCSTRING = re.compile(r'[ \t\r\n]*(?:#[^\n]*\n[ \t\r\n]*)*([rRuU]?)("""|\'\'\'|"|\')')
-
-
-def _python_lines(text: str) -> list[Symbol]:
-    """Definitions by line, for a file that does not parse; strings are masked first."""
-    masked, _ = _masked(text, "python")
-    out = []
-    for m in _DEF.finditer(masked):
-        i, depth = m.end(), 1
-        while i < len(masked) and depth:
-            depth += masked[i] in "([{"
-            depth -= masked[i] in ")]}"
-            i += 1
-        colon = re.compile(r"[^\n:]*:").match(masked, i)
-        if not colon:
-            continue
-        doc, rest = "", _DOCSTRING.match(text, colon.end())
-        if rest:
-            close = text.find(rest.group(2), rest.end())
-            doc = text[rest.end() : close] if close >= 0 else ""
-        line = text.count("\n", 0, m.start()) + 1
-        deeper = re.compile(rf"(?m)^(?![ \t]*$)(?!{m.group(1)}[ \t])")
-        stop = deeper.search(masked, masked.find("\n", colon.end()) + 1 or len(masked))
-        end = stop.start() if stop else len(text)
-        code = text[m.start() : end].rstrip()
-        out.append(Symbol(m.group(2), "method" if m.group(1) else "function", None, (), line, line + code.count("\n"), code, doc))
-    return out
-
-
-# Go, TypeScript, JavaScript
-
-_TOKEN = {
-    "go": re.compile(r"(//[^\n]*|/\*.*?(?:\*/|\Z))|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'", re.S),
-    "script": re.compile(
-        r"(//[^\n]*|/\*.*?(?:\*/|\Z))|`(?:\\.|\$\{[^{}`]*\}|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
-        r"|(?<=[=(,:\[!&|?;{}])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*",
-        re.S,
-    ),
-    "python": re.compile(r"(#[^\n]*)|\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S),
-}
-_INK = re.compile(r"[^\n]")
-
-
-class Comment(NamedTuple):
-    start: int
-    end: int
-
-
-def _masked(text: str, language: str) -> tuple[str, list[Comment]]:
-    """The text with strings and comments blanked at equal length, and the comments' places."""
-    out, last, comments = [], 0, []
-    for m in _TOKEN.get(language, _TOKEN["script"]).finditer(text):
-        out += [text[last : m.start()], _INK.sub(" ", m.group())]
-        last = m.end()
-        if m.group(1) is not None:
-            comments.append(Comment(m.start(), m.end()))
-    return "".join([*out, text[last:]]), comments
-
-
-class _Places:
-    """Line numbers, brace pairs and leading comments of one file."""
-
-    def __init__(self, text: str, masked: str, comments: list[Comment]) -> None:
-        self.text, self.masked, self.comments = text, masked, comments
-        self.breaks = [m.start() for m in re.finditer("\n", text)]
-        self.comment_ends = [c.end for c in comments]
-        self.close: dict[int, int] = {}
-        self.at: list[int] = []
-        self.inner: list[int] = []
-        stack: list[int] = []
-        for m in re.finditer("[{}]", masked):
-            if m.group() == "{":
-                stack.append(m.start())
-            elif stack:
-                self.close[stack.pop()] = m.start()
-            self.at.append(m.start())
-            self.inner.append(stack[-1] if stack else -1)
-
-    def line(self, place: int) -> int:
-        return bisect_right(self.breaks, place - 1) + 1
-
-    def open_brace(self, place: int) -> int:
-        """Place of the innermost brace that is open at ``place``; -1 if there is none."""
-        i = bisect_right(self.at, place - 1) - 1
-        return self.inner[i] if i >= 0 else -1
-
-    def closing(self, masked_open: int, opening: str, closing: str) -> int:
-        depth = 0
-        for m in re.compile(f"[{re.escape(opening + closing)}]").finditer(self.masked, masked_open):
-            depth += 1 if m.group() == opening else -1
-            if not depth:
-                return m.start()
-        return -1
-
-    def attached(self, start: int, breaks: int) -> str:
-        """The comments above ``start`` with at most ``breaks`` line breaks in each gap; none that follows code on its line."""
-        out, expected = [], start
-        i = bisect_right(self.comment_ends, start) - 1
-        while i >= 0:
-            c = self.comments[i]
-            gap = self.text[c.end : expected]
-            if gap.strip() or gap.count("\n") > breaks:
-                break
-            head = self.text.rfind("\n", 0, c.start) + 1
-            if self.masked[head : c.start].strip("﻿ \t\r"):
-                break
-            out.append(self.text[c.start : c.end])
-            expected = c.start
-            i -= 1
-        return "\n".join(reversed(out))
-
-    def body(self, after: int) -> int:
-        """End of the declaration whose signature ends before ``after``: its brace pair, or its line."""
-        m = re.compile(r"[^{;\n]*(\{)").match(self.masked, after)
-        while m and re.search(r"\b(?:interface|struct)\s*$", self.masked[: m.start(1)][-20:]) and m.start(1) in self.close:
-            m = re.compile(r"[^{;\n]*(\{)").match(self.masked, self.close[m.start(1)] + 1)
-        if m and m.start(1) in self.close:
-            return self.close[m.start(1)] + 1
-        stop = self.text.find("\n", after)
-        return len(self.text) if stop < 0 else stop
-
-
-_GO_FUNC = re.compile(r"(?m)^func[ \t]*(?:\(([^()]*)\)[ \t]*)?([^\W\d]\w*)[ \t]*(\[[^\]]*\][ \t]*)?\(")
-
-
-def _go(text: str, masked: str, comments: list[Comment]) -> list[Symbol]:
-    at = _Places(text, masked, comments)
-    out = []
-    for m in _GO_FUNC.finditer(masked):
-        if at.open_brace(m.start()) >= 0:
-            continue
-        params_end = at.closing(m.end() - 1, "(", ")")
-        after = params_end + 1 if params_end > 0 else m.end()
-        # A result list may hold function types, but no brace of the body stands before it.
-        end = at.body(after)
-        owner = re.sub(r"\[.*|[*\s]", "", m.group(1).split()[-1]) if (m.group(1) or "").strip() else None
-        out.append(Symbol(m.group(2), "method" if m.group(1) is not None else "function", owner, (), at.line(m.start()), at.line(max(m.start(), end - 1)), text[m.start() : end], at.attached(m.start(), 1)))
-    return out
-
-
-_ID = r"[^\W\d][\w$]*|\$[\w$]*"
-_FUNCTION = re.compile(rf"(?<![\w$.])(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\b\s*\*?\s*({_ID})\s*(?:<[^>(]*>)?\s*(\()")
-_VARIABLE = re.compile(
-    rf"(?<![\w$.])(?:export[ \t]+)?(?:const|let|var)\s+({_ID})\s*(?::[^=;\n]+)?=\s*(?:async\b\s*)?"
-    rf"(?:function\b\s*\*?\s*(?:{_ID})?\s*(?:<[^>(]*>)?\s*(\()|(?:<[^>(]*>\s*)?(\()|({_ID})\s*=>)"
-)
-_ARROW = re.compile(r"\s*(?::(?:[^={;]|=(?!>)|\{[^{}]*\})+?)?\s*=>")
-_CLASS = re.compile(rf"(?<![\w$.])class\s+({_ID})(?:\s*<[^{{]*?>)?(?:\s+extends\s+([\w$.]+)[^{{]*?)?(?:\s+implements\s+([^{{]+?))?\s*(\{{)")
-_METHOD = re.compile(rf"(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set|declare|accessor)\s+)*\*?\s*(#?(?:{_ID}))\s*\??\s*(?:<[^>({{]*>)?\s*(\()")
-_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "function", "super", "await", "typeof", "new", "do", "else", "with", "throw", "yield", "import"}
-
-
-def _script(text: str, masked: str, comments: list[Comment]) -> list[Symbol]:
-    at = _Places(text, masked, comments)
-    out = []
-
-    def add(name: str, kind: str, owner: str | None, bases: tuple[str, ...], start: int, end: int) -> None:
-        out.append(Symbol(name, kind, owner, bases, at.line(start), at.line(max(start, end - 1)), text[start:end], at.attached(start, 1)))
-
-    for m in _FUNCTION.finditer(masked):
-        close = at.closing(m.start(2), "(", ")")
-        add(m.group(1), "function", None, (), m.start(), at.body(close + 1 if close > 0 else m.end()))
-    for m in _VARIABLE.finditer(masked):
-        after = m.end()
-        if not m.group(4):
-            group = 2 if m.group(2) else 3
-            close = at.closing(m.start(group), "(", ")")
-            after = close + 1
-            if close < 0 or (group == 3 and not (arrow := _ARROW.match(masked, after))):
-                continue
-            if group == 3:
-                after = arrow.end()
-        add(m.group(1), "function", None, (), m.start(), at.body(after))
-    for c in _CLASS.finditer(masked):
-        opened = c.start(4)
-        closed = at.close.get(opened, len(masked))
-        bases = tuple(x.split(".")[-1] for x in [c.group(2) or "", *[re.sub(r"<.*", "", b).strip() for b in (c.group(3) or "").split(",")]] if x)
-        # Members begin behind the class's brace, a member's closing brace or a semicolon.
-        place = opened + 1
-        while place < closed:
-            while place < closed and (masked[place].isspace() or masked[place] == ";"):
-                place += 1
-            m = _METHOD.match(masked, place, closed)
-            if m and m.group(1) not in _NOT_NAMES:
-                close = at.closing(m.start(2), "(", ")")
-                end = at.body(close + 1) if close > 0 else closed
-                if close > 0 and re.compile(r"[^;{]*\{").match(masked, close + 1, closed):
-                    named = c.group(1) if m.group(1) == "constructor" else m.group(1)
-                    add(named, "method", c.group(1), bases, place, end)
-                place = max(end, place + 1)
-                continue
-            # Some other member, or a decorator's line: go behind it.
-            stop = re.compile(r"[{;\n]").search(masked, place, closed)
-            if not stop:
-                break
-            place = at.close.get(stop.start(), stop.start()) + 1
-    seen, once = set(), []
-    for s in sorted(out, key=lambda s: (s.line, s.kind == "function")):
-        if (s.name, s.line) not in seen:
-            seen.add((s.name, s.line))
-            once.append(s)
-    return once
-
-
-# Documentation
 
 # Words that say nothing by themselves.
 SMALL_WORDS = frozenset(
