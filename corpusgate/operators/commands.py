@@ -16,7 +16,7 @@ def simple_commands(strings: DataFrame, keys: list[str], text: str) -> DataFrame
     Separators inside quotes are not looked at, as in the reference's chains; blank parts are left out.
     """
     joined = F.regexp_replace(text, r"\\\r?\n\s*", "")
-    parts = F.filter(F.transform(F.split(joined, r"\s*&&\s*|;\s|\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(joined, r"\s*&&\s*|;\s|\n"), lambda x: F.trim(x)), lambda x: x != "")
     return strings.where(F.col(text).isNotNull()).select(*keys, F.posexplode(parts).alias("part", "command"))
 
 

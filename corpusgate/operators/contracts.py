@@ -82,13 +82,13 @@ BENIGN = ("example", "placeholder", "your_", "_here", "dummy", "{{", "${", "$(",
 
 def keyword_lines(rows: DataFrame, keys: list[str], text: str, keywords: tuple[str, ...] = KEYWORDS, benign: tuple[str, ...] = BENIGN) -> DataFrame:
     """``keys, line_no, keyword, tier``: lines with a secret's keyword and no benign hint; tier HIGH where a value follows, else LOW."""
-    lines = rows.where(F.col(text).isNotNull()).select(*keys, F.posexplode(T.lines_of(F.lower(text))).alias("pos", "l"))
+    lines = rows.where(F.col(text).isNotNull()).select(*keys, F.posexplode(T.lines_of(F.lower(text))).alias("__pos", "l"))
     keyword = F.coalesce(*[F.when(F.col("l").contains(k), k) for k in keywords])
     harmless = F.lit(False)
     for b in benign:
         harmless = harmless | F.col("l").contains(b)
     valued = F.col("l").rlike(r"(?:" + "|".join(map(re.escape, keywords)) + r")\w*[\"']?\s*[:=]\s*[\"']?[^\s\"']{6,}")
-    found = lines.where(~harmless).select(*keys, (F.col("pos") + 1).alias("line_no"), keyword.alias("keyword"), F.when(valued, "HIGH").otherwise("LOW").alias("tier"))
+    found = lines.where(~harmless).select(*keys, (F.col("__pos") + 1).alias("line_no"), keyword.alias("keyword"), F.when(valued, "HIGH").otherwise("LOW").alias("tier"))
     return found.where("keyword IS NOT NULL")
 
 

@@ -36,7 +36,7 @@ def with_header(content: Column, rel: Column, language: str) -> Column:
     behind the shebang, which is added where there is none. The newline style is kept, and the
     text ends with a newline.
     """
-    newline = F.when(content.contains("\r\n"), "\r\n").otherwise("\n")
+    crlf = content.contains("\r\n")
     pieces = lines_of(F.replace(content, F.lit("\r\n"), F.lit("\n")))
     lines = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
     if language == "python":
@@ -57,7 +57,7 @@ def with_header(content: Column, rel: Column, language: str) -> Column:
         following = F.coalesce(F.get(body, at - 1), F.lit(""))
         gap = F.when(following.startswith("//"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
         out = F.concat(F.slice(body, F.lit(1), at - 1), F.array(F.concat(F.lit("// "), rel)), gap, _from(body, at))
-    return F.concat(F.array_join(out, newline), newline)
+    return F.when(crlf, F.concat(F.array_join(out, "\r\n"), F.lit("\r\n"))).otherwise(F.concat(F.array_join(out, "\n"), F.lit("\n")))
 
 
 def formatted(files: DataFrame, only: tuple[str, ...] = ("go", "python", "typescript")) -> DataFrame:

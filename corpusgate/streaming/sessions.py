@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OUTCOME = "session string, outcome string, reporter string, reports long"
-STATE = "seen array<string>, reports long, closed boolean"
+STATE = "seen array<string>, reports long, closed boolean, began long"
 
 
 def advance(seen: list[str], expected: list[str], reporter: str, status: str) -> str | None:
@@ -40,15 +40,15 @@ def session_outcomes(reports: DataFrame, expected: list[str], timeout_ms: int =
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in OUTCOME.split(", ")]
         if state.hasTimedOut:
-            _, reports_, closed = state.get
+            _, reports_, closed, _ = state.get
             state.remove()
             if not closed:
                 yield pd.DataFrame([(key[0], "timeout", None, reports_)], columns=columns)
             return
-        seen, reports_, closed = state.get if state.exists else ([], 0, False)
+        now = state.getCurrentProcessingTimeMs()
+        seen, reports_, closed, began = state.get if state.exists else ([], 0, False, now)
         seen, ended = list(seen), None
         rows = pd.concat(list(batches)).sort_values(["at", "reporter"])
-        fresh = not state.exists
         for reporter, status in zip(rows["reporter"], rows["status"]):
             if closed:
                 break
@@ -56,9 +56,9 @@ def session_outcomes(reports: DataFrame, expected: list[str], timeout_ms: int =
             outcome = advance(seen, wanted, reporter, status)
             if outcome:
                 closed, ended = True, (key[0], outcome, reporter, reports_)
-        state.update((seen, reports_, closed))
-        if fresh:
-            state.setTimeoutDuration(timeout_ms)
+        state.update((seen, reports_, closed, began))
+        # Every call clears the timer, so it is set again for what is left of it.
+        state.setTimeoutDuration(max(1, began + timeout_ms - now))
         if ended:
             yield pd.DataFrame([ended], columns=columns)
 
