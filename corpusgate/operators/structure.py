@@ -83,14 +83,19 @@ def missing_paths(configured: DataFrame, paths: DataFrame) -> DataFrame:
 
 def go_imports(files: DataFrame) -> DataFrame:
     """``rel, line, path`` of the imports of Go files, from single imports and import blocks."""
-    go = files.where(F.col("rel").endswith(".go")).select("rel", F.posexplode(lines_of(F.col("content"))).alias("pos", "text"), F.col("content"))
-    block = F.regexp_extract("content", r"(?s)^(.*?\nimport\s*\()", 1)
-    until = F.regexp_extract("content", r"(?s)^(.*?\nimport\s*\([^)]*\))", 1)
-    first, last = F.size(lines_of(block)), F.size(lines_of(until))
-    inside = (block != "") & (F.col("pos") >= first) & (F.col("pos") < last)
+    content = F.col("content")
+    block = F.regexp_extract(content, r"(?s)^(.*?\nimport\s*\()", 1)
+    until = F.regexp_extract(content, r"(?s)^(.*?\nimport\s*\([^)]*\))", 1)
+    # The block's lines are known before the file is cut into lines.
+    go = files.where(F.col("rel").endswith(".go")).select(
+        "rel", (block != "").alias("has"), F.size(lines_of(block)).alias("first"), F.size(lines_of(until)).alias("last"), lines_of(content).alias("lines")
+    )
+    rows = go.select("rel", "has", "first", "last", F.posexplode("lines").alias("pos", "text"))
+    inside = F.col("has") & (F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("last"))
     quoted = F.regexp_extract("text", r'^\s*(?:[\w.]+\s+)?"([^"]+)"', 1)
     single = F.regexp_extract("text", r'^import\s+(?:[\w.]+\s+)?"([^"]+)"', 1)
-    return go.select("rel", (F.col("pos") + 1).alias("line"), F.when(single != "", single).when(inside, quoted).otherwise(F.lit("")).alias("path")).where("path <> ''")
+    path = F.when(F.col("text").startswith("import"), single).when(inside, quoted).otherwise(F.lit(""))
+    return rows.select("rel", (F.col("pos") + 1).alias("line"), path.alias("path")).where("path <> ''")
 
 
 def upward_imports(imports: DataFrame) -> DataFrame:
