@@ -104,12 +104,18 @@ def dense_strings(rows: DataFrame, keys: list[str], text: str, least_length: int
 LANGUAGE_EXTENSIONS = {"go": [".go"], "python": [".py"], "typescript": [".ts", ".tsx"]}
 
 
+#: Most rules of a config table; the scopes that are broadcast are no more.
+MOST_RULES = 100_000
+
+
 def scope_matches(rules: DataFrame, files: DataFrame) -> DataFrame:
     """``language, file_glob, rel``: the files that each distinct scope of enabled rules covers.
 
     Rules share few scopes, so the pairs are (scope, file), not (rule, file); the scopes are a
     config table. An empty or ``any`` language covers all files, an unknown one is an extension.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} custom rules")
     scopes = rules.where("enabled").select(F.coalesce("language", F.lit("")).alias("language"), F.coalesce("file_glob", F.lit("")).alias("file_glob")).distinct()
     low = F.lower("language")
     wanted = F.when(low.isin("", "any"), F.lit(None)).otherwise(F.array(F.concat(F.lit("."), low)))
@@ -131,7 +137,7 @@ def needed_literal(pattern: str) -> str:
     return max(plain, key=len, default="").lower()
 
 
-def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = 100_000) -> DataFrame:
+def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = MOST_RULES) -> DataFrame:
     """``rel, line, rule_id, severity``: each line that matches an enabled rule in its scope, once per rule.
 
     One automaton over the literals that the patterns need picks the (line, rule) pairs to try, so

@@ -41,12 +41,16 @@ def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def not_stricter(base: DataFrame, over: DataFrame, group: str, value: str) -> DataFrame:
-    """``group, lacking``: groups of ``over`` that lack some value which every group must have (those of ``base``)."""
+    """``group, lacking``: groups of ``over`` that lack some value which every group must have (those of ``base``).
+
+    Groups and values must not be null.
+    """
     must = base.select(value).distinct()
-    have = over.select(group, value).distinct()
-    groups = over.select(group).distinct()
-    pairs = groups.join(F.broadcast(must))
-    return pairs.join(have, [group, value], "left_anti").groupBy(group).agg(F.count("*").alias("lacking"))
+    held = over.select(group, value).distinct().join(must, value, "left_semi").groupBy(group).agg(F.count("*").alias("__held"))
+    groups = over.select(group).distinct().join(held, group, "left")
+    wanted = must.agg(F.count("*").alias("__wanted"))
+    lacking = groups.join(F.broadcast(wanted)).select(group, (F.col("__wanted") - F.coalesce("__held", F.lit(0))).alias("lacking"))
+    return lacking.where("lacking > 0")
 
 
 def dependency_levels(edges: DataFrame, most: int = 200) -> DataFrame:
