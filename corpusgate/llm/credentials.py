@@ -194,7 +194,7 @@ def credential_spans(strings: DataFrame, keys: list[str], text: str, chunk: int
     """``keys, kind, start, end`` (characters from 0) of every credential of ``text``, once each.
 
     ``keys`` identify a string; rows repeated in keys and text count once. Null and empty strings
-    have none. Columns other than keys and text are ignored.
+    have none, and rows with a null key are left out. Columns other than keys and text are ignored.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in strings.select(*keys).schema) + ", kind string, start int, end int, cut boolean"
     spark = strings.sparkSession
@@ -211,7 +211,7 @@ def credential_spans(strings: DataFrame, keys: list[str], text: str, chunk: int
             ]
             yield pd.DataFrame(rows, columns=[*keys, "kind", "start", "end", "cut"])
 
-    some = strings.where(F.length(text) > 0).select(*keys, text)
+    some = strings.where(F.length(text) > 0).dropna(subset=keys).select(*keys, text)
     found = materialize(chunked(some, keys, text, chunk, overlap).mapInPandas(scan, schema).distinct(), "spans")
     longer = some.where(F.length(text) > chunk)
     # Strings of more than one chunk only: those with a match up to a chunk's end are scanned whole.
@@ -241,9 +241,9 @@ def spliced(text: Column, spans: Column) -> Column:
 def redacted(strings: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys, text, n_credentials``: each string with placeholders for its credentials; null stays null.
 
-    Rows repeated in keys and text give one row.
+    Rows repeated in keys and text give one row; rows with a null key are left out.
     """
-    once = strings.select(*keys, text).distinct()
+    once = strings.dropna(subset=keys).select(*keys, text).distinct()
     per_string = credential_spans(once, keys, text).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__spans"))
     return once.join(per_string, keys, "left").select(
         *keys, spliced(F.col(text), F.col("__spans")).alias(text), F.coalesce(F.size("__spans"), F.lit(0)).cast("long").alias("n_credentials")

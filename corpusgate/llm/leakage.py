@@ -116,7 +116,7 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[li
 
 def _each_block(documents: DataFrame, items: DataFrame, words: int, block_words: int, schema: str, found) -> DataFrame:
     spark = documents.sparkSession
-    texts = documents.select("doc_id", "text").where("text IS NOT NULL AND text <> ''")
+    texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     parts = []
     for block in item_blocks(items, block_words):
         sent = spark.sparkContext.broadcast(block)
@@ -148,7 +148,7 @@ READY: dict[str, Passages] = {}
 def leaked_items(documents: DataFrame, items: DataFrame, words: int = WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, item_id``, once each, where the document repeats ``words`` consecutive words of the item.
 
-    Null and empty texts and items of fewer words match nothing; a doc_id that occurs in several
+    Null and empty texts, rows without doc_id and items of fewer words match nothing; a doc_id that occurs in several
     rows matches if one of them does. No items or no documents give no rows.
     """
     hits = _each_block(documents, items, words, block_words, "doc_id long, item_id long", lambda p, t: [(i,) for i in sorted(p.items_in(t))])

@@ -49,7 +49,7 @@ def encoder(folder: str, vocabulary: str):
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, source, n_tokens`` of every row; null and empty texts have 0 tokens."""
+    """``doc_id, source, n_tokens`` of every row with a doc_id; null and empty texts have 0 tokens."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from corpusgate.llm.mixing import encoder
@@ -59,7 +59,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str
             n = [len(encode(t)) if t else 0 for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": pd.Series(n, dtype="int64")})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(count, "doc_id long, source string, n_tokens long")
+    return documents.where("doc_id IS NOT NULL").select("doc_id", "source", "text").mapInPandas(count, "doc_id long, source string, n_tokens long")
 
 
 @dataclass(frozen=True)

@@ -9,14 +9,14 @@ WORDS = [f"w{i}" for i in range(40)]
 
 def brute(docs, items, n):
     runs = lambda t: {tuple(w[i : i + n]) for w in [leakage.words_of(t or "")] for i in range(len(w) - n + 1)}
-    return sorted({(d, i) for d, t in docs for i, x in items if runs(t) & runs(x)})
+    return sorted({(d, i) for d, t in docs if d is not None for i, x in items if runs(t) & runs(x)})
 
 
 def test_leaks_equal_brute_force(spark):
     rnd = random.Random(3)
     text = lambda k: " ".join(rnd.choice(WORDS[:12]) for _ in range(k))
     items = [(i, "s", text(30)) for i in range(12)] + [(90, "s", "too short"), (91, "s", None)]
-    docs = [(i, text(60) + " " + rnd.choice(items[:12])[2].upper().replace(" ", ", ")[:200]) for i in range(40)] + [(100, None), (101, ""), (102, "   ")]
+    docs = [(i, text(60) + " " + rnd.choice(items[:12])[2].upper().replace(" ", ", ")[:200]) for i in range(40)] + [(100, None), (101, ""), (102, "   "), (None, items[0][2])]
     docs.append(docs[0])
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id long, suite string, item_text string")
