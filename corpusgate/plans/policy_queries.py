@@ -393,7 +393,15 @@ def paragraph_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return hygiene.paragraph_gaps(schema.facts(spark, sf))
 
 
-@registered()
+@registered(
+    f"""WITH {_FILES}, h AS (SELECT rel, regexp_extract(rel, '(\\.[^./]*)$', 1) AS ext, CASE WHEN rel LIKE '%.py' THEN '#' ELSE '//' END AS sign,
+  list_transform(CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END, lambda x: trim(x)) AS ls FROM (SELECT rel, list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, chr(13) || '$', '')) AS l FROM fl WHERE regexp_matches(rel, '\\.(go|ts|py)$'))),
+s AS (SELECT rel, ext, list_transform(ls, lambda x: CASE WHEN starts_with(x, sign) THEN trim(substr(x, length(sign) + 1)) END) AS said FROM h),
+o AS (SELECT *, coalesce(list_position(said[1:6], rel), 0) AS ok_at FROM s),
+d AS (SELECT *, coalesce(list_position(list_transform(said[ok_at + 1:], lambda x: coalesce(x = '', true)), true), 0) AS stop, len(said[ok_at + 1:]) AS rest FROM o)
+SELECT rel, CASE WHEN ok_at > 0 THEN 'ok' WHEN coalesce(list_bool_or(list_transform(said[1:6], lambda x: contains(x, '/') AND NOT contains(x, ' ') AND ends_with(x, ext))), false) THEN 'stale' ELSE 'missing' END AS status,
+CAST(CASE WHEN ok_at = 0 THEN 0 WHEN stop = 0 THEN rest ELSE stop - 1 END AS INTEGER) AS described FROM d"""
+)
 def header_status(spark: SparkSession, sf: str) -> DataFrame:
     return hygiene.header_status(schema.files(spark, sf))
 
@@ -485,7 +493,11 @@ def secret_keyword(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.keyword_lines(_strings(spark, sf), _KEYS, "text")
 
 
-@registered()
+@registered(
+    f"""WITH {_STRINGS}, u AS (SELECT DISTINCT src, id, field, pos, unnest(regexp_extract_all(text, '([A-Za-z0-9+/_=-]{{33,}})', 1)) AS value FROM st WHERE text IS NOT NULL),
+e AS (SELECT *, round(list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -(length(value) - length(replace(value, c, ''))) / length(value) * log2((length(value) - length(replace(value, c, ''))) / length(value)))), 6) AS bits FROM u)
+SELECT * FROM e WHERE bits >= 4.0"""
+)
 def secret_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.dense_strings(_strings(spark, sf), _KEYS, "text")
 
