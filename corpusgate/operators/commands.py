@@ -20,7 +20,7 @@ def simple_commands(strings: DataFrame, keys: list[str], text: str) -> DataFrame
     return strings.where(F.col(text).isNotNull()).select(*keys, F.posexplode(parts).alias("part", "command"))
 
 
-def command_kind(command: Column, macros: tuple[str, ...] = ("policycheck",)) -> Column:
+def command_kind(command: Column, macros: tuple[str, ...] = ("run-job",)) -> Column:
     """``macro`` before ``format`` (fmt headers) before ``package`` (a manager's installing word) before ``tool`` before ``passthrough``."""
     args = F.split(command, r"\s+")
     first, second = F.get(args, F.lit(0)), F.get(args, F.lit(1))

@@ -214,10 +214,10 @@ def path_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registered(
-    f"""WITH {_FACTS} SELECT file_path, count(*) AS n FROM f WHERE file_path = 'internal/policycheck' OR starts_with(file_path, 'internal/policycheck/') OR file_path = 'web' OR starts_with(file_path, 'web/') GROUP BY file_path"""
+    f"""WITH {_FACTS} SELECT file_path, count(*) AS n FROM f WHERE file_path = 'internal/utils' OR starts_with(file_path, 'internal/utils/') OR file_path = 'web' OR starts_with(file_path, 'web/') GROUP BY file_path"""
 )
 def path_prefix_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return schema.facts(spark, sf).where(P.under_any(F.col("file_path"), ["internal/policycheck", "web", ""])).groupBy("file_path").agg(F.count("*").alias("n"))
+    return schema.facts(spark, sf).where(P.under_any(F.col("file_path"), ["internal/utils", "web", ""])).groupBy("file_path").agg(F.count("*").alias("n"))
 
 
 _PATHS = f"paths AS (SELECT DISTINCT file_path AS rel FROM f WHERE file_path <> '' UNION SELECT rel FROM fl)"
@@ -237,10 +237,10 @@ test_location.__test__ = False
 
 @registered(
     f"""WITH {_FACTS}, {_FILES}, {_PATHS} SELECT DISTINCT string_split(rel, '/')[2] AS child FROM paths WHERE starts_with(rel, 'internal/') AND len(string_split(rel, '/')) > 2
-AND string_split(rel, '/')[2] NOT IN ('adapters', 'ports', 'router', 'app', 'policycheck', 'cliwrapper')"""
+AND string_split(rel, '/')[2] NOT IN ('adapters', 'ports', 'router', 'app', 'cliwrapper')"""
 )
 def allowed_children(spark: SparkSession, sf: str) -> DataFrame:
-    allowed = spark.createDataFrame([(c,) for c in ("adapters", "ports", "router", "app", "policycheck", "cliwrapper")], "child string")
+    allowed = spark.createDataFrame([(c,) for c in ("adapters", "ports", "router", "app", "cliwrapper")], "child string")
     return structure.unexpected_children(_paths(spark, sf), "internal", allowed)
 
 
@@ -302,19 +302,19 @@ def go_imports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # The given Go files import the standard library only, so the paths that documents of a source mention stand for imports of that source.
-_REFS = r"r AS (SELECT DISTINCT source || '/a.go' AS rel, 'corp.test/tool/' || d AS path FROM (SELECT 'internal/' || source AS source, unnest(regexp_extract_all(text, '(internal/(?:adapters|cliwrapper|policycheck|ports|router|app)/[a-z_]+)/', 1)) AS d FROM documents WHERE source IS NOT NULL))"
-_LAYERS = {"business": ["internal/review_threads", "internal/policycheck", "internal/cliwrapper"], "adapters": ["internal/commit_log", "internal/adapters"], "core": ["internal/design_notes", "internal/router"], "boot": ["internal/router/ext"]}
+_REFS = r"r AS (SELECT DISTINCT source || '/a.go' AS rel, 'corp.test/tool/' || d AS path FROM (SELECT 'internal/' || source AS source, unnest(regexp_extract_all(text, '(internal/(?:adapters|cliwrapper|utils|ports|router|app)/[a-z_]+)/', 1)) AS d FROM documents WHERE source IS NOT NULL))"
+_LAYERS = {"business": ["internal/review_threads", "internal/utils", "internal/cliwrapper"], "adapters": ["internal/commit_log", "internal/adapters"], "core": ["internal/design_notes", "internal/router"], "boot": ["internal/router/ext"]}
 
 
 @registered(
     f"""WITH {_REFS}, k AS (SELECT rel, path, rel = 'internal/review_threads/a.go' AS biz, rel = 'internal/commit_log/a.go' AS ad, rel = 'internal/design_notes/a.go' AS core,
-regexp_matches(path, '^corp.test/tool/internal/(policycheck|cliwrapper|review_threads)(/|$)') AS tb, regexp_matches(path, '^corp.test/tool/internal/(adapters|commit_log)(/|$)') AS ta FROM r),
+regexp_matches(path, '^corp.test/tool/internal/(utils|cliwrapper|review_threads)(/|$)') AS tb, regexp_matches(path, '^corp.test/tool/internal/(adapters|commit_log)(/|$)') AS ta FROM r),
 j AS (SELECT rel, path, 0 AS line, CASE WHEN biz AND starts_with(path, 'corp.test/tool/internal/adapters/') THEN 'forbidden path' WHEN biz AND NOT tb AND path NOT IN ('corp.test/tool/internal/ports/scope') THEN 'outside boundaries'
 WHEN ad AND tb THEN 'business package' WHEN ad AND ta THEN 'another adapter' WHEN core AND ta THEN 'core to adapter' WHEN core AND tb THEN 'core to business' END AS problem FROM k)
 SELECT * FROM j WHERE problem IS NOT NULL"""
 )
 def layer_violations(spark: SparkSession, sf: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all("text", F.lit(r"(internal/(?:adapters|cliwrapper|policycheck|ports|router|app)/[a-z_]+)/"), F.lit(1)))
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"(internal/(?:adapters|cliwrapper|utils|ports|router|app)/[a-z_]+)/"), F.lit(1)))
     docs = read_table(spark, sf, "documents").where("source IS NOT NULL AND text IS NOT NULL")
     refs = docs.select(F.concat(F.lit("internal/"), F.col("source"), F.lit("/a.go")).alias("rel"), found.alias("d")).distinct()
     imports = refs.select("rel", F.lit(0).alias("line"), F.concat(F.lit("corp.test/tool/"), F.col("d")).alias("path"))
@@ -589,7 +589,7 @@ def macro_lint(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _COMMANDS = f"""{_STRINGS}, cm AS (SELECT src, id, field, pos, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\\\\\\r?\\n\\s*', '', 'g'), '\\s*&&\\s*|;\\s|\\n'), lambda x: trim(x)), lambda x: x <> '')) AS command FROM st WHERE text IS NOT NULL)"""
-_KIND = """CASE WHEN a[1] = 'policycheck' THEN 'macro' WHEN a[1] = 'fmt' AND a[2] = 'headers' THEN 'format' WHEN (a[1] = 'go' AND a[2] IN ('get', 'install')) OR (a[1] = 'npm' AND a[2] IN ('install', 'i', 'add', 'ci')) OR (a[1] = 'pip' AND a[2] = 'install')
+_KIND = """CASE WHEN a[1] = 'run-job' THEN 'macro' WHEN a[1] = 'fmt' AND a[2] = 'headers' THEN 'format' WHEN (a[1] = 'go' AND a[2] IN ('get', 'install')) OR (a[1] = 'npm' AND a[2] IN ('install', 'i', 'add', 'ci')) OR (a[1] = 'pip' AND a[2] = 'install')
  OR (a[1] = 'uv' AND a[2] IN ('add', 'pip')) OR (a[1] IN ('pnpm', 'yarn') AND a[2] = 'add') THEN 'package'
  WHEN a[1] IN ('go', 'npm', 'npx', 'pip', 'uv', 'pytest', 'eslint', 'mypy', 'ruff', 'make', 'docker', 'gofumpt', 'golangci-lint', 'staticcheck') THEN 'tool' ELSE 'passthrough' END"""
 

@@ -30,7 +30,7 @@ def test_clean_path_equals_the_library(spark, values):
 
 
 def test_prefixes_respect_boundaries(spark):
-    got = apply(spark, ["internal/policycheck", "internal/policycheck/a", "internal/policychecker", ""], lambda c: P.under_any(c, ["internal/policycheck", ""]))
+    got = apply(spark, ["internal/engine", "internal/engine/a", "internal/engineer", ""], lambda c: P.under_any(c, ["internal/engine", ""]))
     assert got == [True, True, False, False]
     assert apply(spark, ["zz_a", "b"], lambda c: P.starts_with_any(c, ["zz"])) == [True, False]
 

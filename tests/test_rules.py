@@ -94,15 +94,15 @@ def test_packages(spark):
 def test_layers(spark):
     m = "m/internal"
     cases = [
-        ("internal/policycheck/logic.go", f"{m}/adapters/scanners", "forbidden path"), ("internal/adapters/config/adapter.go", f"{m}/adapters/scanners", "another adapter"),
+        ("internal/engine/logic.go", f"{m}/adapters/scanners", "forbidden path"), ("internal/adapters/config/adapter.go", f"{m}/adapters/scanners", "another adapter"),
         ("internal/adapters/corebridge/provider.go", f"{m}/cliwrapper", "business package"), ("internal/router/registry.go", f"{m}/adapters/config", "core to adapter"),
-        ("internal/router/extension.go", f"{m}/policycheck", "core to business"), ("internal/app/bootstrap.go", f"{m}/router/ext", None),
-        ("internal/policycheck/ext_exact.go", f"{m}/router/ext", "forbidden path"), ("internal/policycheck/tool.go", f"{m}/router/tools/x", "outside boundaries"),
-        ("internal/policycheck/ok.go", f"{m}/ports", None),
+        ("internal/router/extension.go", f"{m}/engine", "core to business"), ("internal/app/bootstrap.go", f"{m}/router/ext", None),
+        ("internal/engine/ext_exact.go", f"{m}/router/ext", "forbidden path"), ("internal/engine/tool.go", f"{m}/router/tools/x", "outside boundaries"),
+        ("internal/engine/ok.go", f"{m}/ports", None),
     ]
     imports = spark.createDataFrame([(r, 1, p) for r, p, _ in cases], "rel string, line int, path string")
     got = structure.layer_violations(
-        imports, "m", ["internal/policycheck", "internal/cliwrapper"], ["internal/adapters"], ["internal/router"], ["internal/router/ext"], [f"{m}/adapters", f"{m}/router/ext"],
+        imports, "m", ["internal/engine", "internal/cliwrapper"], ["internal/adapters"], ["internal/router"], ["internal/router/ext"], [f"{m}/adapters", f"{m}/router/ext"],
         [f"{m}/ports", f"{m}/router", f"{m}/router/capabilities"],
     )
     assert pytest.rows(got, "rel", "problem") == sorted((r, p) for r, _, p in cases if p)
@@ -204,7 +204,7 @@ def test_dependency_levels_and_circles(spark):
 
 
 def test_commands(spark):
-    df = spark.createDataFrame([("go get x",), ("pip install a -q b",), ("npm i lodash",), ("go build",), ("pip list",), ("rustc x",), ("policycheck go get",), ("fmt headers",)], "command string")
+    df = spark.createDataFrame([("go get x",), ("pip install a -q b",), ("npm i lodash",), ("go build",), ("pip list",), ("rustc x",), ("run-job go get",), ("fmt headers",)], "command string")
     assert [r[0] for r in df.select(commands.command_kind(F.col("command"))).collect()] == ["package", "package", "package", "tool", "tool", "passthrough", "macro", "format"]
     assert [r.packages for r in commands.install_requests(df, []).collect()] == ["x", "a b", "lodash"]
     s = spark.createDataFrame([(1, "a && b; c\\\n  d\n\ne"), (2, None), (3, "")], "id int, t string")
