@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -127,14 +128,33 @@ def scope_matches(rules: DataFrame, files: DataFrame) -> DataFrame:
     return paths.join(F.broadcast(scoped), fits).select("language", "file_glob", "rel")
 
 
+def folded(text: str) -> str:
+    """Lower case; the signs beyond ASCII that equal ``i`` and ``s`` where a pattern ignores case become those."""
+    return text.replace("İ", "i").lower().replace("ı", "i").replace("ſ", "s")
+
+
 def needed_literal(pattern: str) -> str:
-    """A text, in lower case, that every match of ``pattern`` must hold; '' if none is plain to see."""
-    bare = re.sub(r"^\(\?[a-zA-Z]+\)", "", pattern)
-    if re.search(r"(?<!\\)[|]", bare):
-        return ""
-    pieces = re.split(r"\\[bBsSdDwW](?:[*+?]|\{[^}]*\})?|\[[^\]]*\](?:[*+?]|\{[^}]*\})?|\((?:[^()]|\([^()]*\))*\)(?:[*+?]|\{[^}]*\})?|.[*?]|.\{[^}]*\}|[.^$+]", bare)
-    plain = [re.sub(r"\\(.)", r"\1", p) for p in pieces if p]
-    return max(plain, key=len, default="").lower()
+    """An ASCII text, in lower case, that every match of ``pattern`` holds in ``folded``; '' if none is plain to see.
+
+    Read from the parsed pattern, so that escaped signs are text.
+    """
+    runs = [""]
+
+    def walk(items) -> None:
+        for op, value in items:
+            if op is _parser.LITERAL and value < 128:
+                runs[-1] += chr(value)
+            elif op is _parser.SUBPATTERN:
+                walk(value[3])
+            elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT, _parser.POSSESSIVE_REPEAT) and value[0] > 0:
+                runs.append("")
+                walk(value[2])
+                runs.append("")
+            elif op is not _parser.AT:
+                runs.append("")
+
+    walk(_parser.parse(pattern))
+    return max(runs, key=len).lower()
 
 
 def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = MOST_RULES) -> DataFrame:
@@ -172,7 +192,7 @@ def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = MOST_RULES)
             out = []
             for rel, content, scopes in zip(pdf["rel"], pdf["content"], pdf["scopes"]):
                 covered = {(s["language"], s["file_glob"]) for s in scopes}
-                low = content.lower()
+                low = folded(content)
                 hits = {i for _, ids in finder.iter(low) for i in ids} if by_literal else set()
                 tried = [i for i in sorted({*hits, *always}) if table[i][3] in covered]
                 if not tried:
@@ -182,7 +202,7 @@ def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = MOST_RULES)
                     pieces.pop()
                 for n, line in enumerate(pieces, 1):
                     line = line.removesuffix("\r")
-                    small = line.lower()
+                    small = folded(line)
                     out += [(rel, n, f"custom.{table[i][0]}", table[i][2]) for i in tried if table[i][4] in small and compiled[i].search(line)]
             yield pd.DataFrame(out, columns=["rel", "line", "rule_id", "severity"])
 

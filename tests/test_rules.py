@@ -179,6 +179,18 @@ def test_needed_literal():
     assert contracts.needed_literal(r"\s+") == ""
 
 
+def test_escaped_signs_are_part_of_the_needed_text(spark):
+    import re
+
+    patterns = [r"\bbatch\.Fact\(", r"\bdb\.LongName\(", r"\blongname\.B\(", r"(?i)\bcfg\.Missing\(", r"a\|b{2}", r"(?:x|y)\.(?:Go)?Run\("]
+    lines = ["v := batch.Fact(1)", "db.LongName(2)", "longname.B(3) // batch\\Fact(", "CFG.M\u0131\u017fsing(4)", "a|bb", "y.Run(5) x.GoRun(6)", "batchxFact(7)"]
+    files = spark.createDataFrame([("a.go", "\n".join(lines))], "rel string, content string")
+    rules = spark.createDataFrame([(str(i), "m", p, "warn", "", "go", True) for i, p in enumerate(patterns)], "id string, message string, pattern string, severity string, file_glob string, language string, enabled boolean")
+    want = {(n, f"custom.{i}") for n, line in enumerate(lines, 1) for i, p in enumerate(patterns) if re.search(p, line)}
+    assert {(r.line, r.rule_id) for r in contracts.rule_hits(files, rules).collect()} == want and len(want) == 6
+    assert contracts.needed_literal(r"\bbatch\.Fact\(") == "batch.fact("
+
+
 def test_calls_words_secrets(spark):
     files = spark.createDataFrame([("a.go", 'x := os.Exit(1) // fmt.Println(2)\ns := "os.Getenv(3)"'), ("cmd/b.go", "os.Exit(1)")], "rel string, content string")
     assert pytest.rows(contracts.forbidden_calls(files, ["os.Exit", "fmt.Println"], "restrict", ("cmd",))) == [("a.go", "os.Exit")]
