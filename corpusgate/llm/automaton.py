@@ -157,9 +157,11 @@ class Automaton:
     def values(self, text: str, accept) -> Iterator[tuple[str, int, int, bool]]:
         """``name, start, end, cut`` of the values that ``accept(name, text, match_start, start, end)`` confirms.
 
-        From left to right; at one place the longest match wins, and of equally long ones the first
-        grammar. ``accept`` returns the end to use, which may be before the match's, or None.
-        ``cut`` says that the match ran to the end of the text and might go on.
+        By the places where their matches start; a match may reach over others, so the next one is
+        looked for right behind each start, and one value can come more than once, also with others
+        around it. At each place where a value begins, its longest match counts. ``accept`` returns
+        the end to use, which may be before the match's, or None. ``cut`` says that the match ran to
+        the end of the text and might go on.
         """
         classes, table, opened, closed, names = self.classes, self.table, self.opened, self.closed, self.names
         coded = [classes[c] if c < 128 else classes[128] for c in map(ord, text)]
@@ -172,33 +174,28 @@ class Automaton:
                 i += 1
                 continue
             begun: dict[int, int] = dict.fromkeys(at_start, i)
-            found: list[tuple[int, int, int]] = []
+            found: dict[tuple[int, int], int] = {}
             j, s = i, first[coded[i]]
             while s:
                 j += 1
                 for g in opened[s]:
-                    begun[g] = j
-                if closed[s]:
-                    found += [(j, -g, begun[g]) for g in closed[s]]
+                    # A value that goes on over this place keeps its own beginning.
+                    if g not in closed[s]:
+                        begun[g] = j
+                for g in closed[s]:
+                    found[g, begun[g]] = j
                 if j == n:
                     break
                 s = table[s][coded[j]]
-            if not found:
-                i += 1
-                continue
-            after = None
-            # The value's own longest end first; a rejected one gives way to another grammar at this place.
-            tried = set()
-            for end, g, begin in sorted(found, reverse=True):
-                if (g, begin) in tried:
+            taken: list[tuple[int, int]] = []
+            for (g, begin), end in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+                if any(a <= begin and end <= b for a, b in taken):
                     continue
-                tried.add((g, begin))
-                kept = accept(names[-g], text, i, begin, end)
+                kept = accept(names[g], text, i, begin, end)
                 if kept is not None:
-                    yield names[-g], begin, kept, end == n
-                    after = kept
-                    break
-            i = max(after, i + 1) if after is not None else i + 1
+                    yield names[g], begin, kept, end == n
+                    taken.append((begin, end))
+            i += 1
 
 
 LETTERS, DIGITS = string.ascii_letters, string.digits

@@ -175,8 +175,14 @@ def automaton() -> Automaton:
 
 
 def spans_of(text: str, machine: Automaton | None = None) -> list[tuple[str, int, int, bool]]:
-    """``kind, start, end, cut`` of every credential in one text."""
-    return list((machine or automaton()).values(text, accepted))
+    """``kind, start, end, cut`` of every credential in one text, by start; what lies inside another one is part of it."""
+    out: list[tuple[str, int, int, bool]] = []
+    for kind, a, b, cut in sorted((machine or automaton()).values(text, accepted), key=lambda s: (s[1], -s[2])):
+        if out and b <= out[-1][2]:
+            out[-1] = (*out[-1][:3], out[-1][3] or cut)
+        else:
+            out.append((kind, a, b, cut))
+    return out
 
 
 def chunked(strings: DataFrame, keys: list[str], text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

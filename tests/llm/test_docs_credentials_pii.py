@@ -143,6 +143,21 @@ def test_references_and_placeholders_are_not(text):
     assert C.spans_of(text) == []
 
 
+SEVERAL = [
+    ("openssl pkcs12 -in a.p12 -passin pass:Alder77x -passout pass:Birch88y", ["Alder77x", "Birch88y"]),
+    ('curl -H "Authorization: Bearer tok3nAbCdEf12" -u bot:Qw12erty https://x.test', ["tok3nAbCdEf12", "Qw12erty"]),
+    ("curl -u a:Firs7one https://x.test -u b:Sec0nd22 https://y.test", ["Firs7one", "Sec0nd22"]),
+    ("redis-cli -u redis://app:Zebra99pool@r.test -a Tern4443", ["Zebra99pool", "Tern4443"]),
+    ("the key was Password1= hunter22 --x", ["Password1=", "hunter22"]),
+    ("openssl rsa -passin pass:xpass:Cedar99 -out k", ["xpass:Cedar99"]),
+]
+
+
+@pytest.mark.parametrize("text,values", SEVERAL)
+def test_a_command_hides_none_of_its_credentials(text, values):
+    assert [text[a:b] for _, a, b, _ in C.spans_of(text)] == values
+
+
 def test_chunks_give_the_spans_of_the_whole(spark):
     rnd = random.Random(2)
     texts = []
