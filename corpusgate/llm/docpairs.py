@@ -1,8 +1,8 @@
 """Functions paired with their documentation (problem 1).
 
 Each distinct file is parsed once, where it lies. A method without telling documentation takes
-that of the method it overrides: the class hierarchy is a table of (class, base) edges, and each
-round joins the open methods with the documented ones of their bases, one level up at a time.
+that of the method it overrides: the class hierarchy is a table of (class, base) edges, made from
+every class and interface, and each round joins the open methods with the documented ones of their bases, one level up at a time.
 Methods still open when no base is left are dropped, as are all other symbols without telling
 documentation.
 """
@@ -12,18 +12,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate.session import materialize
 
-SYMBOL = "rel string, symbol_name string, symbol_kind string, owner string, bases array<string>, line_number int, end_line int, code string, documentation string, telling boolean"
-#: Levels of a class hierarchy that are followed; far more than any language's sources have.
-LEVELS = 64
+SYMBOL = "rel string, repos array<string>, version long, symbol_name string, symbol_kind string, owner string, bases array<string>, sources array<string>, line_number int, end_line int, code string, documentation string, telling boolean"
+#: Rows that are no symbols: classes with their bases, and members without a body.
+HIERARCHY = ("class", "member")
 
 
 def source_symbols(files: DataFrame) -> DataFrame:
-    """One row per named function and method of ``files`` (``rel, content``), documented or not.
+    """One row per named function and method of ``files`` (``rel, content``, if known ``repo``), documented or not.
+
+    Further rows of the kinds ``class`` and ``member`` hold the hierarchy.
 
     Rows repeated in rel and content count once. Null contents, other extensions and files
     without functions give no rows. ``documentation`` is what describes the symbol, without
@@ -32,54 +34,88 @@ def source_symbols(files: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from corpusgate.llm import sourcecode as S
-        from corpusgate.sources.sourcecode import symbols_of
+        from corpusgate.sources.sourcecode import symbols_and_hierarchy
 
         for pdf in batches:
             rows = []
-            for rel, content in zip(pdf["rel"], pdf["content"]):
-                for s in symbols_of(rel, content):
+            for rel, repos, version, content in zip(pdf["rel"], pdf["repos"], pdf["version"], pdf["content"]):
+                symbols, classes, members = symbols_and_hierarchy(rel, content)
+                for s in [*symbols, *members]:
                     text = S.described(s.doc)
-                    rows.append((rel, s.name, s.kind, s.owner, list(s.bases), s.line, s.end_line, s.code, text, S.telling_words(text, s.name) >= 5))
+                    rows.append((rel, repos, version, s.name, s.kind, s.owner, list(s.bases), [], s.line, s.end_line, s.code, text, S.telling_words(text, s.name) >= 5))
+                rows += [(rel, repos, version, c.name, "class", c.name, list(c.bases), list(c.sources), c.line, c.line, "", "", False) for c in classes]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SYMBOL.split(", ")])
 
     code = F.lower(F.col("rel")).rlike(r"\.(go|py|ts|tsx|js|jsx)$")
-    once = files.where(F.col("content").isNotNull() & code).groupBy("rel", F.xxhash64("content").alias("__h"), F.length("content").alias("__n")).agg(F.first("content").alias("content"))
-    return once.select("rel", "content").mapInPandas(parse, SYMBOL)
+    repo = F.coalesce("repo", F.lit("")) if "repo" in files.columns else F.lit("")
+    once = files.where(F.col("content").isNotNull() & code).groupBy("rel", F.xxhash64("content").alias("version"), F.length("content").alias("__n")).agg(F.first("content").alias("content"), F.collect_set(repo).alias("repos"))
+    return once.select("rel", "repos", "version", "content").mapInPandas(parse, SYMBOL)
+
+
+def _module(rel: Column, source: Column) -> Column:
+    """The path, without extension, of the module ``source`` as the file ``rel`` imports it; null for none."""
+    folder = F.regexp_replace(rel, r"[^/]*$", "")
+    ups = F.length(F.regexp_extract(source, r"^(\.*)", 1)) - 1
+    # Python: the first dot is the file's folder, each further one its parent.
+    above = F.array_join(F.slice(F.split(folder, "/"), F.lit(1), F.greatest(F.size(F.split(folder, "/")) - 1 - ups, F.lit(0))), "/")
+    tail = F.translate(F.regexp_replace(source, r"^\.*", ""), ".", "/")
+    python = F.when(source.startswith("."), F.concat_ws("/", F.when(above != "", above), F.when(tail != "", tail))).otherwise(tail)
+    steps = F.filter(F.split(F.concat(folder, source), "/"), lambda x: ~x.isin("", "."))
+    path = F.reduce(steps, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    script = F.when(source.startswith("."), _stem(F.array_join(path, "/")))
+    return F.when(source == "", None).when(rel.endswith(".py"), python).otherwise(script)
+
 
+def _stem(rel: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(rel, r"\.(?:go|py|tsx?|jsx?)$", ""), r"/(?:index|__init__)$", "")
 
-def inherited(symbols: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """``rel, symbol_name, line_number, documentation, inherited_from`` of open methods that some base documents.
 
-    The nearest documented base wins, of equally near ones the first by name; a hierarchy that
-    runs in a circle ends as soon as nothing new is reached. Classes are matched by name and
-    language family.
+def class_edges(classes: DataFrame) -> DataFrame:
+    """``node, base`` nodes of ``classes`` (``family, repo, rel, node, owner, bases, sources``).
+
+    A base is looked for in the same file, then in the module it is imported from, then in the
+    folder, the repo and the whole corpus; behind the file only where one file alone has the name.
+    """
+    folder = F.regexp_replace("rel", r"[^/]*$", "")
+    places = classes.select("family", "repo", "rel", "version", "owner", "node", _stem(F.col("rel")).alias("module"), folder.alias("folder"))
+    edges = classes.select("family", "repo", "rel", "version", "node", folder.alias("folder"), F.explode(F.arrays_zip("bases", "sources")).alias("b"))
+    edges = edges.select("*", F.col("b.bases").alias("owner"), _module(F.col("rel"), F.col("b.sources")).alias("module")).where("owner <> ''").drop("b").distinct()
+    tiers = (["rel", "repo", "version"], ["repo", "module"], ["repo", "folder"], ["repo"], [])
+    for i, keys in enumerate(tiers):
+        on = ["family", "owner", *keys]
+        only = places.groupBy(*on).agg(F.min("node").alias(f"t{i}"), F.min(F.struct("repo", "rel")).alias("lo"), F.max(F.struct("repo", "rel")).alias("hi")).where("lo = hi").drop("lo", "hi")
+        edges = edges.join(only, on, "left")
+    return edges.select("node", F.coalesce(*[f"t{i}" for i in range(len(tiers))]).alias("base")).where("base IS NOT NULL AND base <> node").distinct()
+
+
+def inherited(symbols: DataFrame) -> DataFrame:
+    """``rel, version, symbol_name, line_number, documentation, inherited_from`` of open methods that some base documents.
+
+    The nearest documented base wins, of equally near ones the first by name; no class is visited
+    twice for a method, so a hierarchy that runs in a circle ends. For ``version`` see ``class_edges``:
+    it tells contents of one path apart.
     """
     family = F.when(F.col("rel").endswith(".go"), "go").when(F.col("rel").endswith(".py"), "py").otherwise("script")
-    methods = symbols.where("owner IS NOT NULL").withColumn("family", family)
-    told = methods.where("telling").groupBy("family", "owner", "symbol_name").agg(F.min("documentation").alias("documentation"))
-    edges = methods.select("family", "owner", F.explode("bases").alias("base")).where("base <> ''").distinct()
-    told, edges = materialize(told, "told"), materialize(edges, "class_edges")
-    open_ = (
-        methods.where("NOT telling AND size(bases) > 0")
-        .select("family", "rel", "symbol_name", "line_number", F.col("owner").alias("at"))
-    )
-    key = ["family", "rel", "symbol_name", "line_number"]
-    found = None
-    for level in range(levels):
-        up = open_.join(edges, (open_["family"] == edges["family"]) & (open_["at"] == edges["owner"])).select(*[open_[c] for c in key], edges["base"].alias("at")).distinct()
+    rows = symbols.where("owner IS NOT NULL").drop("code", "end_line").withColumn("family", family).withColumn("repo", F.explode("repos"))
+    rows = rows.withColumn("node", F.to_json(F.array(F.col("family"), F.col("repo"), F.col("rel"), F.col("version").cast("string"), F.col("owner"))))
+    told = rows.where("telling").groupBy("node", "symbol_name").agg(F.min("documentation").alias("documentation"), F.first("owner").alias("owner"))
+    told, edges = materialize(told, "told"), materialize(class_edges(rows.where("symbol_kind = 'class'")), "class_edges")
+    key = ["rel", "version", "repo", "symbol_name", "line_number"]
+    open_ = rows.where(~F.col("symbol_kind").isin(*HIERARCHY) & ~F.col("telling")).select(*key, "node")
+    seen, found, level = open_, None, 0
+    while True:
+        up = open_.join(edges, "node").select(*key, F.col("base").alias("node")).distinct().join(seen, [*key, "node"], "left_anti")
         up = materialize(up, f"open_{level}")
         if up.isEmpty():
             break
-        hit = (
-            up.join(told.withColumnRenamed("owner", "at"), ["family", "symbol_name", "at"])
-            .groupBy(*key).agg(F.min_by("documentation", "at").alias("documentation"), F.min("at").alias("inherited_from"))
-        )
+        first = F.struct("owner", "node")
+        hit = up.join(told, ["node", "symbol_name"]).groupBy(*key).agg(F.min_by("documentation", first).alias("documentation"), F.min_by("owner", first).alias("inherited_from"))
         hit = materialize(hit, f"hit_{level}")
         found = hit if found is None else found.unionByName(hit)
-        open_ = up.join(hit.select(*key), key, "left_anti")
+        seen, open_, level = seen.unionByName(up), up.join(hit.select(*key), key, "left_anti"), level + 1
     if found is None:
-        found = symbols.sparkSession.createDataFrame([], "family string, rel string, symbol_name string, line_number int, documentation string, inherited_from string")
-    return found.drop("family")
+        found = symbols.sparkSession.createDataFrame([], "rel string, version long, repo string, symbol_name string, line_number int, documentation string, inherited_from string")
+    return found.drop("repo").distinct()
 
 
 def documented_pairs(files: DataFrame) -> DataFrame:
@@ -89,11 +125,17 @@ def documented_pairs(files: DataFrame) -> DataFrame:
     """
     columns = ["rel", "symbol_name", "symbol_kind", "line_number", "end_line", "code"]
     symbols = materialize(source_symbols(files), "symbols")
-    own = symbols.where("telling").select(*columns, "documentation", F.lit(None).cast("string").alias("inherited_from"))
-    taken = symbols.select(*columns).join(inherited(symbols), ["rel", "symbol_name", "line_number"]).select(*columns, "documentation", "inherited_from")
+    own = _own(symbols).select(*columns, "documentation", F.lit(None).cast("string").alias("inherited_from"))
+    key = ["rel", "version", "symbol_name", "line_number"]
+    members = symbols.where(~F.col("symbol_kind").isin(*HIERARCHY) & ~F.col("telling")).select(*columns, "version")
+    taken = members.join(inherited(symbols), key).select(*columns, "documentation", "inherited_from")
     return own.unionByName(taken)
 
 
+def _own(symbols: DataFrame) -> DataFrame:
+    return symbols.where(F.col("telling") & ~F.col("symbol_kind").isin(*HIERARCHY))
+
+
 def documented_symbols(files: DataFrame) -> DataFrame:
     """``rel, symbol_name, line_number``, once each, of the pairs whose documentation is the symbol's own."""
-    return documented_pairs(files).where("inherited_from IS NULL").select("rel", "symbol_name", "line_number").distinct()
+    return _own(source_symbols(files)).select("rel", "symbol_name", "line_number").distinct()

@@ -47,10 +47,50 @@ def symbols_of(path: str | None, content: str | None) -> list[Symbol]:
     return (_go if language == "go" else _script)(text, masked, comments)
 
 
+class Class(NamedTuple):
+    """A class, struct or interface; ``sources`` has, beside each base, the module that it is imported from, '' for none."""
+
+    name: str
+    bases: tuple[str, ...]
+    sources: tuple[str, ...]
+    line: int
+
+
+def symbols_and_hierarchy(path: str | None, content: str | None) -> tuple[list[Symbol], list[Class], list[Symbol]]:
+    """The symbols of ``symbols_of``, the classes of the file, and members without a body as symbols without code."""
+    language = language_of(path)
+    if language is None or not content:
+        return [], [], []
+    text = content.removeprefix("﻿")
+    if language == "python":
+        classes: list[Class] = []
+        return _python(text, classes), classes, []
+    masked, comments = _masked(text, language)
+    if language == "go":
+        return _go(text, masked, comments), *_go_hierarchy(text, masked, comments)
+    return _script(text, masked, comments), *_script_hierarchy(text, masked, comments)
+
+
 # Python
 
 
-def _python(text: str) -> list[Symbol]:
+def _python_imports(tree: ast.AST) -> dict[str, tuple[str, str]]:
+    """The module and the name there of every imported name."""
+    froms = [n for n in ast.walk(tree) if isinstance(n, ast.ImportFrom)]
+    return {a.asname or a.name: ("." * n.level + (n.module or ""), a.name) for n in froms for a in n.names}
+
+
+def _python_class(node: ast.ClassDef, imports: dict[str, tuple[str, str]]) -> Class:
+    bases, sources = [], []
+    for b in node.bases:
+        b = b.value if isinstance(b, ast.Subscript) else b
+        source, name = imports.get(b.id, ("", b.id)) if isinstance(b, ast.Name) else ("", getattr(b, "attr", ""))
+        bases.append(name)
+        sources.append(source)
+    return Class(node.name, tuple(bases), tuple(sources), node.lineno)
+
+
+def _python(text: str, classes: list[Class] | None = None) -> list[Symbol]:
     # ``\f`` and the like do not end a line here, as in the line numbers of ``ast``.
     try:
         tree = ast.parse(text.replace("\r\n", "\n"))
@@ -58,6 +98,7 @@ def _python(text: str) -> list[Symbol]:
         return _python_lines(text)
     lines = text.replace("\r\n", "\n").split("\n")
     out, todo = [], [(tree, None, ())]
+    imports = _python_imports(tree) if classes is not None else {}
     while todo:
         node, owner, bases = todo.pop()
         for child in ast.iter_child_nodes(node):
@@ -67,6 +108,8 @@ def _python(text: str) -> list[Symbol]:
                 out.append(Symbol(child.name, "method" if owner else "function", owner, bases, child.lineno, child.end_lineno, code, ast.get_docstring(child) or "", _python_complexity(child), params, len(params)))
                 todo.append((child, None, ()))
             elif isinstance(child, ast.ClassDef):
+                if classes is not None:
+                    classes.append(_python_class(child, imports))
                 todo.append((child, child.name, tuple(b.attr if isinstance(b, ast.Attribute) else getattr(b, "id", "") for b in child.bases)))
             elif isinstance(child, (ast.stmt, ast.ExceptHandler, ast.match_case)):
                 todo.append((child, owner, bases))
@@ -239,6 +282,32 @@ def _go(text: str, masked: str, comments: list[Comment]) -> list[Symbol]:
     return out
 
 
+_GO_TYPE = re.compile(r"(?m)^[ \t]*(?:type[ \t]+)?([^\W\d]\w*)[ \t]*(?:\[[^\]\n]*\][ \t]*)?(struct|interface)[ \t]*(\{)")
+_GO_EMBEDDED = re.compile(r"[ \t]*\*?(?:\w+\.)?([^\W\d]\w*)(?:\[[^\n]*\])?\s*")
+_GO_MEMBER = re.compile(r"[ \t]*([^\W\d]\w*)[ \t]*\(")
+
+
+def _go_hierarchy(text: str, masked: str, comments: list[Comment]) -> tuple[list[Class], list[Symbol]]:
+    """Types with what they embed, and the methods of interfaces."""
+    at = _Places(text, masked, comments)
+    classes, members = [], []
+    for t in _GO_TYPE.finditer(masked):
+        opened = t.start(3)
+        if at.open_brace(t.start(1)) >= 0 or opened not in at.close:
+            continue
+        bases, place = [], opened + 1
+        for line in re.split(r"[\n;]", masked[opened + 1 : at.close[opened]]):
+            if at.open_brace(place) == opened:
+                if m := _GO_EMBEDDED.fullmatch(line):
+                    bases.append(m.group(1))
+                elif t.group(2) == "interface" and (m := _GO_MEMBER.match(line)):
+                    start = place + m.start(1)
+                    members.append(Symbol(m.group(1), "member", t.group(1), (), at.line(start), at.line(start), "", at.attached(start, 1)))
+            place += len(line) + 1
+        classes.append(Class(t.group(1), tuple(bases), ("",) * len(bases), at.line(t.start(1))))
+    return classes, members
+
+
 def _top_level(text: str, cut: str) -> list[str]:
     """Pieces between the characters of ``cut`` that stand outside of all brackets; blank ones left out."""
     out, depth, last = [], 0, 0
@@ -389,6 +458,58 @@ def _script(text: str, masked: str, comments: list[Comment]) -> list[Symbol]:
     return once
 
 
+_INTERFACE = re.compile(rf"(?<![\w$.])interface\s+({_ID})(?:\s*<[^{{]*?>)?(?:\s+extends\s+([^{{]+?))?\s*(\{{)")
+_CALLED = re.compile(rf"(?:(?:public|protected|readonly|abstract|static|declare)\s+)*({_ID})\s*[?!]?\s*:\s*(?:<[^>({{]*>\s*)?(\()")
+_IMPORT = re.compile(rf"import\s+(?:type\s+)?(?:({_ID})\s*,?\s*)?(?:\{{([^}}]*)\}})?\s*from\s*['\"]([^'\"\n]+)['\"]")
+
+
+def _bare_types(listed: str | None) -> list[str]:
+    """The types of a list, without their arguments."""
+    text, last = listed or "", None
+    while text != last:
+        last, text = text, re.sub(r"<[^<>]*>", "", text)
+    return [t.strip() for t in text.split(",")]
+
+
+def _script_hierarchy(text: str, masked: str, comments: list[Comment]) -> tuple[list[Class], list[Symbol]]:
+    """Classes and interfaces with their bases, and their members without a body."""
+    at = _Places(text, masked, comments)
+    imports: dict[str, tuple[str, str]] = {}
+    for m in _IMPORT.finditer(text):
+        if masked[m.start()] == " ":
+            continue
+        if m.group(1):
+            imports[m.group(1)] = (m.group(3), m.group(1))
+        for part in (m.group(2) or "").split(","):
+            names = re.sub(r"^\s*type\s+", "", part).split()
+            if names:
+                imports[names[-1]] = (m.group(3), names[0])
+    classes, members = [], []
+    found = [(c.start(), c.group(1), [c.group(2) or "", *_bare_types(c.group(3))], c.start(4)) for c in _CLASS.finditer(masked)]
+    found += [(c.start(), c.group(1), _bare_types(c.group(2)), c.start(3)) for c in _INTERFACE.finditer(masked)]
+    for start, name, listed, opened in sorted(found):
+        resolved = [imports.get(b, ("", b.split(".")[-1])) for b in (x.strip() for x in listed) if b]
+        classes.append(Class(name, tuple(b for _, b in resolved), tuple(s for s, _ in resolved), at.line(start)))
+        place, closed = opened + 1, at.close.get(opened, len(masked))
+        while place < closed:
+            while place < closed and (masked[place].isspace() or masked[place] in ";,"):
+                place += 1
+            m = _METHOD.match(masked, place, closed) or _CALLED.match(masked, place, closed)
+            after = place
+            if m and m.group(1) not in _NOT_NAMES and (close := at.closing(m.start(2), "(", ")")) > 0:
+                after = close + 1
+                if m.re is _CALLED and not _ARROW.match(masked, after):
+                    m = None
+                elif not re.compile(r"[^;{\n]*\{").match(masked, after, closed) or masked[start : start + 9] == "interface":
+                    members.append(Symbol(m.group(1), "member", name, (), at.line(place), at.line(place), "", at.attached(place, 1)))
+            # Behind the member: its line or semicolon, or its braces.
+            stop = re.compile(r"[{;\n]").search(masked, after, closed)
+            if not stop:
+                break
+            place = at.close.get(stop.start(), stop.start()) + 1
+    return classes, members
+
+
 _SCRIPT_BRANCH = re.compile(r"\b(?:if|for|catch|case|do)\b(?!\s*:)|(?<!\}) ?\bwhile\b|&&|\|\||(?<![?.\w)\]])\?(?![?.:])|(?<=[\w)\]\s])\?(?=\s)")
 
 

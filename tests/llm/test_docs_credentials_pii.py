@@ -106,6 +106,46 @@ def test_inherited_documentation_climbs_the_hierarchy(spark):
     assert docpairs.documented_pairs(circle).count() == 0
 
 
+def test_inheritance_over_all_classes_and_files(spark):
+    told = '    """%s queued records towards their owners after midnight."""\n'
+    base = "class Base:\n  def run(self):\n" + told
+    ts = """export interface Job {
+  /** Starts stored work again without blocking other callers. */
+  start(): void;
+}
+export abstract class Shape {
+  /** Measures visible borders between neighbouring painted cells. */
+  abstract size(): number; 
+}
+"""
+    go = """package a
+
+type Core interface {
+	// Flush writes buffered rows towards their owners after midnight.
+	Flush()
+}
+
+type T struct {
+	Core
+	n int
+}
+
+func (t *T) Flush() {}
+"""
+    rows = [
+        ("a.py", PY, "r"), ("p/one.py", base % "Sends", "r"), ("q/two.py", base % "Drops", "r"), ("q/leaf.py", "class L(Base):\n  def run(self): ...", "r"),
+        ("z/leaf.py", "class M(Base):\n  def run(self): ...", "r"), ("z/imp.py", "from p.one import Base as B\nclass N(B):\n  def run(self): ...", "r"),
+        ("t/job.ts", ts, "r"), ("t/use.ts", "import { Job } from './job';\nclass A extends Shape implements Job {\n  start() { }\n  size() { return 1 }\n}", "r"), ("g/a.go", go, "r"),
+    ]
+    df = spark.createDataFrame(rows, "rel string, content string, repo string")
+    got = {(r.rel, r.symbol_name, r.inherited_from, r.documentation.split()[0]) for r in docpairs.documented_pairs(df).collect() if r.inherited_from}
+    # z/leaf.py does not say which of three classes it means.
+    assert got == {
+        ("a.py", "run", "Base", "Runs"), ("q/leaf.py", "run", "Base", "Drops"), ("z/imp.py", "run", "Base", "Sends"),
+        ("t/use.ts", "start", "Job", "Starts"), ("t/use.ts", "size", "Shape", "Measures"), ("g/a.go", "Flush", "Core", "Flush"),
+    }
+
+
 @pytest.mark.parametrize("doc,name", [("", "f"), ("TODO", "f"), ("// go:noinline", "f"), ("Index import.", "indexImport"), ("/** ... */", "f"), ("@param a the one thing that really counts here", "f"), ("row = call(x)\n}", "f"), ("This function does it.", "doIt"), ("see above", "f")])
 def test_trivial_documentation(doc, name):
     assert S.is_trivial(doc, name)
