@@ -36,23 +36,25 @@ _SCORES = ("s_name", "s_id_number", "s_phone", "s_other")
 
 
 def mentions(documents: DataFrame) -> DataFrame:
-    """All mentions of ``documents`` (``doc_id, text``); null, empty and blank texts have none."""
+    """All mentions of ``documents`` (``doc_id, text``), also where the id is null; null, empty and blank texts have none."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from corpusgate.llm.pii_mentions import Text, mentions_in
 
-        names = [c.split()[0] for c in MENTION.split(", ")]
+        names = [c.split()[0] for c in schema.split(", ")]
         for pdf in batches:
             rows = []
-            for doc_id, key, text in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"]):
+            for doc_id, known, key, text in zip(pdf["doc_id"], pdf["known"], pdf["text_hash"], pdf["text"]):
                 found = mentions_in(text)
                 if found:
                     places = Text(text)
-                    rows += [(doc_id, key, places.line(m.start), m.start, m.end, m.kind, m.seed, list(m.instances), list(m.patterns)) for m in found]
+                    rows += [(doc_id, key, places.line(m.start), m.start, m.end, m.kind, m.seed, list(m.instances), list(m.patterns), known) for m in found]
             yield pd.DataFrame(rows, columns=names)
 
-    texts = documents.where("doc_id IS NOT NULL AND length(trim(text)) > 0").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return texts.mapInPandas(scan, MENTION)
+    # Null ids travel beside the id, as pandas would turn the others into floats.
+    schema = f"{MENTION}, known boolean"
+    texts = documents.where("length(trim(text)) > 0").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), F.xxhash64("text").alias("text_hash"), "text")
+    return texts.mapInPandas(scan, schema).withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")
 
 
 def with_scores(df: DataFrame, scores: DataFrame, key: str) -> DataFrame:
@@ -139,14 +141,14 @@ def personal_mentions(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def personal_lines(documents: DataFrame) -> DataFrame:
-    """``doc_id, line_no, kind``, once each: the lines with personal information."""
-    return personal_mentions(documents).select("doc_id", "line_no", "kind").distinct()
+    """``doc_id, line_no, kind``, once each: the lines with personal information; rows with a null id are left out."""
+    return personal_mentions(documents).where("doc_id IS NOT NULL").select("doc_id", "line_no", "kind").distinct()
 
 
 def anonymised(documents: DataFrame) -> DataFrame:
     """``doc_id, text, n_mentions``: texts with ``<NAME>``, ``<PHONE>``, ... in place of what was found.
 
-    Null and empty texts stay as they are; rows repeated in doc_id and text give one row.
+    Null and empty texts stay as they are, texts with a null id are masked too; rows repeated in doc_id and text give one row.
     """
     once = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).distinct()
     per_text = personal_mentions(documents).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
@@ -157,5 +159,6 @@ def anonymised(documents: DataFrame) -> DataFrame:
         lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind")))))
         .otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))),
     )
-    joined = once.join(per_text.withColumn("spans", merged), ["doc_id", "text_hash"], "left")
+    per_text = per_text.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), merged.alias("spans"))
+    joined = once.join(per_text, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
     return joined.select("doc_id", spliced(F.col("text"), F.col("spans")).alias("text"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_mentions"))

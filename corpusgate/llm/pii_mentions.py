@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from collections.abc import Iterator
 from typing import NamedTuple
 
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŴŶŸŹŻŽ"
@@ -70,6 +71,10 @@ _ADDRESS_TAIL = re.compile(
     rf"(?:,\s*(?:Apt\.?|Flat|Unit|Suite|#)\s*\w+)?(?:,?\s*\d{{1,2}}\s?º\s?\w)?(?:,\s*\d{{4,5}}\s+{_NAMEY}|,\s*{_NAMEY}(?:,\s*[A-Z]{{2}}\s+\d{{5}}(?:-\d{{4}})?|\s+[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s+\d[A-Z]{{2}})?)?"
 )
 _DIGITS = re.compile(r"\d[\d ().\-/]*")
+#: Digits of the longest single number; a longer run is several numbers.
+_MOST_DIGITS = 20
+_UNBROKEN = re.compile(r"\d+")
+_BETWEEN_NUMBERS = re.compile(r" +(?=\d{21})|(?<=\d{21}) +| +/ *| */ +|(?<=\d{3})/(?=\d{3,}[ -])| {2,}| +- +| +(?=\(?(?:\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4})(?!\d))")
 _BEFORE_NUMBER = re.compile(r"(?:(?<![A-Za-z-])(?:[A-Z]{1,3}-?|(?!ID|NR|NO)[A-Z]{2} ))?\(?\+?\(?\Z")
 _AFTER_NUMBER = re.compile(r"(?:[ -]?[A-Z](?![A-Za-z0-9]))?(?:\s?(?:ext\.?|x)\s?\d+)?")
 _ID_WORD = re.compile(rf"(?i)(?<!\w)(?:{ID_WORDS})\s*(?:[:#=]|is)?\s*\Z")
@@ -178,10 +183,33 @@ def _address_at(text: str, place: int, digits: int) -> tuple[int, int] | None:
     return None
 
 
-def _numbers(text: str, out: list[Mention], taken: list[tuple[int, int]]) -> None:
-    upto = 0
+def _digits(run: str) -> int:
+    return sum(c.isdigit() for c in run)
+
+
+def _number_runs(text: str) -> Iterator[tuple[int, str, bool]]:
+    """``place, run, further``: runs of digits; one of too many digits as its single numbers, ``further`` behind the first.
+
+    Numbers that only single blanks part stay together.
+    """
     for m in _DIGITS.finditer(text):
-        place, run = m.start(), m.group()
+        if _digits(m.group()) <= _MOST_DIGITS:
+            yield m.start(), m.group(), False
+            continue
+        cuts = [*_BETWEEN_NUMBERS.finditer(text, m.start(), m.end())]
+        pieces = list(zip([m.start(), *[c.end() for c in cuts]], [*[c.start() for c in cuts], m.end()]))
+        further = False
+        for a, b in pieces:
+            place = re.compile(r"[^\d]*").match(text, a, b).end()
+            if place < b:
+                yield place, text[place:b], further
+                further = True
+
+
+def _numbers(text: str, out: list[Mention], taken: list[tuple[int, int]]) -> None:
+    upto, before = 0, None
+    for place, run, further in _number_runs(text):
+        before = before if further else None
         if place < upto:
             continue
         first = len(run) - len(run.lstrip("0123456789"))
@@ -193,13 +221,13 @@ def _numbers(text: str, out: list[Mention], taken: list[tuple[int, int]]) -> Non
             upto = address[1]
             continue
         a = _BEFORE_NUMBER.search(text, max(0, place - 8), place).start()
-        if sum(c.isdigit() for c in run) < (6 if text[a].isalpha() else 7):
+        if _digits(run) < (6 if text[a].isalpha() else 7):
             continue
         b = place + len(run.rstrip(" ().-/"))
         b = _AFTER_NUMBER.match(text, b).end()
         value = text[a:b]
-        digits = sum(c.isdigit() for c in value)
-        if digits > 20 or not _free(taken, a, b) or (a and (text[a - 1].isalnum() or text[a - 1] in ".@/_-")) or (b < len(text) and (text[b].isalnum() or text[b] in "@_")):
+        # Unbroken digits beyond that are neither a phone nor an id number.
+        if max(map(len, _UNBROKEN.findall(run))) > _MOST_DIGITS or not _free(taken, a, b) or (a and (text[a - 1].isalnum() or text[a - 1] in (".@_-" if further else ".@/_-"))) or (b < len(text) and (text[b].isalnum() or text[b] in "@_")):
             continue
         while value.startswith("(") and value.count("(") > value.count(")"):
             value, a = value[1:], a + 1
@@ -212,7 +240,9 @@ def _numbers(text: str, out: list[Mention], taken: list[tuple[int, int]]) -> Non
         elif _DATE.match(value) or (known and known.group("machine")):
             seed = "other"
         else:
-            seed = None
+            # What the word before the first number of a run says holds for the others.
+            seed = before
+        before = seed if seed in ("phone", "id_number") else before
         out.append(Mention("number", a, b, seed, (f"S {_shape(value)}",), _context(text, a, b)))
         taken.append((a, b))
         upto = b
@@ -235,8 +265,6 @@ def _names(text: str, out: list[Mention], taken: list[tuple[int, int]], mails: l
 
     for run in _RUN.finditer(text):
         pieces = [(p.start() + run.start(), p.end() + run.start(), p.group()) for p in _PIECE.finditer(run.group())]
-        if len(pieces) > 5 and all(p.isupper() for *_, p in pieces):
-            continue
         i = 0
         while i + 1 < len(pieces):
             a, b, first = pieces[i]

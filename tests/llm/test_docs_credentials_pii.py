@@ -279,5 +279,23 @@ def test_anonymised_text(spark):
         assert got[i].text.split("\n")[0] == text.split("\n")[0] or i >= 300
 
 
+def test_long_runs_are_candidates_too():
+    numbers = lambda t: [(t[m.start : m.end], m.seed) for m in M.mentions_in(t) if m.kind == "number"]
+    assert numbers("Tel: 020 7946 0958 / 020 7946 0959") == [("020 7946 0958", "phone"), ("020 7946 0959", "phone")]
+    assert numbers("Tel: 020 7946 0958/020 7946 0959") == [("020 7946 0958", "phone"), ("020 7946 0959", "phone")]
+    assert numbers("call 0049 30 7946 09581 2024-01-31")[0] == ("0049 30 7946 09581", "phone")
+    assert numbers("Tel: 020 7946 0958 020 7946 0959") == [("020 7946 0958 020 7946 0959", "phone")]
+    names = {text[m.start : m.end] for text in ["JOHN SMITH, MARY JONES, PETER BROWN <p.brown@mail.example>"] for m in M.mentions_in(text) if m.kind == "name"}
+    assert {"JOHN SMITH", "MARY JONES", "PETER BROWN"} <= names
+
+
+def test_texts_without_id_are_masked(spark):
+    rows = [(None, "mail a.b@c.example now"), (2**60 + 1, "mail a.b@c.example now"), (None, "nothing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(None, "mail <EMAIL> now", 1), (2**60 + 1, "mail <EMAIL> now", 1), (None, "nothing", 0)}
+    assert {tuple(r) for r in pii.anonymised(df).collect()} == want
+    assert {tuple(r) for r in pii.personal_lines(df).collect()} == {(2**60 + 1, 1, "email")}
+
+
 def test_empty_corpus(spark):
     assert pii.personal_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
