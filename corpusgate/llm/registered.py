@@ -37,6 +37,10 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redacted(strings, credentials.KEYS, "text")
 
 
+def p5_file_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.file_percentiles(read_table(spark, sf_dir, "policy_facts"))
+
+
 def p5_language_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.language_percentiles(read_table(spark, sf_dir, "policy_facts"))
 
@@ -75,7 +79,7 @@ def p8_anonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p3_found, p3_ranked, p4_found, p4_redacted, p5_language_percentiles, p6_found, p6_spans, p6_item_report, p7_mixed_documents, p7_mix_report, p7_mix_exact_report, p8_found, p8_anonymised)
+    for f in (p1_found, p1_pairs, p3_found, p3_ranked, p4_found, p4_redacted, p5_file_percentiles, p5_language_percentiles, p6_found, p6_spans, p6_item_report, p7_mixed_documents, p7_mix_report, p7_mix_exact_report, p8_found, p8_anonymised)
 }
 
 _RANKED = """
@@ -94,7 +98,19 @@ iw AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 12], ' ') AS run FROM (S
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)
 """
 
+# Groups below the operator's buffer size are exact, and all are at the scale of the comparison.
+_FILE_PERCENTILES = """
+WITH f AS (SELECT fact_id, CASE WHEN trim(coalesce(language, '')) = '' THEN 'unknown' ELSE lower(trim(language)) END AS language, file_path, complexity, param_count
+  FROM policy_facts QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY ingested_at) = 1),
+m AS (SELECT language, file_path, 'complexity' AS metric, CAST(complexity AS DOUBLE) AS v FROM f WHERE complexity IS NOT NULL
+  UNION ALL SELECT language, file_path, 'param_count', CAST(param_count AS DOUBLE) FROM f WHERE param_count IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY language, file_path, metric ORDER BY v) AS i, count(*) OVER (PARTITION BY language, file_path, metric) AS n FROM m)
+SELECT language, file_path, metric, n, CAST(0 AS DOUBLE) AS rank_error, min(v) FILTER (i >= ceil(0.5 * n - 1e-9)) AS p50, min(v) FILTER (i >= ceil(0.9 * n - 1e-9)) AS p90,
+  min(v) FILTER (i >= ceil(0.95 * n - 1e-9)) AS p95, min(v) FILTER (i >= ceil(0.99 * n - 1e-9)) AS p99 FROM r GROUP BY language, file_path, metric, n
+"""
+
 ORACLES: dict[str, str] = {
+    "p5_file_percentiles": _FILE_PERCENTILES,
     "p3_found": f"SELECT file_path, fact_id FROM ({_RANKED})",
     "p3_ranked": _RANKED,
     "p6_found": _LEAKED,

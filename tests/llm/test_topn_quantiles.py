@@ -56,10 +56,8 @@ def test_summary_errors_stay_in_their_bound(shape):
         parts.append(s.rows())
     whole = quantiles.Summary(64)
     for rows in parts:
-        import pandas as pd
-
-        pdf = pd.DataFrame(rows, columns=["weight", "vals", "err"])
-        whole.take(pdf["weight"], pdf["vals"], pdf["err"])
+        offsets = np.cumsum([0, *[len(x) for _, x, _ in rows]])
+        whole.take(np.array([y for y, *_ in rows]), offsets, np.concatenate([x for _, x, _ in rows]), np.array([e for *_, e in rows]))
     v = np.concatenate([np.asarray(x) for _, x, _ in whole.rows()])
     w = np.concatenate([np.full(len(x), y) for y, x, _ in whole.rows()])
     assert w.sum() == len(data)
@@ -74,13 +72,62 @@ def test_summary_errors_stay_in_their_bound(shape):
 
 
 def test_language_percentiles(spark):
-    schema = "fact_id long, language string, complexity int, param_count int, scanned_at timestamp"
+    schema = "fact_id long, language string, file_path string, complexity int, param_count int, scanned_at timestamp"
     from datetime import datetime as d
 
-    data = [(i, [" Go", "go", "GO "][i % 3], i % 100, None, d(2025, 1, 1 + i % 9)) for i in range(5000)] + [(9000, None, 7, 1, None), (9000, None, 7, 1, None), (9001, "", None, 3, d(2025, 1, 1))]
+    data = [(i, [" Go", "go", "GO "][i % 3], "a", i % 100, None, d(2025, 1, 1 + i % 9)) for i in range(5000)] + [(9000, None, None, 7, 1, None), (9000, None, None, 7, 1, None), (9001, "", "", None, 3, d(2025, 1, 1))]
     got = {(r.language, r.metric): r for r in quantiles.language_percentiles(spark.createDataFrame(data, schema), k=128).collect()}
     assert set(got) == {("go", "complexity"), ("unknown", "complexity"), ("unknown", "param_count")}
     go = got["go", "complexity"]
     assert go.n == 5000 and abs(go.p50 - 49.5) * 50 <= go.rank_error + 50 and abs(go.p99 - 98.5) * 50 <= go.rank_error + 50
     assert (got["unknown", "param_count"].n, got["unknown", "param_count"].p50) == (2, 1.0) and got["unknown", "complexity"].n == 1
     assert quantiles.language_percentiles(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_collapsing_in_sorted_batches(size):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = [("a", None, 5), ("a", 1, 700), ("b", 2, 1), (None, None, 63), (None, 3, 64), ("z", 1, 130)]
+    columns = {"x": [], "y": [], "weight": [], "vals": [], "err": []}
+    want = {}
+    for x, y, n in rows:
+        values = rng.integers(0, 1000, n).astype(float)
+        want[x, y] = values
+        for v in values:
+            for name, cell in zip(columns, (x, y, 1, [v], 0.0)):
+                columns[name].append(cell)
+    types = {"x": pa.string(), "y": pa.int32(), "weight": pa.int64(), "vals": pa.list_(pa.float64()), "err": pa.float64()}
+    batch = pa.record_batch([pa.array(columns[c], t) for c, t in types.items()], names=list(types))
+    pieces = [batch.slice(i, size) for i in range(0, batch.num_rows, size)]
+    got = {}
+    for out in quantiles._collapsed(iter(pieces), ["x", "y"], 64):
+        for r in out.to_pylist():
+            got.setdefault((r["x"], r["y"]), []).append(r)
+    assert set(got) == set(want)
+    for key, values in want.items():
+        assert sum(r["weight"] * len(r["vals"]) for r in got[key]) == len(values)
+        if len(values) < 64:
+            assert sorted(got[key][0]["vals"]) == sorted(values) and got[key][0]["err"] == 0
+
+
+def test_file_percentiles_are_exact_for_small_groups(spark):
+    from datetime import datetime as d
+
+    rnd = random.Random(3)
+    schema = "fact_id long, language string, file_path string, complexity int, param_count int, scanned_at timestamp"
+    data = [(i, rnd.choice(["go", "Go ", None]), rnd.choice(["hot"] * 8 + [f"f{j}" for j in range(20)] + [None, ""]), rnd.randrange(50), rnd.choice([None, 1, 2]), d(2025, 1, 1 + i % 28)) for i in range(900)]
+    got = {(r.language, r.file_path, r.metric): r for r in quantiles.file_percentiles(spark.createDataFrame(data, schema)).collect()}
+    groups = {}
+    for _, lang, path, cx, pc, _ in data:
+        for metric, v in (("complexity", cx), ("param_count", pc)):
+            if v is not None:
+                groups.setdefault(((lang or "unknown").strip().lower(), path, metric), []).append(v)
+    assert set(got) == set(groups)
+    for key, values in groups.items():
+        values.sort()
+        r = got[key]
+        assert (r.n, r.rank_error) == (len(values), 0)
+        for q, p in ((0.5, r.p50), (0.9, r.p90), (0.95, r.p95), (0.99, r.p99)):
+            assert p == values[max(1, -int(-(q * len(values) - 1e-9) // 1)) - 1]
