@@ -3,7 +3,8 @@
 Token formats, key armor, connection strings and named values are grammars of one deterministic
 automaton. Strings are scanned in overlapping chunks; spans are absolute, a span seen in two
 chunks is one, and the text is rebuilt around placeholders, so everything else stays as it was.
-A match that reaches the end of a chunk sends its string to a scan as a whole.
+A chunk looks at its middle; the overlap before it settles the automaton's state, the one behind
+it gives values room to end. A string of which some chunk does not settle is scanned as a whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgate.llm.automaton import ALNUM, DIGITS, Automaton, Part, but, chars, many, maybe, one_of, word, words
+from corpusgate.llm.automaton import ALNUM, DIGITS, Automaton, Grammar, Part, but, chars, many, maybe, one_of, word, words
 from corpusgate.session import materialize
 
 #: Characters of a chunk, and of the stretch that it shares with the next one.
@@ -48,14 +49,18 @@ _TOKEN = chars(ALNUM + "_-")
 _B64 = chars(ALNUM + "+/=_-")
 
 
-def _prefixed() -> list[tuple[str, Part, Part]]:
-    out = [("token", Part(lambda m, s: s), word(p) + many(chars(ALNUM + "_-."), n)) for p, n in TOKEN_PREFIXES.items()]
+#: Kinds that are judged by the name before the value, too.
+_LOCATED = ("assigned", "named", "said", "option", "configured", "header")
+
+
+def _prefixed() -> list[Grammar]:
+    out = [Grammar("token", word(p), many(chars(ALNUM + "_-."), n), len(p)) for p, n in TOKEN_PREFIXES.items()]
     jwt = many(_TOKEN, 6) + word(".") + many(_TOKEN, 6) + word(".") + many(_TOKEN, 6)
-    return [*out, ("token", Part(lambda m, s: s), word("eyJ") + jwt)]
+    return [*out, Grammar("token", word("eyJ"), jwt, 3)]
 
 
-def grammars() -> list[tuple[str, Part, Part]]:
-    """(kind, context, value); the order decides between matches of one length."""
+def grammars() -> list[Grammar]:
+    """The order decides between matches of one length."""
     name = words(*SECRET_NAMES) + many(chars(DIGITS))
     closed = maybe(chars("'\""))
     sign = many(_SPACE) + chars("=:") + many(_SPACE)
@@ -64,13 +69,12 @@ def grammars() -> list[tuple[str, Part, Part]]:
     # The end of the armor may be cut off; what is left of the key is taken then.
     armor_end = word("-----END ") + many(chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ")) + word("-----")
     armor = (
-        word("-----BEGIN ") + many(chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ")) + word("PRIVATE KEY") + maybe(word(" BLOCK")) + word("-----")
+        many(chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ")) + word("PRIVATE KEY") + maybe(word(" BLOCK")) + word("-----")
         + many(one_of(chars(ALNUM + "+/= \t\r\n\\:,.()"), word("-") + chars(ALNUM))) + maybe(armor_end)
     )
     option = many(word("-"), 1) + many(chars(ALNUM + "_-")) + name
     command = lambda *parts: sum_of(*parts)
-    return [
-        ("private_key", Part(lambda m, s: s), armor),
+    contexts = [
         ("url_login", word("://") + many(but(" \t\r\n'\"`/:@?#")) + word(":"), many(but(" \t\r\n'\"`/@"), 3) + word("@")),
         ("webhook", words("hooks.slack.", "hooks.", "discord.com/api/webhooks/") + many(but(" \t\r\n'\"`?")) + word("/"), many(chars(ALNUM + "_-"), 20)),
         ("parameter", chars("?&") + words(*SECRET_PARAMETERS) + word("="), many(but(" \t\r\n'\"`&#<>{}$"), 8)),
@@ -95,8 +99,8 @@ def grammars() -> list[tuple[str, Part, Part]]:
         ("command", command(words("openssl"), many(one_of(but("|;&\n"), word("\\\n")), 1), words("pass:", any_case=False)), many(but(" \t\r\n'\"|;&"), 3)),
         ("piped", words("echo", "printf") + _GAP + maybe(words("-n", "-e", any_case=False) + _GAP) + word("'"), many(_SQ, 3) + _PIPED_END),
         ("piped", words("echo", "printf") + _GAP + maybe(words("-n", "-e", any_case=False) + _GAP) + word('"'), many(_DQ, 3) + _PIPED_END),
-        *_prefixed(),
     ]
+    return [Grammar("private_key", word("-----BEGIN "), armor, 11), *[Grammar(kind, *parts, located=kind in _LOCATED) for kind, *parts in contexts], *_prefixed()]
 
 
 def sum_of(*parts: Part) -> Part:
@@ -174,26 +178,39 @@ def automaton() -> Automaton:
     return Automaton(grammars())
 
 
-def spans_of(text: str, machine: Automaton | None = None) -> list[tuple[str, int, int, bool]]:
-    """``kind, start, end, cut`` of every credential in one text, by start; what lies inside another one is part of it."""
-    out: list[tuple[str, int, int, bool]] = []
-    for kind, a, b, cut in sorted((machine or automaton()).values(text, accepted), key=lambda s: (s[1], -s[2])):
-        if out and b <= out[-1][2]:
-            out[-1] = (*out[-1][:3], out[-1][3] or cut)
-        else:
-            out.append((kind, a, b, cut))
+def spans_of(text: str, machine: Automaton | None = None, own: tuple[int, int] | None = None, head_open: bool = False, tail_open: bool = False) -> list[tuple[str, int, int]] | None:
+    """``kind, start, end`` of every credential in one text, by start; what lies inside another one is part of it.
+
+    For a piece of a text, ``own`` and the open ends are those of ``Automaton.found``; None if the
+    piece alone does not tell.
+    """
+    found = []
+    for f in (machine or automaton()).found(text, accepted, own, head_open, tail_open):
+        if f is None:
+            return None
+        found.append(f)
+    out: list[tuple[str, int, int]] = []
+    for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
+        if not out or b > out[-1][2]:
+            out.append((kind, a, b))
     return out
 
 
 def chunked(strings: DataFrame, keys: list[str], text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``keys, __from, __piece, __last``: pieces of ``chunk`` characters that start ``overlap`` before the last one ended."""
-    step = chunk - overlap
-    length = F.length(text)
-    starts = F.when(length <= chunk, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), length - F.lit(overlap) - 1, F.lit(step)))
-    return (
-        strings.select(*keys, F.col(text).alias("__text"), F.explode(starts).alias("__from"))
-        .select(*keys, "__from", F.expr(f"substring(__text, __from + 1, {chunk})").alias("__piece"), (F.col("__from") + chunk >= F.length("__text")).alias("__last"))
-    )
+    """``keys, __from, __piece, __low, __high, __last``: pieces of ``chunk`` characters that share ``overlap`` with the next one.
+
+    A piece's own places, those from ``__low`` to ``__high``, end in the middle of the overlaps;
+    every place of the string is one piece's own.
+    """
+    step, half = chunk - overlap, overlap // 2
+    length = F.length("__text")
+    starts = F.when(length <= chunk, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(length - F.lit(overlap) - 1, F.lit(0)), F.lit(step)))
+    pieces = strings.select(*keys, F.col(text).alias("__text")).select("*", F.explode(starts).alias("__from"))
+    last = F.col("__from") + chunk >= length
+    return pieces.select(
+        *keys, "__from", F.substring("__text", F.col("__from") + 1, F.lit(chunk)).alias("__piece"), F.when(F.col("__from") == 0, 0).otherwise(half).alias("__low"),
+        F.when(last, chunk + 1).otherwise(half + step).alias("__high"), last.alias("__last"),
+    )
 
 
 def credential_spans(strings: DataFrame, keys: list[str], text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -202,7 +219,7 @@ def credential_spans(strings: DataFrame, keys: list[str], text: str, chunk: int
     ``keys`` identify a string; rows repeated in keys and text count once. Null and empty strings
     have none, and rows with a null key are left out. Columns other than keys and text are ignored.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in strings.select(*keys).schema) + ", kind string, start int, end int, cut boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in strings.select(*keys).schema) + ", kind string, start int, end int"
     spark = strings.sparkSession
     machine = spark.sparkContext.broadcast(automaton())
 
@@ -210,20 +227,19 @@ def credential_spans(strings: DataFrame, keys: list[str], text: str, chunk: int
         from corpusgate.llm.credentials import spans_of
 
         for pdf in batches:
-            rows = [
-                (*key, kind, at + a, at + b, bool(cut and not last))
-                for *key, at, piece, last in pdf.itertuples(index=False, name=None)
-                for kind, a, b, cut in spans_of(piece, machine.value)
-            ]
-            yield pd.DataFrame(rows, columns=[*keys, "kind", "start", "end", "cut"])
+            rows = []
+            for *key, at, piece, low, high, last in pdf.itertuples(index=False, name=None):
+                spans = spans_of(piece, machine.value, (low, high), at > 0, not last)
+                rows += [(*key, None, -1, -1)] if spans is None else [(*key, kind, at + a, at + b) for kind, a, b in spans]
+            yield pd.DataFrame(rows, columns=[*keys, "kind", "start", "end"])
 
     some = strings.where(F.length(text) > 0).dropna(subset=keys).select(*keys, text)
     found = materialize(chunked(some, keys, text, chunk, overlap).mapInPandas(scan, schema).distinct(), "spans")
+    # Strings of more than one chunk only: those with a piece that did not tell are scanned whole.
     longer = some.where(F.length(text) > chunk)
-    # Strings of more than one chunk only: those with a match up to a chunk's end are scanned whole.
-    again = longer.join(found.where("cut").select(*keys).distinct(), keys, "left_semi")
-    whole = again.select(*keys, F.lit(0).alias("__from"), F.col(text).alias("__piece"), F.lit(True).alias("__last")).mapInPandas(scan, schema)
-    spans = found.where(~F.col("cut")).unionByName(whole).select(*keys, "kind", "start", "end").distinct()
+    again = longer.join(found.where("kind IS NULL").select(*keys).distinct(), keys, "left_semi")
+    whole = again.select(*keys, F.lit(0).alias("__from"), F.col(text).alias("__piece"), F.lit(0).alias("__low"), (F.length(text) + 1).alias("__high"), F.lit(True).alias("__last")).mapInPandas(scan, schema)
+    spans = found.where("kind IS NOT NULL").unionByName(whole).distinct()
     # A span inside another one of its string is part of it; chunks overlap, so both may be seen.
     reach = F.max("end").over(Window.partitionBy(*keys).orderBy("start", F.col("end").desc(), "kind").rowsBetween(Window.unboundedPreceding, -1))
     return spans.withColumn("__reach", F.coalesce(reach, F.lit(-1))).where(F.col("end") > F.col("__reach")).drop("__reach")

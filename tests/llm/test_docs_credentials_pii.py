@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -195,7 +196,7 @@ SEVERAL = [
 
 @pytest.mark.parametrize("text,values", SEVERAL)
 def test_a_command_hides_none_of_its_credentials(text, values):
-    assert [text[a:b] for _, a, b, _ in C.spans_of(text)] == values
+    assert [text[a:b] for _, a, b in C.spans_of(text)] == values
 
 
 def test_chunks_give_the_spans_of_the_whole(spark):
@@ -204,19 +205,57 @@ def test_chunks_give_the_spans_of_the_whole(spark):
     for i in range(12):
         parts = [rnd.choice(["go test ./... && "] * 6 + [s + "\n" for s, _ in SECRETS]) for _ in range(40)]
         texts.append((i, "".join(parts)))
+    # Contexts longer than any chunk, also over continued lines, and starts inside words.
+    texts.append((20, "openssl " + "x " * 400 + "-passin pass:Alder77x " + "\\\n y" * 300 + "pass:Birch88y"))
+    texts.append((21, "mysql " + "compass=" * 3 + "z " * 300 + " -pHn8quick && a" + "b" * 500 + "password=Oak99tree"))
     df = spark.createDataFrame([*texts, (98, None), (99, ""), texts[0]], "id long, t string")
-    got = {tuple(r) for r in C.credential_spans(df, ["id"], "t", chunk=300, overlap=120).select("id", "start", "end").collect()}
-    want = set()
-    for i, t in texts:
-        want |= {(i, a, b) for _, a, b, _ in C.spans_of(t)}
-    assert got == want and len(want) > 20
+    want = {(i, a, b) for i, t in texts for _, a, b in C.spans_of(t)}
+    for chunk, overlap in ((300, 120), (90, 40), (57, 20), (1000, 2)):
+        got = [tuple(r) for r in C.credential_spans(df, ["id"], "t", chunk=chunk, overlap=overlap).select("id", "start", "end").collect()]
+        assert (set(got), len(got)) == (want, len(want)) and len(want) > 20
+
+
+def pieces(text, chunk, overlap):
+    """The spans of a text from its pieces, or None if one does not tell."""
+    step, half, out, at = chunk - overlap, overlap // 2, set(), 0
+    while True:
+        last = at + chunk >= len(text)
+        got = C.spans_of(text[at : at + chunk], None, (half if at else 0, chunk + 1 if last else half + step), at > 0, not last)
+        if got is None:
+            return None
+        out |= {(at + a, at + b) for _, a, b in got}
+        if last:
+            return {(a, b) for a, b in out if not any((x, y) != (a, b) and x <= a and b <= y for x, y in out)}
+        at += step
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pieces_tell_the_truth_or_nothing(seed):
+    rnd, told = random.Random(seed), 0
+    words = [s for s, _ in SECRETS] + [s for s, _ in SEVERAL] + HARMLESS + ["compass", "pass", "password=", "curl ", "openssl ", "\n", " ", "'", '"', "ghp_", "-----BEGIN ", "x" * 30, "é"]
+    for _ in range(150):
+        text = rnd.choice(["", "\n"]).join(rnd.choice(words) for _ in range(rnd.randint(1, 30)))
+        want = {(a, b) for _, a, b in C.spans_of(text)}
+        chunk = rnd.randint(4, 600)
+        got = pieces(text, chunk, rnd.randint(2, chunk - 1))
+        told += got is not None and len(text) > chunk
+        assert got is None or got == want, (text, chunk)
+    assert told > 5
+
+
+@pytest.mark.parametrize("text", ["-" * 200_000, "curl x " * 30_000, "openssl " + "pass:" * 40_000, "password='" * 20_000, "curl " + "-u a:b " * 28_000, "redis-cli " + "-a abcd " * 25_000])
+def test_long_lines_take_time_in_proportion(text):
+    C.spans_of(text[:1000])
+    began = time.process_time()
+    C.spans_of(text)
+    assert time.process_time() - began < 10
 
 
 def test_redaction_changes_only_the_value(spark):
     df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(SECRETS)] + [(50, "make test"), (51, None), (52, "")], "id long, t string")
     got = {r.id: r.t for r in C.redacted(df, ["id"], "t").collect()}
     for i, (s, value) in enumerate(SECRETS):
-        ((kind, a, b, _),) = C.spans_of(s)
+        ((kind, a, b),) = C.spans_of(s)
         assert got[i] == s[:a] + f"<{kind.upper()}>" + s[b:] and value not in got[i]
     assert (got[50], got[51], got[52]) == ("make test", None, "")
 
