@@ -246,18 +246,14 @@ def credential_spans(strings: DataFrame, keys: list[str], text: str, chunk: int
 
 
 def spliced(text: Column, spans: Column) -> Column:
-    """``text`` with each of ``spans`` (array of start, end, kind in order, not null) replaced by ``<KIND>``."""
-    zero = F.struct(F.lit("").alias("done"), F.lit(0).alias("upto"))
-    step = F.reduce(
+    """``text`` with each of ``spans`` (array of start, end, kind by rising start and end) replaced by ``<KIND>``; null spans change nothing."""
+    ended = lambda i: F.coalesce(F.get(spans, i)["end"], F.lit(0))
+    pieces = F.transform(
         spans,
-        zero,
-        lambda acc, s: F.struct(
-            F.concat(acc["done"], F.substring(text, acc["upto"] + 1, F.greatest(s["start"] - acc["upto"], F.lit(0))), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("done"),
-            F.greatest(s["end"], acc["upto"]).alias("upto"),
-        ),
-        lambda acc: F.concat(acc["done"], F.substring(text, acc["upto"] + 1, F.length(text))),
+        lambda s, i: F.concat(F.substring(text, ended(i - 1) + 1, F.greatest(s["start"] - ended(i - 1), F.lit(0))), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
     )
-    return F.when(spans.isNull(), text).otherwise(step)
+    rest = F.substring(text, ended(F.size(spans) - 1) + 1, F.length(text))
+    return F.when(spans.isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest))
 
 
 def redacted(strings: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Possible personal information in one text: mentions with their places and contexts.
 
-E-mail and street addresses are told by their own form. Names and numbers are only candidates
-here: each carries the keys of its instance and of the lexical patterns around it, and whether
-its own form already makes it a seed. What they are is decided over the whole corpus.
+All are only candidates here: each carries the keys of its instance and of the lexical patterns
+around it, and whether its own form already makes it a seed. What they are is decided over the
+whole corpus.
 """
 
 from __future__ import annotations
@@ -160,13 +160,34 @@ def mentions_in(text: str | None) -> list[Mention]:
         return []
     out: list[Mention] = []
     mails = emails_in(text)
-    out += [Mention("email", a, b, "email", (), ()) for a, b in mails]
+    out += [_email(text, a, b) for a, b in mails]
     taken = list(mails)
     _numbers(text, out, taken)
     _names(text, out, taken, mails)
     return out
 
 
+_HOST_DOTS = re.compile(rf"(?i){_DOT}")
+_SPELLED_AT = re.compile(r"(?i)[ \t]*[(\[{][ \t]*(?:at|arroba|ät)[ \t]*[)\]}][ \t]*|[ \t]+at[ \t]+")
+
+
+def _email(text: str, a: int, b: int) -> Mention:
+    """A seed if it has its sign; spelled out, it is known by its host and its surroundings."""
+    value = text[a:b]
+    plain = "@" in value
+    host = value.split("@", 1)[1] if plain else _SPELLED_AT.split(value, maxsplit=1)[-1]
+    return Mention("email", a, b, "email" if plain else None, (f"H {_HOST_DOTS.sub('.', host).lower()}",), _context(text, a, b))
+
+
+def _address(text: str, a: int, b: int) -> Mention:
+    """A seed if a flat or a town stands beside street and number; else it is known by the street's words and its surroundings."""
+    value = text[a:b]
+    street = value.split(",")[0] if not value[:1].isdigit() else value
+    words = [w.lower() for w in re.findall(r"[^\W\d]{3,}", street.split(",")[0])]
+    keys = tuple(f"W {w}" for w in dict.fromkeys(words)) or ("W",)
+    return Mention("address", a, b, "address" if "," in value[4:] else None, keys, _context(text, a, b))
+
+
 def _address_at(text: str, place: int, digits: int) -> tuple[int, int] | None:
     """The address whose house number stands at ``place``, if one does."""
     if digits > 5 or (place and (text[place - 1].isalnum() or text[place - 1] in "./:-_")):
@@ -216,7 +237,7 @@ def _numbers(text: str, out: list[Mention], taken: list[tuple[int, int]]) -> Non
         address = _address_at(text, place, first)
         if address:
             if _free(taken, *address):
-                out.append(Mention("address", *address, "address", (), ()))
+                out.append(_address(text, *address))
                 taken.append(address)
             upto = address[1]
             continue

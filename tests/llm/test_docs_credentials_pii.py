@@ -338,3 +338,27 @@ def test_texts_without_id_are_masked(spark):
 
 def test_empty_corpus(spark):
     assert pii.personal_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_nodes_change_no_score(spark):
+    docs, _ = corpus()
+    found = pii.mentions(spark.createDataFrame(docs, "doc_id long, text string"))
+    get = lambda hot: {(r.kind, r.inst): tuple(round(r[s], 9) for s in ("s_0", "s_1", "s_2")) for r in pii.instance_scores(found, 2, hot)[0].collect()}
+    cold, hot = get(200_000), get(3)
+    assert cold == hot and len(cold) > 10
+
+
+def test_spelled_out_addresses_are_found_by_the_graph(spark):
+    docs = [(i, f"mail anna{i}@corp.example or call") for i in range(6)] + [(10, "mail bruno (at) corp [dot] example or call"), (11, "see x (at) y [dot] zz")]
+    docs += [(20 + i, f"lives at {i + 2} Cedar Street, Bramford, VT 12345 since May") for i in range(6)] + [(30, "lives at 9 Cedar Street since May")]
+    df = spark.createDataFrame([*docs, *[(100 + i, docs[0][1]) for i in range(50)]], "doc_id long, text string")
+    got = {tuple(r) for r in pii.personal_lines(df).collect()}
+    want = {(i, 1, "email") for i in [*range(6), 10, *range(100, 150)]} | {(i, 1, "address") for i in [*range(20, 26), 30]}
+    assert got == want
+
+
+def test_overlapping_spans_become_one(spark):
+    rows = [(1, 0, 4, "name"), (1, 2, 9, "email"), (1, 3, 5, "phone"), (1, 9, 11, "phone"), (2, 5, 6, "name")]
+    df = spark.createDataFrame(rows, "k long, start int, end int, kind string")
+    got = {r.k: [tuple(s) for s in r.spans] for r in pii.merged_spans(df, ["k"]).collect()}
+    assert got == {1: [(0, 9, "name"), (9, 11, "phone")], 2: [(5, 6, "name")]}
