@@ -43,8 +43,8 @@ def symbols_of(path: str | None, content: str | None) -> list[Symbol]:
     text = content.removeprefix("﻿")
     if language == "python":
         return _python(text)
-    masked, comments = _masked(text, language)
-    return (_go if language == "go" else _script)(text, masked, comments)
+    at = _Places(text, *_masked(text, language))
+    return (_go if language == "go" else _script)(at)
 
 
 class Class(NamedTuple):
@@ -57,27 +57,31 @@ class Class(NamedTuple):
 
 
 def symbols_and_hierarchy(path: str | None, content: str | None) -> tuple[list[Symbol], list[Class], list[Symbol]]:
-    """The symbols of ``symbols_of``, the classes of the file, and members without a body as symbols without code."""
+    """The symbols of ``symbols_of`` without their measures, the classes of the file, and members without a body as symbols without code."""
     language = language_of(path)
     if language is None or not content:
         return [], [], []
     text = content.removeprefix("﻿")
     if language == "python":
         classes: list[Class] = []
-        return _python(text, classes), classes, []
-    masked, comments = _masked(text, language)
+        return _python(text, classes, False), classes, []
+    at = _Places(text, *_masked(text, language))
     if language == "go":
-        return _go(text, masked, comments), *_go_hierarchy(text, masked, comments)
-    return _script(text, masked, comments), *_script_hierarchy(text, masked, comments)
+        return _go(at, False), *_go_hierarchy(at)
+    return _script(at, False), *_script_hierarchy(at)
 
 
 # Python
 
 
-def _python_imports(tree: ast.AST) -> dict[str, tuple[str, str]]:
-    """The module and the name there of every imported name."""
-    froms = [n for n in ast.walk(tree) if isinstance(n, ast.ImportFrom)]
-    return {a.asname or a.name: ("." * n.level + (n.module or ""), a.name) for n in froms for a in n.names}
+def _statements(node: ast.AST) -> list[ast.AST]:
+    """The statements, handlers and cases right below ``node``."""
+    out = []
+    for name in ("body", "handlers", "orelse", "finalbody", "cases"):
+        below = getattr(node, name, None)
+        if isinstance(below, list):
+            out += below
+    return out
 
 
 def _python_class(node: ast.ClassDef, imports: dict[str, tuple[str, str]]) -> Class:
@@ -90,29 +94,31 @@ def _python_class(node: ast.ClassDef, imports: dict[str, tuple[str, str]]) -> Cl
     return Class(node.name, tuple(bases), tuple(sources), node.lineno)
 
 
-def _python(text: str, classes: list[Class] | None = None) -> list[Symbol]:
+def _python(text: str, classes: list[Class] | None = None, measures: bool = True) -> list[Symbol]:
     # ``\f`` and the like do not end a line here, as in the line numbers of ``ast``.
     try:
         tree = ast.parse(text.replace("\r\n", "\n"))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return _python_lines(text)
+        return _python_lines(text, classes)
     lines = text.replace("\r\n", "\n").split("\n")
-    out, todo = [], [(tree, None, ())]
-    imports = _python_imports(tree) if classes is not None else {}
+    out, todo, imports, found = [], [(tree, None, ())], {}, []
     while todo:
         node, owner, bases = todo.pop()
-        for child in ast.iter_child_nodes(node):
+        for child in _statements(node):
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 code = "\n".join(lines[child.lineno - 1 : child.end_lineno])
-                params = _python_params(child)
-                out.append(Symbol(child.name, "method" if owner else "function", owner, bases, child.lineno, child.end_lineno, code, ast.get_docstring(child) or "", _python_complexity(child), params, len(params)))
+                facts = (_python_complexity(child), params := _python_params(child), len(params)) if measures else ()
+                out.append(Symbol(child.name, "method" if owner else "function", owner, bases, child.lineno, child.end_lineno, code, ast.get_docstring(child) or "", *facts))
                 todo.append((child, None, ()))
             elif isinstance(child, ast.ClassDef):
-                if classes is not None:
-                    classes.append(_python_class(child, imports))
+                found.append(child)
                 todo.append((child, child.name, tuple(b.attr if isinstance(b, ast.Attribute) else getattr(b, "id", "") for b in child.bases)))
-            elif isinstance(child, (ast.stmt, ast.ExceptHandler, ast.match_case)):
+            elif isinstance(child, ast.ImportFrom):
+                imports |= {a.asname or a.name: ("." * child.level + (child.module or ""), a.name) for a in child.names}
+            else:
                 todo.append((child, owner, bases))
+    if classes is not None:
+        classes += [_python_class(c, imports) for c in found]
     return sorted(out, key=lambda s: s.line)
 
 
@@ -141,11 +147,27 @@ _DEF = re.compile(r"(?m)^([ \t]*)(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*(?:\[[^\]]*
 _DOCSTRING = re.compile(r'[ \t\r\n]*(?:#[^\n]*\n[ \t\r\n]*)*([rRuU]?)("""|\'\'\'|"|\')')
 
 
-def _python_lines(text: str) -> list[Symbol]:
-    """Definitions by line, for a file that does not parse; strings are masked first."""
+_PYTHON_CLASS = re.compile(r"(?m)^([ \t]*)class[ \t]+(\w+)[ \t]*(?:\[[^\]]*\])?(?:\(([^()]*)\))?[ \t]*:")
+_PYTHON_FROM = re.compile(r"(?m)^[ \t]*from[ \t]+([.\w]+)[ \t]+import[ \t]+(?:\(([^)]*)\)|([^\n(]+))")
+
+
+def _python_lines(text: str, classes: list[Class] | None = None) -> list[Symbol]:
+    """Definitions by line, for a file that does not parse; strings are masked first. A method belongs to the class above it that is indented less."""
     masked, _ = _masked(text, "python")
-    out = []
+    imports = {}
+    for m in _PYTHON_FROM.finditer(masked):
+        for names in (m.group(2) or m.group(3)).split(","):
+            if words := names.split():
+                imports[words[-1]] = (m.group(1), words[0])
+    found = [(m.start(), m.group(1), m.group(2), [imports.get(b, ("", b.split(".")[-1])) for b in (x.strip() for x in (m.group(3) or "").split(",")) if b and "=" not in b]) for m in _PYTHON_CLASS.finditer(masked)]
+    if classes is not None:
+        classes += [Class(name, tuple(b for _, b in bases), tuple(x for x, _ in bases), text.count("\n", 0, at) + 1) for at, _, name, bases in found]
+    out, k, above = [], 0, []
     for m in _DEF.finditer(masked):
+        while k < len(found) and found[k][0] < m.start():
+            above = [c for c in above if len(c[1]) < len(found[k][1])] + [found[k]]
+            k += 1
+        above = [c for c in above if len(c[1]) < len(m.group(1))]
         i, depth = m.end(), 1
         while i < len(masked) and depth:
             depth += masked[i] in "([{"
@@ -163,7 +185,8 @@ def _python_lines(text: str) -> list[Symbol]:
         stop = deeper.search(masked, masked.find("\n", colon.end()) + 1 or len(masked))
         end = stop.start() if stop else len(text)
         code = text[m.start() : end].rstrip()
-        out.append(Symbol(m.group(2), "method" if m.group(1) else "function", None, (), line, line + code.count("\n"), code, doc))
+        owner, bases = (above[-1][2], tuple(b for _, b in above[-1][3])) if above else (None, ())
+        out.append(Symbol(m.group(2), "method" if m.group(1) else "function", owner, bases, line, line + code.count("\n"), code, doc))
     return out
 
 
@@ -263,9 +286,8 @@ class _Places:
 _GO_FUNC = re.compile(r"(?m)^func[ \t]*(?:\(([^()]*)\)[ \t]*)?([^\W\d]\w*)[ \t]*(\[[^\]]*\][ \t]*)?\(")
 
 
-def _go(text: str, masked: str, comments: list[Comment]) -> list[Symbol]:
-    at = _Places(text, masked, comments)
-    out = []
+def _go(at: _Places, measures: bool = True) -> list[Symbol]:
+    text, masked, out = at.text, at.masked, []
     for m in _GO_FUNC.finditer(masked):
         if at.open_brace(m.start()) >= 0:
             continue
@@ -274,8 +296,8 @@ def _go(text: str, masked: str, comments: list[Comment]) -> list[Symbol]:
         # A result list may hold function types, but no brace of the body stands before it.
         end = at.body(after)
         owner = re.sub(r"\[.*|[*\s]", "", m.group(1).split()[-1]) if (m.group(1) or "").strip() else None
-        complexity, guards = _go_complexity(masked[after:end])
-        names = _go_params(masked[m.end() : params_end]) if params_end > 0 else 0
+        complexity, guards = _go_complexity(masked[after:end]) if measures else (0, 0)
+        names = _go_params(masked[m.end() : params_end]) if measures and params_end > 0 else 0
         kind = "method" if m.group(1) is not None else "function"
         place = (at.line(m.start()), at.line(max(m.start(), end - 1)))
         out.append(Symbol(m.group(2), kind, owner, (), *place, text[m.start() : end], at.attached(m.start(), 1), complexity, (), names, guards))
@@ -287,10 +309,9 @@ _GO_EMBEDDED = re.compile(r"[ \t]*\*?(?:\w+\.)?([^\W\d]\w*)(?:\[[^\n]*\])?\s*")
 _GO_MEMBER = re.compile(r"[ \t]*([^\W\d]\w*)[ \t]*\(")
 
 
-def _go_hierarchy(text: str, masked: str, comments: list[Comment]) -> tuple[list[Class], list[Symbol]]:
+def _go_hierarchy(at: _Places) -> tuple[list[Class], list[Symbol]]:
     """Types with what they embed, and the methods of interfaces."""
-    at = _Places(text, masked, comments)
-    classes, members = [], []
+    masked, classes, members = at.masked, [], []
     for t in _GO_TYPE.finditer(masked):
         opened = t.start(3)
         if at.open_brace(t.start(1)) >= 0 or opened not in at.close:
@@ -404,13 +425,14 @@ _METHOD = re.compile(rf"(?:(?:public|private|protected|static|async|readonly|ove
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "function", "super", "await", "typeof", "new", "do", "else", "with", "throw", "yield", "import"}
 
 
-def _script(text: str, masked: str, comments: list[Comment]) -> list[Symbol]:
-    at = _Places(text, masked, comments)
-    out = []
+def _script(at: _Places, measures: bool = True) -> list[Symbol]:
+    text, masked, out = at.text, at.masked, []
 
     def add(name: str, kind: str, owner: str | None, bases: tuple[str, ...], start: int, end: int, params: str, body: int) -> None:
-        names = tuple(re.match(r"[.\s]*(?:(?:public|private|protected|readonly)\s+)*([\w$]*)", p).group(1) for p in _top_level(params, ","))
-        facts = (_script_complexity(masked[body:end]), names, len(names))
+        facts = ()
+        if measures:
+            names = tuple(re.match(r"[.\s]*(?:(?:public|private|protected|readonly)\s+)*([\w$]*)", p).group(1) for p in _top_level(params, ","))
+            facts = (_script_complexity(masked[body:end]), names, len(names))
         out.append(Symbol(name, kind, owner, bases, at.line(start), at.line(max(start, end - 1)), text[start:end], at.attached(start, 1), *facts))
 
     for m in _FUNCTION.finditer(masked):
@@ -471,9 +493,9 @@ def _bare_types(listed: str | None) -> list[str]:
     return [t.strip() for t in text.split(",")]
 
 
-def _script_hierarchy(text: str, masked: str, comments: list[Comment]) -> tuple[list[Class], list[Symbol]]:
+def _script_hierarchy(at: _Places) -> tuple[list[Class], list[Symbol]]:
     """Classes and interfaces with their bases, and their members without a body."""
-    at = _Places(text, masked, comments)
+    text, masked = at.text, at.masked
     imports: dict[str, tuple[str, str]] = {}
     for m in _IMPORT.finditer(text):
         if masked[m.start()] == " ":
