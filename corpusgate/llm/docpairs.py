@@ -22,10 +22,11 @@ SYMBOL = "rel string, repos array<string>, version long, symbol_name string, sym
 HIERARCHY = ("class", "member")
 
 
-def source_symbols(files: DataFrame) -> DataFrame:
+def source_symbols(files: DataFrame, texts: bool = True) -> DataFrame:
     """One row per named function and method of ``files`` (``rel, content``, if known ``repo``), documented or not.
 
-    Further rows of the kinds ``class`` and ``member`` hold the hierarchy.
+    Further rows of the kinds ``class`` and ``member`` hold the hierarchy. Without ``texts``, code
+    and documentation stay empty, for callers that only ask what is documented.
 
     Rows repeated in rel and content count once. Null contents, other extensions and files
     without functions give no rows. ``documentation`` is what describes the symbol, without
@@ -41,8 +42,9 @@ def source_symbols(files: DataFrame) -> DataFrame:
             for rel, repos, version, content in zip(pdf["rel"], pdf["repos"], pdf["version"], pdf["content"]):
                 symbols, classes, members = symbols_and_hierarchy(rel, content)
                 for s in [*symbols, *members]:
-                    text = S.described(s.doc)
-                    rows.append((rel, repos, version, s.name, s.kind, s.owner, list(s.bases), [], s.line, s.end_line, s.code, text, S.telling_words(text, s.name) >= 5))
+                    text = S.described(s.doc) if s.doc else ""
+                    told = S.tells(text, s.name)
+                    rows.append((rel, repos, version, s.name, s.kind, s.owner, list(s.bases), [], s.line, s.end_line, *((s.code, text) if texts else ("", "")), told))
                 rows += [(rel, repos, version, c.name, "class", c.name, list(c.bases), list(c.sources), c.line, c.line, "", "", False) for c in classes]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SYMBOL.split(", ")])
 
@@ -70,11 +72,12 @@ def _stem(rel: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(rel, r"\.(?:go|py|tsx?|jsx?)$", ""), r"/(?:index|__init__)$", "")
 
 
-def class_edges(classes: DataFrame) -> DataFrame:
-    """``node, base`` nodes of ``classes`` (``family, repo, rel, node, owner, bases, sources``).
+def resolved_bases(classes: DataFrame) -> DataFrame:
+    """``rel, node, owner, base``: each base (``owner`` is its name) of ``classes`` (``family, repo, rel, version, node, owner, bases, sources``) with its node.
 
     A base is looked for in the same file, then in the module it is imported from, then in the
     folder, the repo and the whole corpus; behind the file only where one file alone has the name.
+    ``base`` is null where none of these tells it.
     """
     folder = F.regexp_replace("rel", r"[^/]*$", "")
     places = classes.select("family", "repo", "rel", "version", "owner", "node", _stem(F.col("rel")).alias("module"), folder.alias("folder"))
@@ -85,7 +88,25 @@ def class_edges(classes: DataFrame) -> DataFrame:
         on = ["family", "owner", *keys]
         only = places.groupBy(*on).agg(F.min("node").alias(f"t{i}"), F.min(F.struct("repo", "rel")).alias("lo"), F.max(F.struct("repo", "rel")).alias("hi")).where("lo = hi").drop("lo", "hi")
         edges = edges.join(only, on, "left")
-    return edges.select("node", F.coalesce(*[f"t{i}" for i in range(len(tiers))]).alias("base")).where("base IS NOT NULL AND base <> node").distinct()
+    return edges.select("rel", "node", "owner", F.coalesce(*[f"t{i}" for i in range(len(tiers))]).alias("base")).distinct()
+
+
+def class_edges(classes: DataFrame) -> DataFrame:
+    """``node, base`` of the bases that are known."""
+    return resolved_bases(classes).where("base IS NOT NULL AND base <> node").select("node", "base").distinct()
+
+
+def _nodes(symbols: DataFrame) -> DataFrame:
+    family = F.when(F.col("rel").endswith(".go"), "go").when(F.col("rel").endswith(".py"), "py").otherwise("script")
+    rows = symbols.where("owner IS NOT NULL").drop("code", "end_line").withColumn("family", family).withColumn("repo", F.explode("repos"))
+    return rows.withColumn("node", F.to_json(F.array(F.col("family"), F.col("repo"), F.col("rel"), F.col("version").cast("string"), F.col("owner"))))
+
+
+def unknown_bases(files: DataFrame) -> DataFrame:
+    """``rel, class_name, base_name``: bases that several files could mean, or none has; no documentation is taken from them."""
+    classes = _nodes(source_symbols(files, texts=False)).where("symbol_kind = 'class'")
+    open_ = resolved_bases(classes).where("base IS NULL")
+    return open_.select("rel", F.get(F.from_json("node", "array<string>"), 4).alias("class_name"), F.col("owner").alias("base_name")).distinct()
 
 
 def inherited(symbols: DataFrame) -> DataFrame:
@@ -95,11 +116,13 @@ def inherited(symbols: DataFrame) -> DataFrame:
     twice for a method, so a hierarchy that runs in a circle ends. For ``version`` see ``class_edges``:
     it tells contents of one path apart.
     """
-    family = F.when(F.col("rel").endswith(".go"), "go").when(F.col("rel").endswith(".py"), "py").otherwise("script")
-    rows = symbols.where("owner IS NOT NULL").drop("code", "end_line").withColumn("family", family).withColumn("repo", F.explode("repos"))
-    rows = rows.withColumn("node", F.to_json(F.array(F.col("family"), F.col("repo"), F.col("rel"), F.col("version").cast("string"), F.col("owner"))))
+    rows = _nodes(symbols)
+    none = symbols.sparkSession.createDataFrame([], "rel string, version long, symbol_name string, line_number int, documentation string, inherited_from string")
+    edges = materialize(class_edges(rows.where("symbol_kind = 'class'")), "class_edges")
+    if edges.isEmpty():
+        return none
     told = rows.where("telling").groupBy("node", "symbol_name").agg(F.min("documentation").alias("documentation"), F.first("owner").alias("owner"))
-    told, edges = materialize(told, "told"), materialize(class_edges(rows.where("symbol_kind = 'class'")), "class_edges")
+    told = materialize(told, "told")
     key = ["rel", "version", "repo", "symbol_name", "line_number"]
     open_ = rows.where(~F.col("symbol_kind").isin(*HIERARCHY) & ~F.col("telling")).select(*key, "node")
     seen, found, level = open_, None, 0
@@ -113,29 +136,24 @@ def inherited(symbols: DataFrame) -> DataFrame:
         hit = materialize(hit, f"hit_{level}")
         found = hit if found is None else found.unionByName(hit)
         seen, open_, level = seen.unionByName(up), up.join(hit.select(*key), key, "left_anti"), level + 1
-    if found is None:
-        found = symbols.sparkSession.createDataFrame([], "rel string, version long, repo string, symbol_name string, line_number int, documentation string, inherited_from string")
-    return found.drop("repo").distinct()
+    return none if found is None else found.drop("repo").distinct()
 
 
-def documented_pairs(files: DataFrame) -> DataFrame:
+def documented_pairs(files: DataFrame, texts: bool = True) -> DataFrame:
     """``rel, symbol_name, symbol_kind, line_number, end_line, code, documentation, inherited_from``.
 
-    ``inherited_from`` is null where the documentation is the symbol's own.
+    ``inherited_from`` is null where the documentation is the symbol's own. Without ``texts``,
+    code and documentation are empty.
     """
     columns = ["rel", "symbol_name", "symbol_kind", "line_number", "end_line", "code"]
-    symbols = materialize(source_symbols(files), "symbols")
-    own = _own(symbols).select(*columns, "documentation", F.lit(None).cast("string").alias("inherited_from"))
+    symbols = materialize(source_symbols(files, texts), "symbols")
+    written = symbols.where(~F.col("symbol_kind").isin(*HIERARCHY))
+    own = written.where("telling").select(*columns, "documentation", F.lit(None).cast("string").alias("inherited_from"))
     key = ["rel", "version", "symbol_name", "line_number"]
-    members = symbols.where(~F.col("symbol_kind").isin(*HIERARCHY) & ~F.col("telling")).select(*columns, "version")
-    taken = members.join(inherited(symbols), key).select(*columns, "documentation", "inherited_from")
+    taken = written.where("NOT telling").select(*columns, "version").join(inherited(symbols), key).select(*columns, "documentation", "inherited_from")
     return own.unionByName(taken)
 
 
-def _own(symbols: DataFrame) -> DataFrame:
-    return symbols.where(F.col("telling") & ~F.col("symbol_kind").isin(*HIERARCHY))
-
-
 def documented_symbols(files: DataFrame) -> DataFrame:
-    """``rel, symbol_name, line_number``, once each, of the pairs whose documentation is the symbol's own."""
-    return _own(source_symbols(files)).select("rel", "symbol_name", "line_number").distinct()
+    """``rel, symbol_name, line_number``, once each, of ``documented_pairs``."""
+    return documented_pairs(files, texts=False).select("rel", "symbol_name", "line_number").distinct()

@@ -68,19 +68,27 @@ def _name_words(name: str) -> set[str]:
     return {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)}
 
 
-def telling_words(text: str, name: str) -> int:
-    """Words that are neither small words nor words of the symbol's own name, in any ending."""
+_WORD = re.compile(r"[^\W\d_](?:[\w'’-]*\w)?")
+
+
+def tells(text: str, name: str, least: int = 5) -> bool:
+    """Whether ``least`` words are left that are neither small words nor words of the symbol's own name, in any ending."""
     own, whole, n = _name_words(name), name.lower().strip("_"), 0
-    for word in re.findall(r"[^\W\d_](?:[\w'’-]*\w)?", text):
-        low = word.lower()
-        if low in SMALL_WORDS or low.strip("_") == whole or low in ("function", "method"):
-            continue
-        if low in own or any(low.startswith(o[: max(3, len(o) - 1)]) and len(low) <= len(o) + 3 for o in own if len(o) > 2):
+    stems = tuple((o[: max(3, len(o) - 1)], len(o) + 3) for o in own if len(o) > 2)
+    for m in _WORD.finditer(text):
+        low = m.group().lower()
+        if low in SMALL_WORDS or low in own or low.strip("_") == whole or low in ("function", "method"):
             continue
-        n += 1
-    return n
+        for stem, most in stems:
+            if len(low) <= most and low.startswith(stem):
+                break
+        else:
+            n += 1
+            if n == least:
+                return True
+    return n >= least
 
 
 def is_trivial(doc: str, name: str, least: int = 5) -> bool:
     """Whether fewer than ``least`` telling words are left of the documentation."""
-    return telling_words(described(doc), name) < least
+    return not tells(described(doc), name, least)

@@ -94,13 +94,12 @@ def files(spark):
 
 def test_documented_symbols(spark):
     got = {tuple(r) for r in docpairs.documented_symbols(files(spark)).collect()}
-    assert got == {("a.py", "run", 5), ("a.py", "inner", 21), ("a.go", "DoWork", 7), ("a.ts", "draw", 4), ("a.ts", "load", 14)}
+    # Leaf.run in line 18 says what Base.run says, two classes above.
+    assert got == {("a.py", "run", 5), ("a.py", "run", 18), ("a.py", "inner", 21), ("a.go", "DoWork", 7), ("a.ts", "draw", 4), ("a.ts", "load", 14)}
 
 
 def test_inherited_documentation_climbs_the_hierarchy(spark):
-    # Mid writes no method of its own, so its edge comes from a method that says nothing.
-    text = PY.replace("class Mid(Base):\n    pass", "class Mid(Base):\n    def other(self): ...")
-    df = spark.createDataFrame([("a.py", text)], "rel string, content string")
+    df = spark.createDataFrame([("a.py", PY)], "rel string, content string")
     got = {(r.symbol_name, r.line_number): r.inherited_from for r in docpairs.documented_pairs(df).collect()}
     assert got == {("run", 5): None, ("run", 18): "Base", ("inner", 21): None}
     circle = spark.createDataFrame([("c.py", "class A(B):\n    def m(self): ...\nclass B(A):\n    def m(self): ...\n")], "rel string, content string")
@@ -147,6 +146,17 @@ func (t *T) Flush() {}
     }
 
 
+def test_bases_that_nothing_tells_are_listed_and_deep_or_broken_files_resolved(spark):
+    told = '    """Sends queued records towards their owners after midnight."""\n'
+    deep = "class C0:\n  def run(self):\n" + told + "".join(f"class C{i}(C{i - 1}): pass\n" for i in range(1, 9)) + "class Last(C8):\n  def run(self): ...\n"
+    broken = "class Top:\n  def run(self):\n" + told + "class Low(Top):\n  def run(self):\n    return 1\nx = (\n"
+    rows = [("d/deep.py", deep), ("e/broken.py", broken), ("f/one.py", "class Same: pass"), ("g/two.py", "class Same: pass"), ("h/use.py", "class U(Same): pass\nclass V(Missing): pass")]
+    df = spark.createDataFrame(rows, "rel string, content string")
+    assert {tuple(r) for r in docpairs.unknown_bases(df).collect()} == {("h/use.py", "U", "Same"), ("h/use.py", "V", "Missing")}
+    got = {(r.rel, r.inherited_from) for r in docpairs.documented_pairs(df).collect() if r.inherited_from}
+    assert got == {("d/deep.py", "C0"), ("e/broken.py", "Top")}
+
+
 @pytest.mark.parametrize("doc,name", [("", "f"), ("TODO", "f"), ("// go:noinline", "f"), ("Index import.", "indexImport"), ("/** ... */", "f"), ("@param a the one thing that really counts here", "f"), ("row = call(x)\n}", "f"), ("This function does it.", "doIt"), ("see above", "f")])
 def test_trivial_documentation(doc, name):
     assert S.is_trivial(doc, name)
