@@ -33,6 +33,16 @@ def test_top_n_thresholds_drop_nothing_that_counts(spark):
     assert sorted(map(tuple, got.select("file_path", "fact_id", "rank").collect())) == brute(data)
 
 
+def test_infinite_scores_are_items(spark):
+    inf = float("inf")
+    data = [("a", inf, 1), ("a", -inf, 2), ("a", 1e308, 3), ("a", float("nan"), 4), ("a", None, 5), ("a", -1e308, 6), ("b", -inf, 7), *[("a", float(i), 10 + i) for i in range(40)]]
+    df = spark.createDataFrame(data, "g string, s double, id long")
+    for n, share in ((1, 0.0005), (3, 0.0005), (3, 0.99), (46, 0.99)):
+        got = topn.top_n(df, ["g"], "s", [F.col("id")], n, large_share=share)
+        want = sorted((g, r[1]) for g in "ab" for r in sorted((-s, i) for h, s, i in data if h == g and s is not None and s == s)[:n])
+        assert sorted((r.g, r.id) for r in got.collect()) == want
+
+
 def test_top_n_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert topn.most_complex_facts(empty).count() == 0
