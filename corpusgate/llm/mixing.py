@@ -4,8 +4,9 @@ Capped water-filling over the sources' token counts: a source is clamped at its
 ``max_repeats`` times each, the weight it cannot take goes to the others in proportion to their
 targets, until no further source is clamped. A source's amount is whole passes over all its
 documents plus a seeded sample for the fractional pass: documents are ordered by a seeded hash,
-a histogram of hash ranges finds the range in which the wanted tokens are reached, and only the
-documents of that range are ranked, so no source is ever sorted as one group.
+a histogram of hash ranges finds the range in which the wanted tokens are reached, that range is
+cut into finer ones as long as it holds many documents, and only the documents of the last one
+are ranked, so no source is ever sorted as one group.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgate.session import materialize
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 TOKENIZERS = "/opt/tokenizers"
-#: Hash ranges of a source's fractional pass; about that part of its documents is ranked.
-RANGES = 4096
+#: Bits of the hash by which a range is cut, how often at most, and the documents of a range that are ranked in one task.
+RANGE_BITS = 12
+LEVELS = 5
+RANKED = 50_000
 
 _ENCODERS: dict[str, object] = {}
 
@@ -126,7 +129,41 @@ def source_shares(counted: DataFrame, targets: DataFrame, total_tokens: float |
     return water_fill(wanted, float(total_tokens))
 
 
-def mix(counted: DataFrame, shares: list[Share], seed: int = 42) -> DataFrame:
+def _range(level: int) -> Column:
+    """The number of a document's hash range; ranges of a higher level are parts of one below."""
+    return F.shiftrightunsigned("__h", 64 - RANGE_BITS * (level + 1))
+
+
+def edge_ranges(used: DataFrame, ranked: int = RANKED) -> tuple[int, list[tuple[str, int, float]]]:
+    """The level, and of each source the range in which ``wanted`` is reached and the tokens left for it.
+
+    ``used`` has ``source, n_tokens, wanted, __h``. Sources that fit whole have no range. Each
+    level reads the documents once; the driver holds a row per source.
+    """
+    spark, edges, level = used.sparkSession, None, 0
+    rising = Window.partitionBy("source").orderBy("__range")
+    while True:
+        rows = used
+        if edges is not None:
+            at = F.broadcast(spark.createDataFrame(edges, "source string, __edge long, __left double"))
+            rows = used.join(at, "source").where(_range(level - 1) == F.col("__edge")).withColumn("wanted", F.col("__left"))
+        hist = rows.groupBy("source", _range(level).alias("__range")).agg(F.sum("n_tokens").alias("__n"), F.count("*").alias("__docs"), F.first("wanted").alias("__wanted"))
+        # The first range that does not fit whole; a source has at most 2 ** RANGE_BITS rows here.
+        first = (
+            hist.withColumn("__upto", F.sum("__n").over(rising))
+            .where(F.col("__upto") > F.col("__wanted"))
+            .groupBy("source")
+            .agg(F.min_by(F.struct("__range", (F.col("__wanted") - (F.col("__upto") - F.col("__n"))).alias("left"), "__docs"), "__range").alias("e"))
+            .select("source", "e.*")
+        )
+        found = first.collect()
+        edges = [(r.source, r["__range"], float(r.left)) for r in found]
+        if level + 1 == LEVELS or all(r["__docs"] <= ranked for r in found):
+            return level, edges
+        level += 1
+
+
+def mix(counted: DataFrame, shares: list[Share], seed: int = 42, ranked: int = RANKED) -> DataFrame:
     """``doc_id, source, n_tokens, copies`` of the documents used: whole passes and the seeded fractional one.
 
     ``copies`` is never above max_repeats. The fractional pass takes documents in hash order while
@@ -138,25 +175,11 @@ def mix(counted: DataFrame, shares: list[Share], seed: int = 42) -> DataFrame:
     if not plan:
         return counted.where(F.lit(False)).withColumn("copies", F.lit(0))
     plans = spark.createDataFrame(plan, "source string, whole int, wanted double")
-    hashed = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    used = (
-        counted.where("n_tokens > 0")
-        .join(F.broadcast(plans), "source")
-        .withColumn("__h", hashed)
-        .withColumn("__range", F.pmod(F.shiftright("__h", 20), F.lit(RANGES)).cast("int"))
-    )
-    rising = Window.partitionBy("source").orderBy("__range")
-    hist = used.groupBy("source", "__range").agg(F.sum("n_tokens").alias("__n"), F.first("wanted").alias("__wanted"))
-    # The first range that does not fit whole; a source has at most RANGES rows here.
-    edge = (
-        hist.withColumn("__upto", F.sum("__n").over(rising))
-        .where(F.col("__upto") > F.col("__wanted"))
-        .groupBy("source")
-        .agg(F.min_by(F.struct(F.col("__range").alias("edge"), (F.col("__wanted") - (F.col("__upto") - F.col("__n"))).alias("left")), "__range").alias("e"))
-        .select(F.col("source").alias("__s"), "e.edge", "e.left")
-    )
-    placed = used.join(F.broadcast(edge), F.col("source") == F.col("__s"), "left")
-    inside = Window.partitionBy("source").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    used = counted.where("n_tokens > 0").join(F.broadcast(plans), "source").withColumn("__h", F.xxhash64(F.lit(seed), F.col("doc_id")))
+    level, edges = edge_ranges(used, ranked)
+    edge = spark.createDataFrame(edges, "__s string, edge long, left double")
+    placed = used.join(F.broadcast(edge), F.col("source") == F.col("__s"), "left").withColumn("__range", _range(level))
+    inside = Window.partitionBy("source").orderBy(F.shiftrightunsigned("__h", 1), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_edge = placed.where(F.col("__range") == F.col("edge")).withColumn("extra", (F.sum("n_tokens").over(inside) <= F.col("left")).cast("int"))
     rest = placed.where(F.col("edge").isNull() | (F.col("__range") != F.col("edge"))).withColumn(
         "extra", F.when(F.col("edge").isNotNull() & (F.col("__range") < F.col("edge")), 1).when(F.col("edge").isNull() & (F.col("wanted") > 0), 1).otherwise(0)
