@@ -1,13 +1,16 @@
 """Evaluation passages inside a corpus (problem 6).
 
-Every run of ``WORDS`` consecutive words of every test item is a pattern of one Aho-Corasick
-automaton; a document that repeats at least that many words of an item contains one of them.
-Words are runs of letters and digits, compared in lower case. Each distinct word of the items is
-one character of the automaton's alphabet and any other word of a document one that occurs in no
-pattern, so a text is scanned once, word by word, and a hit's words lead back to its offsets.
-
-The items are a stated set: they are taken in blocks of bounded size, each block is one
-automaton, built once and sent to the tasks as a broadcast of that bound.
+The test items are cut into blocks of half of ``WORDS`` words; all blocks are patterns of one
+Aho-Corasick automaton. A document that repeats at least ``WORDS`` consecutive words of an item
+contains one of its blocks; from there both texts are compared in both directions, which tells
+exactly how far they agree. Words are runs of letters and digits, compared in lower case. Each
+distinct word of the items is one character of the automaton's alphabet and any other word of a
+document one that occurs in no pattern, so a text is scanned once, word by word, and a hit's words
+lead back to its offsets.
+
+The items are a stated set. Cut this way an item needs about one node for each of its words, so
+one automaton, built once and sent to the tasks as a broadcast of that bound, holds
+``BLOCK_WORDS`` words; a larger set is as many automata, each of them one more pass.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: Least number of consecutive words that count as a leak.
 WORDS = 13
-#: Words of the items in one automaton: bounds the broadcast to about 100 MB.
-BLOCK_WORDS = 400_000
+#: Words of the items in one automaton: bounds it to about 200 MB in a process.
+BLOCK_WORDS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 #: The automaton's alphabet begins here; the characters before stand for no word of an item.
@@ -44,60 +47,89 @@ def words_of(text: str) -> list[str]:
 
 
 class Passages:
-    """The automaton over all runs of ``words`` words of some items."""
+    """The automaton over the blocks of some items that have ``words`` words or more."""
 
     def __init__(self, items: list[tuple[int, str]], words: int = WORDS) -> None:
         import ahocorasick
 
-        self.words, self.alphabet = words, {}
-        letters, holders = _letters(), {}
+        self.words, self.alphabet, self.ids, self.coded_items = words, {}, [], []
+        self.block = (words + 1) // 2
+        letters, places = _letters(), {}
         for item_id, text in items:
             coded = []
             for w in words_of(text or ""):
                 if w not in self.alphabet:
                     self.alphabet[w] = next(letters)
                 coded.append(self.alphabet[w])
-            for i in range(len(coded) - words + 1):
-                holders.setdefault("".join(coded[i : i + words]), set()).add(item_id)
+            if len(coded) < words:
+                continue
+            code = "".join(coded)
+            for at in range(0, len(code) - self.block + 1, self.block):
+                places.setdefault(code[at : at + self.block], []).append((len(self.ids), at))
+            self.ids.append(item_id)
+            self.coded_items.append(code)
         self.automaton = ahocorasick.Automaton()
-        for run, ids in holders.items():
-            self.automaton.add_word(run, tuple(sorted(ids)))
-        if holders:
+        for block, held in places.items():
+            self.automaton.add_word(block, tuple(held))
+        if places:
             self.automaton.make_automaton()
-        self.empty = not holders
+        self.empty = not places
 
     def coded(self, text: str) -> str:
         get = self.alphabet.get
         return "".join([get(w, _OTHER) for w in words_of(text)])
 
+    def _agreements(self, code: str, done: set[int] | None = None) -> Iterator[tuple[int, int, int]]:
+        """``item, first, last`` words of the document for each stretch of ``words`` or more in which both agree; items of ``done`` are skipped."""
+        seen: dict[tuple[int, int], int] = {}
+        for end, held in self.automaton.iter(code):
+            start = end - self.block + 1
+            for item, at in held:
+                if done is not None and item in done:
+                    continue
+                # The same shift of the same item agrees up to there already.
+                if seen.get((item, start - at), -1) >= end:
+                    continue
+                text, first, last = self.coded_items[item], start, end
+                shift = at - start
+                while first and first + shift and code[first - 1] == text[first + shift - 1]:
+                    first -= 1
+                while last + 1 < len(code) and last + shift + 1 < len(text) and code[last + 1] == text[last + shift + 1]:
+                    last += 1
+                seen[item, start - at] = last
+                if last - first + 1 >= self.words:
+                    yield item, first, last
+
     def items_in(self, text: str | None) -> set[int]:
         """Items of which the text repeats a run."""
         if self.empty or not text:
             return set()
-        return {i for _, ids in self.automaton.iter(self.coded(text)) for i in ids}
+        done: set[int] = set()
+        for item, _, _ in self._agreements(self.coded(text), done):
+            done.add(item)
+        return {self.ids[i] for i in done}
 
     def spans_in(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """``item_id, start, end, words`` of each longest stretch, in characters of the text."""
+        """``item_id, start, end, words`` of each longest stretch whose every run of ``words`` words is one of the item, in characters of the text."""
         if self.empty or not text:
             return []
-        ends: dict[int, list[int]] = {}
-        for last, ids in self.automaton.iter(self.coded(text)):
-            for i in ids:
-                ends.setdefault(i, []).append(last)
-        if not ends:
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for item, first, last in self._agreements(self.coded(text)):
+            runs.setdefault(self.ids[item], []).append((first, last - self.words + 1))
+        if not runs:
             return []
         places = [m.span() for m in _WORD.finditer(text)]
         out = []
-        for item, lasts in ends.items():
-            begin = prev = lasts[0]
-            for last in [*lasts[1:], None]:
-                if last is not None and last == prev + 1:
-                    prev = last
-                    continue
-                first = begin - self.words + 1
-                out.append((item, places[first][0], places[prev][1], prev - first + 1))
-                begin = prev = last
-        return sorted(out)
+        for item_id, starts in runs.items():
+            starts.sort()
+            joined = [starts[0]]
+            for a, b in starts[1:]:
+                if a <= joined[-1][1] + 1:
+                    joined[-1] = (joined[-1][0], max(joined[-1][1], b))
+                else:
+                    joined.append((a, b))
+            out += [(item_id, places[a][0], places[b + self.words - 1][1], b + self.words - a) for a, b in joined]
+        return sorted(set(out))
 
 
 def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:

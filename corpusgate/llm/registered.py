@@ -109,7 +109,28 @@ SELECT language, file_path, metric, n, CAST(0 AS DOUBLE) AS rank_error, min(v) F
   min(v) FILTER (i >= ceil(0.95 * n - 1e-9)) AS p95, min(v) FILTER (i >= ceil(0.99 * n - 1e-9)) AS p99 FROM r GROUP BY language, file_path, metric, n
 """
 
+# Stretches are islands of neighbouring windows; a word's place is the length of all words and gaps before it.
+_SPANS = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+dl AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM d),
+i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL AND item_id IS NOT NULL),
+dw AS (SELECT doc_id, text, p, array_to_string(w[p:p + 12], ' ') AS run FROM (SELECT doc_id, text, w, unnest(range(1, len(w) - 11)) AS p FROM dl WHERE len(w) >= 13)),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 12], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS p FROM i WHERE len(w) >= 13)),
+h AS (SELECT DISTINCT doc_id, text, item_id, p FROM dw JOIN iw USING (run)),
+n AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY p) AS island FROM h),
+s AS (SELECT doc_id, text, item_id, min(p) AS a, max(p) + 12 AS z FROM n GROUP BY doc_id, text, item_id, island),
+l AS (SELECT *, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: length(x)) AS wl, list_transform(regexp_split_to_array(text, '[\\p{L}\\p{N}]+'), lambda x: length(x)) AS gl FROM s)
+SELECT DISTINCT doc_id, item_id, CAST(list_sum(gl[1:a]) + coalesce(list_sum(wl[1:a - 1]), 0) AS INTEGER) AS start, CAST(list_sum(gl[1:z]) + list_sum(wl[1:z]) AS INTEGER) AS end, CAST(z - a + 1 AS INTEGER) AS words FROM l
+"""
+_ITEM_REPORT = f"""
+WITH sp AS ({_SPANS}), k AS (SELECT item_id, min(suite) AS suite FROM eval_items GROUP BY item_id),
+r AS (SELECT item_id, count(DISTINCT doc_id) AS documents, max(words) AS longest FROM sp GROUP BY item_id)
+SELECT k.item_id, suite, coalesce(documents, 0) AS documents, coalesce(longest, 0) AS longest FROM k LEFT JOIN r USING (item_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "p6_spans": _SPANS,
+    "p6_item_report": _ITEM_REPORT,
     "p5_file_percentiles": _FILE_PERCENTILES,
     "p3_found": f"SELECT file_path, fact_id FROM ({_RANKED})",
     "p3_ranked": _RANKED,

@@ -35,6 +35,30 @@ def test_spans_map_to_the_original_text(spark):
     assert p.spans_in("one two three four") == [] and leakage.Passages([], 5).items_in("a b") == set()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_stretches_equal_brute_force(seed):
+    rnd = random.Random(seed)
+    n = rnd.randint(2, 9)
+    items = [(i, " ".join(rnd.choice(WORDS[:4]) for _ in range(rnd.randint(0, 25)))) for i in range(8)]
+    p = leakage.Passages(items, n)
+    for _ in range(30):
+        words = [rnd.choice(WORDS[:5]) for _ in range(rnd.randint(0, 40))]
+        text = " ".join(words)
+        want = []
+        for i, t in items:
+            held = {tuple(t.split()[k : k + n]) for k in range(len(t.split()) - n + 1)}
+            starts = [k for k in range(len(words) - n + 1) if tuple(words[k : k + n]) in held]
+            for k in starts:
+                if k - 1 not in starts:
+                    last = k
+                    while last + 1 in starts:
+                        last += 1
+                    at = lambda j: len(" ".join(words[:j])) + (j > 0)
+                    want.append((i, at(k), at(last + n - 1) + len(words[last + n - 1]), last + n - k))
+        assert p.spans_in(text) == sorted(want)
+        assert p.items_in(text) == {w[0] for w in want}
+
+
 def test_water_filling():
     got = {s.source: s.tokens for s in mixing.water_fill([("a", 0.5, 1, 100), ("b", 0.25, 2, 1000), ("c", 0.25, 1, 10_000), ("none", 0.1, 5, 0)], 1000)}
     assert got["a"] == 100 and got["none"] == 0 and got["b"] == pytest.approx(450) and got["c"] == pytest.approx(450)
@@ -61,6 +85,9 @@ def test_mix_respects_caps_and_amounts(spark):
         assert s.tokens - 10 < used[s.source] <= s.tokens + 1e-6
     again = mixing.mix(df.repartition(7), shares, seed=7).collect()
     assert {(r.doc_id, r.copies) for r in again} == {(r.doc_id, r.copies) for r in rows}
+    # Finer ranges, of which few documents are ranked, pick the same ones.
+    fine = mixing.mix(df, shares, seed=7, ranked=2).collect()
+    assert {(r.doc_id, r.copies) for r in fine} == {(r.doc_id, r.copies) for r in rows}
     assert mixing.mix(df, [], 1).count() == 0
 
 
