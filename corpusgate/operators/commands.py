@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgate.operators.skew import latest_rows
+
 # Package managers, the words that install, and the ecosystem of each.
 MANAGERS = {"go": (("get", "install"), "Go"), "npm": (("install", "i", "add", "ci"), "npm"), "pip": (("install",), "PyPI"), "uv": (("add", "pip"), "PyPI"), "pnpm": (("add",), "npm"), "yarn": (("add",), "npm")}
 TOOLS = ("go", "npm", "npx", "pip", "uv", "pytest", "eslint", "mypy", "ruff", "make", "docker", "gofumpt", "golangci-lint", "staticcheck")
@@ -38,7 +40,7 @@ def install_requests(commands: DataFrame, keys: list[str]) -> DataFrame:
     ecosystem = F.lit(None).cast("string")
     for manager, (_, name) in MANAGERS.items():
         ecosystem = F.when(F.get(args, F.lit(0)) == manager, name).otherwise(ecosystem)
-    packages = F.filter(F.slice(args, 3, 1000), lambda a: ~a.startswith("-"))
+    packages = F.filter(F.slice(args, F.lit(3), F.size(args)), lambda a: ~a.startswith("-"))
     return commands.where(command_kind(F.col("command")) == "package").select(*keys, args[0].alias("manager"), args[1].alias("action"), ecosystem.alias("ecosystem"), F.array_join(packages, " ").alias("packages"))
 
 
@@ -55,9 +57,9 @@ def failure_mode(on_failure: Column) -> Column:
 
 
 def macro_lint(macros: DataFrame) -> DataFrame:
-    """``macro_id, mode, steps, problems``: of each macro once; problems joined by commas, '' for none."""
+    """``macro_id, mode, steps, problems``: of each macro once, as last ingested; problems joined by commas, '' for none."""
     clean = F.filter(F.coalesce("steps", F.array().cast("array<string>")), lambda s: F.coalesce(F.trim(s) != "", F.lit(False)))
-    once = macros.dropDuplicates(["macro_id"])
+    once = latest_rows(macros, "macro_id", "ingested_at", ["name", "description", "steps", "on_failure"])
     size = F.size(F.coalesce("steps", F.array().cast("array<string>")))
     problems = F.array(
         F.when(F.coalesce(F.trim("name"), F.lit("")) == "", "no name"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate.functions import text as T
-from corpusgate.functions.paths import extension, glob_regex_column, under_any
+from corpusgate.functions.paths import extension, glob_regex, glob_regex_column, under_any
 
 
 def line_table(files: DataFrame) -> DataFrame:
@@ -128,6 +128,13 @@ def scope_matches(rules: DataFrame, files: DataFrame) -> DataFrame:
     return paths.join(F.broadcast(scoped), fits).select("language", "file_glob", "rel")
 
 
+def scope_test(language: str, file_glob: str) -> tuple[list[str] | None, re.Pattern | None]:
+    """The extensions and the pattern of paths that a scope covers, None for all; as in ``scope_matches``."""
+    low = language.lower()
+    exts = None if low in ("", "any") else LANGUAGE_EXTENSIONS.get(low, [f".{low}"])
+    return exts, re.compile(glob_regex(file_glob)) if file_glob else None
+
+
 def folded(text: str) -> str:
     """Lower case; the signs beyond ASCII that equal ``i`` and ``s`` where a pattern ignores case become those."""
     return text.replace("İ", "i").lower().replace("ı", "i").replace("ſ", "s")
@@ -171,15 +178,14 @@ def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = MOST_RULES)
     table = [(r.id, r.pattern, r.severity or "", (r.language or "", r.file_glob or ""), needed_literal(r.pattern)) for r in rows]
     for _, pattern, *_ in table:
         re.compile(pattern)
-    spark = files.sparkSession
-    sent = spark.sparkContext.broadcast(table)
-    scopes = scope_matches(rules, files).groupBy("rel").agg(F.collect_set(F.struct("language", "file_glob")).alias("scopes"))
+    sent = files.sparkSession.sparkContext.broadcast(table)
     schema = "rel string, line int, rule_id string, severity string"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
         table = sent.value
+        scopes = [(scope, *scope_test(*scope)) for scope in sorted({t[3] for t in table})]
         compiled = [re.compile(p) for _, p, *_ in table]
         finder, by_literal, always = ahocorasick.Automaton(), {}, []
         for i, (*_, literal) in enumerate(table):
@@ -190,8 +196,9 @@ def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = MOST_RULES)
             finder.make_automaton()
         for pdf in batches:
             out = []
-            for rel, content, scopes in zip(pdf["rel"], pdf["content"], pdf["scopes"]):
-                covered = {(s["language"], s["file_glob"]) for s in scopes}
+            for rel, content in zip(pdf["rel"], pdf["content"]):
+                ext = re.search(r"(\.[^./]*)?$", rel).group().lower()
+                covered = {scope for scope, exts, glob in scopes if (exts is None or ext in exts) and (glob is None or glob.search(rel))}
                 low = folded(content)
                 hits = {i for _, ids in finder.iter(low) for i in ids} if by_literal else set()
                 tried = [i for i in sorted({*hits, *always}) if table[i][3] in covered]
@@ -206,4 +213,4 @@ def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = MOST_RULES)
                     out += [(rel, n, f"custom.{table[i][0]}", table[i][2]) for i in tried if table[i][4] in small and compiled[i].search(line)]
             yield pd.DataFrame(out, columns=["rel", "line", "rule_id", "severity"])
 
-    return files.join(scopes, "rel").select("rel", "content", "scopes").mapInPandas(scan, schema)
+    return files.where("rel IS NOT NULL AND content IS NOT NULL").select("rel", "content").mapInPandas(scan, schema)

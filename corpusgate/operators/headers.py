@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.functions.paths import extension
+from corpusgate.functions.paths import directory, extension
 from corpusgate.functions.text import lines_of
 
 DEFAULT_SHEBANG = "#!/usr/bin/env python3"
 EXTENSIONS = {"go": [".go"], "typescript": [".ts", ".tsx"], "python": [".py"]}
-_ALL = 1_000_000_000
+# Directories below which no header is written.
+SKIPPED_DIRECTORIES = (".git", ".venv", "venv", "node_modules", "__pycache__", ".mypy_cache", ".ruff_cache", "dist", "build", "vendor")
 
 
 def _from(lines: Column, start: Column | int) -> Column:
     """The lines from number ``start``, counted from 1."""
-    return F.slice(lines, start, F.lit(_ALL))
+    return F.slice(lines, start if isinstance(start, Column) else F.lit(start), F.size(lines) + 1)
 
 
 def _first_not(lines: Column, test) -> Column:
@@ -69,8 +70,13 @@ def has_header(content: Column, rel: Column, language: str, window: int = 6) ->
     return F.coalesce(first == F.concat(F.lit(sign + " "), rel), F.lit(False))
 
 
+def skipped(rel: Column) -> Column:
+    """Whether one of the directories above the file is left out."""
+    return F.arrays_overlap(F.split(directory(rel), "/"), F.array(*map(F.lit, SKIPPED_DIRECTORIES)))
+
+
 def formatted(files: DataFrame, only: tuple[str, ...] = ("go", "python", "typescript")) -> DataFrame:
-    """``rel, language, changed, content``: every file of the languages with its header put right."""
+    """``rel, language, changed, content``: every file of the languages with its header put right, but for skipped directories."""
     unknown = set(only) - set(EXTENSIONS)
     if unknown:
         raise ValueError(f"unsupported languages {sorted(unknown)}")
@@ -80,7 +86,7 @@ def formatted(files: DataFrame, only: tuple[str, ...] = ("go", "python", "typesc
         language = F.when(mine, name).otherwise(language)
         content, rel = F.col("content"), F.col("rel")
         made = F.when(mine & has_header(content, rel, name), content).when(mine, with_header(content, rel, name)).otherwise(made)
-    rows = files.select("rel", language.alias("language"), "content", made.alias("made")).where("language IS NOT NULL")
+    rows = files.select("rel", language.alias("language"), "content", made.alias("made")).where(F.col("language").isNotNull() & ~skipped(F.col("rel")))
     return rows.select("rel", "language", (F.col("made") != F.col("content")).alias("changed"), F.col("made").alias("content"))
 
 

@@ -84,11 +84,11 @@ def header_status(files: DataFrame, window: int = 6) -> DataFrame:
     lines = F.transform(T.reader_lines(F.col("content")), lambda x: F.trim(x))
     rows = files.select("rel", sign.alias("sign"), ext.alias("ext"), lines.alias("lines")).where("sign IS NOT NULL")
     head = F.slice("lines", 1, window)
-    said = lambda x: F.when(x.startswith(F.col("sign")), F.trim(F.substring(x, F.length("sign") + 1, F.lit(1_000_000))))
+    said = lambda x: F.when(x.startswith(F.col("sign")), F.trim(F.substring(x, F.length("sign") + 1, F.length(x))))
     spoken = F.transform(head, said)
     ok_at = F.coalesce(F.array_position(spoken, F.col("rel")), F.lit(0))
     stale = F.exists(spoken, lambda s: s.contains("/") & ~s.contains(" ") & s.endswith(F.col("ext")))
-    after = F.transform(F.slice("lines", ok_at.cast("int") + 1, 1_000_000), said)
+    after = F.transform(F.slice("lines", ok_at.cast("int") + 1, F.size("lines")), said)
     stop = F.array_position(F.transform(after, lambda s: F.coalesce(s == "", F.lit(True))), True)
     described = F.when(ok_at == 0, 0).when(stop == 0, F.size(after)).otherwise(stop - 1)
     status = F.when(ok_at > 0, "ok").when(F.coalesce(stale, F.lit(False)), "stale").otherwise("missing")

@@ -40,44 +40,56 @@ def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def not_stricter(base: DataFrame, over: DataFrame, group: str, value: str) -> DataFrame:
-    """``group, lacking``: groups of ``over`` that lack some value which every group must have (those of ``base``).
+def not_stricter(base: DataFrame, over: DataFrame, group: str, value: str, most: int = 10_000) -> DataFrame:
+    """``group, lacking``: groups of ``over`` that lack some value which every group must have (those of ``base``), with these values in order.
 
-    Groups and values must not be null.
+    The demanded values are a configuration of at most ``most``; more raise. Null groups and
+    values are left out.
     """
-    must = base.select(value).distinct()
-    held = over.select(group, value).distinct().join(must, value, "left_semi").groupBy(group).agg(F.count("*").alias("__held"))
-    groups = over.select(group).distinct().join(held, group, "left")
-    wanted = must.agg(F.count("*").alias("__wanted"))
-    lacking = groups.join(F.broadcast(wanted)).select(group, (F.col("__wanted") - F.coalesce("__held", F.lit(0))).alias("lacking"))
-    return lacking.where("lacking > 0")
-
-
-def dependency_levels(edges: DataFrame, most: int = 200) -> DataFrame:
-    """``node, level``: 0 for nodes that need nothing, else one more than the highest node needed; null in or behind a circle.
-
-    ``edges`` (``node, needs``): a need that is no node of its own is level 0. Nodes leave in
-    rounds when all their needs have a level; each round is a join with the nodes that just got
-    theirs, and ends the lineage.
+    must = base.where(F.col(value).isNotNull()).select(value).distinct()
+    if must.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} demanded values")
+    wanted = must.agg(F.array_sort(F.collect_list(value)).alias("__must"))
+    # A group holds no more of them than there are.
+    held = over.where(F.col(group).isNotNull()).join(F.broadcast(must.withColumn("__m", F.lit(True))), value, "left")
+    held = held.groupBy(group).agg(F.collect_set(F.when(F.col("__m"), F.col(value))).alias("__held"))
+    lacking = held.join(F.broadcast(wanted)).select(group, F.array_except("__must", "__held").alias("lacking"))
+    return lacking.where(F.size("lacking") > 0)
+
+
+def dependency_levels(edges: DataFrame) -> DataFrame:
+    """``node, level, in_circle``: 0 for nodes that need nothing, else one more than the highest node needed.
+
+    ``edges`` (``node, needs``): a need that is no node of its own is level 0. Nodes in or behind a
+    circle have no level and ``in_circle`` true. Nodes leave in rounds when all their needs have a
+    level; a round joins the edges that are still open with the nodes that just got theirs, ends
+    the lineage, and the next one reads only what it left. Rounds go on until no node leaves.
     """
-    edges = materialize(edges.where("node IS NOT NULL AND needs IS NOT NULL").distinct(), "edges")
+    edges = materialize(edges.where("node IS NOT NULL AND needs IS NOT NULL").select("node", "needs").distinct(), "edges")
     nodes = edges.select("node").union(edges.select("needs")).distinct()
     done = materialize(nodes.join(edges.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(0)), "level_0")
     levels, open_ = [done], edges
-    for i in range(1, most):
-        open_ = materialize(open_.join(done.select(F.col("node").alias("needs")), "needs", "left_anti").select("node", "needs"), f"open_{i}")
-        waiting = open_.select("node").distinct()
-        before = edges.select("node").distinct()
-        for level in levels[1:]:
-            before = before.join(level.select("node"), "node", "left_anti")
-        done = materialize(before.join(waiting, "node", "left_anti").withColumn("level", F.lit(i)), f"level_{i}")
+    while True:
+        rest = materialize(open_.join(done.select(F.col("node").alias("needs")), "needs", "left_anti").select("node", "needs"), f"open_{len(levels)}")
+        leaving = open_.select("node").distinct().join(rest.select("node").distinct(), "node", "left_anti")
+        done = materialize(leaving.withColumn("level", F.lit(len(levels))), f"level_{len(levels)}")
         if done.isEmpty():
             break
         levels.append(done)
+        open_ = rest
     known = levels[0]
     for level in levels[1:]:
         known = known.unionByName(level)
-    return nodes.join(known, "node", "left")
+    return nodes.join(known, "node", "left").withColumn("in_circle", F.col("level").isNull())
+
+
+def port_links(consumers: DataFrame, providers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links ``consumer, provider`` of ``consumers`` (``consumer, port``) with ``providers`` (``provider, port``) by port, and the consumers' rows that nobody provides for.
+
+    Rows with a null port are neither.
+    """
+    wants, has = consumers.where("port IS NOT NULL"), providers.where("port IS NOT NULL")
+    return wants.join(has, "port").select("consumer", "provider", "port"), wants.join(has.select("port").distinct(), "port", "left_anti").select("consumer", "port")
 
 
 def parent_edges(paths: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgate.functions.severity import violation_rank
@@ -36,9 +36,11 @@ def roll_up(violations: DataFrame, how: RollUp = RollUp()) -> DataFrame:
     summed = per_file.where(F.col("n") >= how.per_file).select(
         F.lit("function-quality").alias("rule_id"), "file", F.lit("").alias("function"), text.alias("message"), F.lit("warn").alias("severity"), F.lit(0).alias("line")
     )
-    few = per_file.where(F.col("n") < how.per_file)
-    rest = mild.join(few.select("file"), "file", "left_semi").select(*columns).withColumn("rule_id", F.lit("function-quality"))
-    count = few.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    # A file that stays below has fewer rows than ``per_file``, so no more of any file are looked at; each task drops the others.
+    of_file = Window.partitionBy("file")
+    first = mild.withColumn("__i", F.row_number().over(of_file.orderBy("function", "line", "message", "severity"))).where(F.col("__i") <= how.per_file)
+    rest = first.withColumn("__n", F.count("*").over(of_file)).where(F.col("__n") < how.per_file).select(*columns).withColumn("rule_id", F.lit("function-quality"))
+    count = per_file.where(F.col("n") < how.per_file).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     passed = rest.join(F.broadcast(count), F.col("n") < how.least).select(*columns)
     bundle = count.where(F.col("n") >= how.least).select(
         F.lit("function-quality").alias("rule_id"), F.lit("").alias("file"), F.lit("").alias("function"),

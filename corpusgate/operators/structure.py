@@ -35,7 +35,7 @@ def concern_section(text: Column, header: str = "Package Concerns:") -> Column:
     def step(acc: Column, line: Column) -> Column:
         trimmed = F.trim(F.regexp_replace(line, "\r$", ""))
         comment = trimmed.startswith("//")
-        said = F.when(comment, F.trim(F.substring(trimmed, 3, 1_000_000))).otherwise(F.lit(""))
+        said = F.when(comment, F.trim(F.substring(trimmed, F.lit(3), F.length(trimmed)))).otherwise(F.lit(""))
         opens = comment & (said == header)
         goes_on = acc["open"] & comment & (said != "")
         return F.struct(
@@ -69,7 +69,7 @@ def misplaced_tests(paths: DataFrame, allowed: list[str]) -> DataFrame:
 
 def unexpected_children(paths: DataFrame, root: str, allowed: DataFrame) -> DataFrame:
     """Directories right below ``root`` that are not in ``allowed`` (``child``)."""
-    rest = F.substring(F.col("rel"), len(root) + 2, 1_000_000)
+    rest = F.substring(F.col("rel"), F.lit(len(root) + 2), F.length("rel"))
     below = paths.where(F.col("rel").startswith(root + "/")).select(F.split(rest, "/").alias("parts")).where(F.size("parts") > 1)
     return below.select(F.col("parts")[0].alias("child")).distinct().join(allowed, "child", "left_anti")
 

@@ -31,7 +31,8 @@ _V = f"""v AS (SELECT violation_id, coalesce(rule_id, '') AS rule_id, {_CLEAN.fo
 _FACTS = f"""f AS (SELECT * REPLACE (coalesce(symbol_name, '') AS symbol_name, coalesce(symbol_kind, '') AS symbol_kind, coalesce(docstring, '') AS docstring,
   CASE WHEN trim(coalesce(language, '')) = '' THEN 'unknown' ELSE lower(trim(language)) END AS language, {_CLEAN.format(c="file_path")} AS file_path)
   FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY ingested_at DESC) AS rn FROM policy_facts) WHERE rn = 1)"""
-_FILES = """fl AS (SELECT rel, regexp_replace(max(content), '^﻿', '') AS content FROM source_files WHERE rel IS NOT NULL AND content IS NOT NULL GROUP BY rel)"""
+_FILES = """fl AS (SELECT rel, regexp_replace(content, '^﻿', '') AS content FROM source_files WHERE rel IS NOT NULL AND content IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY rel ORDER BY captured_at DESC NULLS LAST, content DESC) = 1)"""
 _LINES = """ln AS (SELECT rel, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (
   SELECT rel, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT rel, list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, chr(13) || '$', '')) AS l FROM fl)))"""
 _DIR = "CASE WHEN contains(rel, '/') THEN regexp_extract(rel, '^(.*)/[^/]*$', 1) ELSE '.' END"
@@ -275,16 +276,27 @@ def set_difference(spark: SparkSession, sf: str) -> DataFrame:
 # Structure
 
 
-@registered(
-    f"""WITH {_FILES}, g AS (SELECT {_DIR} AS dir, rel, content, regexp_extract(rel, '([^/]*)$', 1) AS name FROM fl WHERE rel LIKE '%.go')
-SELECT dir, count(*) FILTER (name <> 'doc.go' AND NOT name LIKE '%\\_test.go' ESCAPE '\\') AS production_go, bool_or(name = 'doc.go') AS has_doc,
-coalesce(max(rel) FILTER (name = 'doc.go'), '') AS doc_path FROM g GROUP BY dir"""
-)
+# A section runs from its heading to the first empty comment or other line; a later heading opens it again.
+_STATS = f"""{_FILES}, g AS (SELECT {_DIR} AS dir, rel, content, regexp_extract(rel, '([^/]*)$', 1) AS name FROM fl WHERE rel LIKE '%.go'),
+dl AS (SELECT rel, unnest(range(1, len(l) + 1)) AS i, trim(unnest(l)) AS t FROM (SELECT rel, list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, chr(13) || '$', '')) AS l FROM g WHERE name = 'doc.go')),
+ds AS (SELECT rel, i, CASE WHEN starts_with(t, '//') THEN trim(substr(t, 3)) ELSE '' END AS said FROM dl),
+dm AS (SELECT *, max(CASE WHEN said = 'Package Concerns:' THEN i END) OVER w AS opened, max(CASE WHEN said = '' THEN i END) OVER w AS closed FROM ds WINDOW w AS (PARTITION BY rel ORDER BY i)),
+dc AS (SELECT rel, bool_or(said = 'Package Concerns:') AS found, count(*) FILTER (opened IS NOT NULL AND opened > coalesce(closed, 0) AND said <> 'Package Concerns:' AND starts_with(said, '- ')) AS items FROM dm GROUP BY rel),
+st AS (SELECT dir, count(*) FILTER (name <> 'doc.go' AND NOT name LIKE '%\\_test.go' ESCAPE '\\') AS production_go, bool_or(name = 'doc.go') AS has_doc, coalesce(max(rel) FILTER (name = 'doc.go'), '') AS doc_path,
+  coalesce(bool_or(regexp_matches(regexp_extract(regexp_extract(content, '(?m)^// Package ([^\\n\\r]*)', 1), '^\\S+\\s+(\\S)', 1), '^[A-Z]')) FILTER (name = 'doc.go'), false) AS doc_prefix_ok,
+  coalesce(bool_or(dc.found), false) AS has_concerns, CAST(coalesce(max(dc.items), 0) AS INTEGER) AS concern_count FROM g LEFT JOIN dc USING (rel) GROUP BY dir)"""
+
+
+@registered(f"WITH {_STATS} SELECT * FROM st")
 def package_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.package_stats(schema.files(spark, sf)).select("dir", "production_go", "has_doc", "doc_path")
+    return structure.package_stats(schema.files(spark, sf))
 
 
-@registered()
+@registered(
+    f"""WITH {_STATS}, p AS (SELECT dir, unnest([CASE WHEN production_go > 10 THEN 'too many files' END, CASE WHEN NOT has_doc THEN 'no doc.go' END, CASE WHEN has_doc AND NOT doc_prefix_ok THEN 'doc prefix' END,
+  CASE WHEN has_doc AND has_concerns AND concern_count < 1 THEN 'too few concerns' END, CASE WHEN has_doc AND NOT has_concerns THEN 'no concerns' END, CASE WHEN has_doc AND concern_count > 2 THEN 'too many concerns' END]) AS problem
+  FROM st WHERE production_go > 0) SELECT * FROM p WHERE problem IS NOT NULL"""
+)
 def package_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return structure.package_verdicts(structure.package_stats(schema.files(spark, sf)))
 
@@ -302,7 +314,7 @@ def go_imports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # The given Go files import the standard library only, so the paths that documents of a source mention stand for imports of that source.
-_REFS = r"r AS (SELECT DISTINCT source || '/a.go' AS rel, 'corp.test/tool/' || d AS path FROM (SELECT 'internal/' || source AS source, unnest(regexp_extract_all(text, '(internal/(?:adapters|cliwrapper|utils|ports|router|app)/[a-z_]+)/', 1)) AS d FROM documents WHERE source IS NOT NULL))"
+_REFS = r"r AS (SELECT DISTINCT source || '/a.go' AS rel, 'corp.test/tool/' || d AS path FROM (SELECT 'internal/' || source AS source, unnest(regexp_extract_all(text, '(internal/[a-z_]+/[a-z_]+)/', 1)) AS d FROM documents WHERE source IS NOT NULL))"
 _LAYERS = {"business": ["internal/review_threads", "internal/utils", "internal/cliwrapper"], "adapters": ["internal/commit_log", "internal/adapters"], "core": ["internal/design_notes", "internal/router"], "boot": ["internal/router/ext"]}
 
 
@@ -314,7 +326,7 @@ WHEN ad AND tb THEN 'business package' WHEN ad AND ta THEN 'another adapter' WHE
 SELECT * FROM j WHERE problem IS NOT NULL"""
 )
 def layer_violations(spark: SparkSession, sf: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all("text", F.lit(r"(internal/(?:adapters|cliwrapper|utils|ports|router|app)/[a-z_]+)/"), F.lit(1)))
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"(internal/[a-z_]+/[a-z_]+)/"), F.lit(1)))
     docs = read_table(spark, sf, "documents").where("source IS NOT NULL AND text IS NOT NULL")
     refs = docs.select(F.concat(F.lit("internal/"), F.col("source"), F.lit("/a.go")).alias("rel"), found.alias("d")).distinct()
     imports = refs.select("rel", F.lit(0).alias("line"), F.concat(F.lit("corp.test/tool/"), F.col("d")).alias("path"))
@@ -502,7 +514,16 @@ def secret_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.dense_strings(_strings(spark, sf), _KEYS, "text")
 
 
-@registered()
+_EXTS = "(lower(r.language) IN ('', 'any') OR (lower(r.language) = 'go' AND ext = '.go') OR (lower(r.language) = 'python' AND ext = '.py') OR (lower(r.language) = 'typescript' AND ext IN ('.ts', '.tsx')))"
+
+
+# The given patterns mean the same in both dialects.
+@registered(
+    f"""WITH {_FILES}, {_LINES}, r AS (SELECT id, pattern, coalesce(severity, '') AS severity, coalesce(language, '') AS language, coalesce(file_glob, '') AS file_glob FROM custom_rules WHERE enabled AND pattern <> ''),
+t AS (SELECT rel, line, text, lower(regexp_extract(rel, '(\\.[^./]*)$', 1)) AS ext FROM ln)
+SELECT rel, CAST(line AS INTEGER) AS line, 'custom.' || id AS rule_id, severity FROM t JOIN r ON {_EXTS}
+AND (file_glob = '' OR regexp_full_match(rel, replace(replace(replace(replace(file_glob, '.', '\\.'), '**', chr(1)), '*', '[^/]*'), chr(1), '.*'))) AND regexp_matches(text, pattern)"""
+)
 def custom_rule_hits(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.rule_hits(schema.files(spark, sf), read_table(spark, sf, "custom_rules"))
 
@@ -526,13 +547,13 @@ def sha256_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registered(
-    """WITH a AS (SELECT rel AS file, sha256(max(content)) AS c FROM source_files WHERE content IS NOT NULL AND captured_at < TIMESTAMP '2025-10-10' GROUP BY rel),
-b AS (SELECT rel AS file, sha256(CASE WHEN rel LIKE '%.py' THEN max(content) || '#' ELSE max(content) END) AS c FROM source_files WHERE content IS NOT NULL AND captured_at >= TIMESTAMP '2025-09-10' GROUP BY rel)
+    """WITH a AS (SELECT rel AS file, sha256(content) AS c FROM source_files WHERE content IS NOT NULL AND captured_at < TIMESTAMP '2025-10-10' QUALIFY row_number() OVER (PARTITION BY rel ORDER BY captured_at DESC, content DESC) = 1),
+b AS (SELECT rel AS file, sha256(CASE WHEN rel LIKE '%.py' THEN content || '#' ELSE content END) AS c FROM source_files WHERE content IS NOT NULL AND captured_at >= TIMESTAMP '2025-09-10' QUALIFY row_number() OVER (PARTITION BY rel ORDER BY captured_at DESC, content DESC) = 1)
 SELECT coalesce(a.file, b.file) AS file, CASE WHEN b.c IS NULL THEN 'missing' WHEN a.c IS NULL THEN 'unexpected' ELSE 'changed' END AS verdict FROM a FULL JOIN b ON a.file = b.file WHERE a.c IS DISTINCT FROM b.c"""
 )
 def lock_verify(spark: SparkSession, sf: str) -> DataFrame:
     rows = read_table(spark, sf, "source_files").where("content IS NOT NULL")
-    once = lambda df: df.groupBy("rel").agg(F.max("content").alias("content"))
+    once = lambda df: df.groupBy("rel").agg(F.max_by("content", F.struct("captured_at", "content")).alias("content"))
     lock = once(rows.where("captured_at < TIMESTAMP '2025-10-10'"))
     now = once(rows.where("captured_at >= TIMESTAMP '2025-09-10'")).withColumn("content", F.when(F.col("rel").endswith(".py"), F.concat("content", F.lit("#"))).otherwise(F.col("content")))
     return registry.lock_verdicts(registry.checksums(lock), registry.checksums(now))
@@ -558,7 +579,7 @@ def repeated_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered(
     f"""WITH {_V}, must AS (SELECT DISTINCT rule_id FROM v WHERE severity = 'error' AND rule_id NOT LIKE 'custom.%' AND rule_id <> ''), h AS (SELECT DISTINCT file, rule_id FROM v),
-g AS (SELECT DISTINCT file FROM v) SELECT file, count(*) AS lacking FROM g CROSS JOIN must WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.file = g.file AND h.rule_id = must.rule_id) GROUP BY file"""
+g AS (SELECT DISTINCT file FROM v) SELECT file, list(must.rule_id ORDER BY must.rule_id) AS lacking FROM g CROSS JOIN must WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.file = g.file AND h.rule_id = must.rule_id) GROUP BY file"""
 )
 def strictness_subset(spark: SparkSession, sf: str) -> DataFrame:
     v = schema.violations(spark, sf)
@@ -570,7 +591,7 @@ def strictness_subset(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH RECURSIVE {_FACTS}, d AS (SELECT DISTINCT CASE WHEN contains(file_path, '/') THEN regexp_extract(file_path, '^(.*)/[^/]*$', 1) ELSE '.' END AS dir FROM f WHERE file_path <> ''),
 e AS (SELECT DISTINCT unnest(list_transform(range(2, len(s) + 1), lambda n: {{'node': array_to_string(s[1:n], '/'), 'needs': array_to_string(s[1:n - 1], '/')}}), recursive := true) FROM (SELECT string_split(dir, '/') AS s FROM d) WHERE len(s) > 1),
 w(node, level) AS (SELECT DISTINCT needs, 0 FROM e WHERE needs NOT IN (SELECT node FROM e) UNION SELECT e.node, w.level + 1 FROM w JOIN e ON e.needs = w.node)
-SELECT node, max(level) AS level FROM w GROUP BY node"""
+SELECT node, max(level) AS level, false AS in_circle FROM w GROUP BY node"""
 )
 def dependency_levels(spark: SparkSession, sf: str) -> DataFrame:
     dirs = schema.facts(spark, sf).where("file_path <> ''").select(P.directory(F.col("file_path")).alias("dir")).distinct()
@@ -578,7 +599,7 @@ def dependency_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registered(
-    """WITH o AS (SELECT macro_id, any_value(name) AS name, any_value(description) AS description, any_value(steps) AS steps, any_value(on_failure) AS on_failure FROM (SELECT DISTINCT macro_id, name, description, steps, on_failure FROM macros) GROUP BY macro_id),
+    """WITH o AS (SELECT * FROM macros QUALIFY row_number() OVER (PARTITION BY macro_id ORDER BY ingested_at DESC) = 1),
 c AS (SELECT *, CASE WHEN lower(trim(coalesce(on_failure, ''))) IN ('', 'stop') THEN 'stop' WHEN lower(trim(on_failure)) = 'continue' THEN 'continue' ELSE 'invalid' END AS mode,
   coalesce(len(list_filter(steps, lambda s: coalesce(trim(s) <> '', false))), 0) AS k, coalesce(len(steps), 0) AS n FROM o)
 SELECT macro_id, mode, CAST(k AS INTEGER) AS steps, array_to_string(list_filter([CASE WHEN coalesce(trim(name), '') = '' THEN 'no name' END, CASE WHEN k = 0 THEN 'no steps' END, CASE WHEN k > 0 AND k < n THEN 'blank step' END,

@@ -39,7 +39,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``rel, content`` of each source file once; without null contents and byte-order marks."""
+    """``rel, content`` of each source file once, as last captured (ties: the greater text); without null contents and byte-order marks."""
     rows = read_table(spark, sf_dir, "source_files").where("rel IS NOT NULL AND content IS NOT NULL")
-    once = rows.groupBy("rel").agg(F.max("content").alias("content"))
+    once = rows.groupBy("rel").agg(F.max_by("content", F.struct("captured_at", "content")).alias("content"))
     return once.select("rel", F.regexp_replace("content", "^\\uFEFF", "").alias("content"))

@@ -18,6 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def _own_folder() -> str:
+    """A folder of this process on this machine, which for a local session all tasks share; gone when the process ends."""
+    made = tempfile.mkdtemp(prefix="spark-corpusgate-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"file://{made}"
+
+
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str = "corpusgate") -> SparkSession:
     """A local session with the settings that the queries expect; a cluster brings its own."""
     return (
@@ -29,6 +36,7 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", os.environ.get("CORPUSGATE_SHARED_DIR") or _own_folder())
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -42,10 +50,8 @@ def shared_folder(spark: SparkSession) -> str:
         return known.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="spark-corpusgate-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    spark.conf.set("spark.checkpoint.dir", _own_folder())
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

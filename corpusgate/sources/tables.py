@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgate.functions.paths import base_name
 from corpusgate.operators.structure import SKIPPED_DIRECTORIES
+from corpusgate.session import materialize
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
@@ -18,12 +22,32 @@ def tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def listed_tree(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED_DIRECTORIES) -> DataFrame:
-    """``rel, path`` of a mounted tree, hidden names too, without the skipped directories and ``.toml`` files."""
-    rows = []
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in skipped and not os.path.join(folder, d).endswith("internal/router"))
-        rows += [(os.path.relpath(os.path.join(folder, n), root).replace(os.sep, "/"), os.path.join(folder, n)) for n in sorted(names) if not n.endswith(".toml")]
-    return spark.createDataFrame(rows, "rel string, path string")
+    """``rel, path`` of a tree that the executors see, hidden names too, without the skipped directories and ``.toml`` files.
+
+    The tasks list the directories, one level a round.
+    """
+
+    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(e.path, e.name, e.is_dir(follow_symlinks=False)) for folder in pdf["path"] for e in os.scandir(folder)]
+            yield pd.DataFrame(rows, columns=["path", "name", "folder"])
+
+    level, found, n = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), None, 0
+    while True:
+        listed = materialize(level.repartition("path").mapInPandas(below, "path string, name string, folder boolean"), f"listed_{n}")
+        files = listed.where(~F.col("folder") & ~F.col("name").endswith(".toml"))
+        found = files if found is None else found.unionByName(files)
+        level = listed.where(F.col("folder") & ~F.col("name").isin(*skipped) & ~F.col("path").endswith("internal/router")).select("path")
+        if level.isEmpty():
+            start = 2 if root == "/" else len(root.rstrip("/")) + 2
+            return found.select(F.substring("path", F.lit(start), F.length("path")).alias("rel"), "path")
+        n += 1
+
+
+def module_path(files: DataFrame) -> DataFrame:
+    """``rel, module``: what each ``go.mod`` of ``files`` calls its module; '' where it does not say."""
+    mods = files.where(base_name(F.col("rel")) == "go.mod")
+    return mods.select("rel", F.regexp_extract("content", r"(?m)^module (\S+)", 1).alias("module"))
 
 
 def ndjson(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OUTCOME = "session string, outcome string, reporter string, reports long"
@@ -68,19 +68,22 @@ def session_outcomes(reports: DataFrame, expected: list[str], timeout_ms: int =
 def finished_sessions(reports: DataFrame, expected: list[str]) -> DataFrame:
     """The same outcomes of a finished batch of reports, open sessions included as ``open``, without a timer.
 
-    A session's deciding report is its first bad one, or the one that completes it. The first
-    report of every id is found by aggregation, so a session with most reports is no single task.
+    A session's deciding report is its first bad one, or the one that completes it; reports of one
+    id at one time are one, bad if one of them is. Of each id only the two earliest are looked at,
+    which each task picks before the shuffle, so a session with most reports is no single task.
     """
-    ok = F.col("reporter").isin(*expected) & (F.col("status") == "success")
+    wanted = F.col("reporter").isin(*expected)
+    good = wanted & F.coalesce(F.col("status") == "success", F.lit(False))
     order = F.struct("at", "reporter")
-    first = reports.groupBy("session", "reporter").agg(F.min(F.struct(order.alias("o"), ok.alias("ok"))).alias("f"), F.min(order).alias("o"))
-    bad = reports.where(~F.col("reporter").isin(*expected) | (F.col("status") != "success"))
-    first_bad = bad.groupBy("session").agg(F.min(order).alias("bad"))
-    again = reports.alias("r").join(first.select("session", "reporter", F.col("o").alias("o1")).alias("f"), ["session", "reporter"]).where(order > F.col("o1"))
-    first_again = again.groupBy("session").agg(F.min(order).alias("again"))
-    done = first.where(F.col("reporter").isin(*expected) & F.col("f.ok")).groupBy("session").agg(F.count("*").alias("good"), F.max("o").alias("last"))
-    sessions = reports.select("session").distinct()
-    joined = sessions.join(first_bad, "session", "left").join(first_again, "session", "left").join(done, "session", "left")
+    once = reports.groupBy("session", "reporter", "at").agg(F.bool_and(good).alias("ok"))
+    of_id = Window.partitionBy("session", "reporter").orderBy("at")
+    early = once.withColumn("__i", F.row_number().over(of_id)).where("__i <= 2")
+    first = F.col("__i") == 1
+    done = early.groupBy("session").agg(
+        F.min(F.when(~first, order)).alias("again"), F.count_if(first & wanted & F.col("ok")).alias("good"), F.max(F.when(first & wanted & F.col("ok"), order)).alias("last")
+    )
+    sessions = once.groupBy("session").agg(F.min(F.when(~F.col("ok"), order)).alias("bad"))
+    joined = sessions.join(done, "session")
     complete = F.when(F.col("good") == len(set(expected)), F.col("last"))
     deciding = F.least("bad", "again", complete)
     kind = (

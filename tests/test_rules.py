@@ -92,20 +92,31 @@ def test_packages(spark):
 
 
 def test_layers(spark):
-    m = "m/internal"
-    cases = [
-        ("internal/engine/logic.go", f"{m}/adapters/scanners", "forbidden path"), ("internal/adapters/config/adapter.go", f"{m}/adapters/scanners", "another adapter"),
-        ("internal/adapters/corebridge/provider.go", f"{m}/cliwrapper", "business package"), ("internal/router/registry.go", f"{m}/adapters/config", "core to adapter"),
-        ("internal/router/extension.go", f"{m}/engine", "core to business"), ("internal/app/bootstrap.go", f"{m}/router/ext", None),
-        ("internal/engine/ext_exact.go", f"{m}/router/ext", "forbidden path"), ("internal/engine/tool.go", f"{m}/router/tools/x", "outside boundaries"),
-        ("internal/engine/ok.go", f"{m}/ports", None),
-    ]
-    imports = spark.createDataFrame([(r, 1, p) for r, p, _ in cases], "rel string, line int, path string")
-    got = structure.layer_violations(
-        imports, "m", ["internal/engine", "internal/cliwrapper"], ["internal/adapters"], ["internal/router"], ["internal/router/ext"], [f"{m}/adapters", f"{m}/router/ext"],
-        [f"{m}/ports", f"{m}/router", f"{m}/router/capabilities"],
-    )
-    assert pytest.rows(got, "rel", "problem") == sorted((r, p) for r, _, p in cases if p)
+    """One case for each branch of the rule, in a made-up shop: sales is business, db and mail are adapters, hub is core, hub/wire starts the program."""
+    problems = {
+        ("shop/sales/cart.go", "shop/db/sql"): "forbidden path",
+        ("shop/sales/tax/rate.go", "shop/hub/secret"): "forbidden path",
+        ("shop/sales/cart.go", "shop/lab"): None,
+        ("shop/sales/cart.go", "internal/lab"): "outside boundaries",
+        ("shop/sales/cart.go", "internal/clock"): None,
+        ("shop/sales/cart.go", "shop/sales/tax"): None,
+        ("shop/sales/cart.go", "fmt"): None,
+        ("shop/mail/send.go", "shop/sales"): "business package",
+        ("shop/mail/send.go", "shop/db"): "another adapter",
+        ("shop/mail/send.go", "shop/mail/mime"): None,
+        ("shop/mail/mime/part.go", "shop/mail"): None,
+        ("shop/mailer/x.go", "shop/db"): None,
+        ("shop/hub/loop.go", "shop/db/sql"): "core to adapter",
+        ("shop/hub/loop.go", "shop/sales/tax"): "core to business",
+        ("shop/hub/loop.go", "shop/hub/wire"): None,
+        ("shop/hub/wire/start.go", "shop/db"): None,
+        ("shop/hub/wire/start.go", "shop/sales"): None,
+        ("main.go", "shop/sales"): None,
+    }
+    imports = spark.createDataFrame([(rel, 1, f"w.test/{path}") for rel, path in problems], "rel string, line int, path string")
+    full = lambda *paths: [f"w.test/{p}" for p in paths]
+    got = structure.layer_violations(imports, "w.test", ["shop/sales"], ["shop/db", "shop/mail"], ["shop/hub"], ["shop/hub/wire"], full("shop/db", "shop/hub/secret"), full("internal/clock"))
+    assert {(r.rel, r.path.removeprefix("w.test/")): r.problem for r in got.collect()} == {k: v for k, v in problems.items() if v}
 
 
 def test_imports_tests_children_paths(spark):
@@ -123,15 +134,21 @@ def test_imports_tests_children_paths(spark):
     assert pytest.rows(structure.walked(paths)) == [("internal/app/bad_test.go",), ("internal/x.go",)]
 
 
+BANG = "#!/usr/bin/env python3\n"
+# What a file may begin with, and where its own path then stands.
 HEADERS = [
-    ("go", "internal/main.go", "// internal/old/main.go\npackage main\n", "// internal/main.go\npackage main\n"),
-    ("python", "scripts/run.py", "#!/usr/bin/env python3\nimport os\n", "#!/usr/bin/env python3\n# scripts/run.py\nimport os\n"),
-    ("python", "a/b.py", "import os", "#!/usr/bin/env python3\n# a/b.py\nimport os\n"),
-    ("typescript", "src/x.ts", "export const x = 1\n", "// src/x.ts\nexport const x = 1\n"),
-    ("go", "c/doc.go", "// Package c Does.\n//\n// - x\npackage c\n", "// c/doc.go\n\n// Package c Does.\n//\n// - x\npackage c\n"),
-    ("go", "e.go", "//go:build !windows\n\npackage e\n", "//go:build !windows\n\n// e.go\npackage e\n"),
-    ("go", "e.go", "package e\r\n", "// e.go\r\npackage e\r\n"),
-    ("go", "e.go", "", "// e.go\n"),
+    ("go", "k/plain.go", "package k\n\nvar x = 1", "// k/plain.go\npackage k\n\nvar x = 1\n"),
+    ("go", "k/moved.go", "// was/elsewhere.go\npackage k\n", "// k/moved.go\npackage k\n"),
+    ("go", "k/two.go", "// a/b.go\n// c/d.go\npackage k\n", "// k/two.go\npackage k\n"),
+    ("go", "k/told.go", "// Package k counts sheep.\npackage k\n", "// k/told.go\n\n// Package k counts sheep.\npackage k\n"),
+    ("go", "k/tags.go", "//go:build linux\n// +build linux\n\npackage k\n", "//go:build linux\n// +build linux\n\n// k/tags.go\npackage k\n"),
+    ("go", "k/win.go", "package k\r\nvar y int\r\n", "// k/win.go\r\npackage k\r\nvar y int\r\n"),
+    ("go", "k/none.go", "", "// k/none.go\n"),
+    ("python", "t/with.py", BANG + "x = 1\n", BANG + "# t/with.py\nx = 1\n"),
+    ("python", "t/other.py", "#!/bin/py\n# old/name.py\nx = 1", "#!/bin/py\n# t/other.py\nx = 1\n"),
+    ("python", "t/bare.py", "x = 1\n", BANG + "# t/bare.py\nx = 1\n"),
+    ("typescript", "w/a.tsx", "let a = <b/>;\n", "// w/a.tsx\nlet a = <b/>;\n"),
+    ("typescript", "w/b.ts", "\n// w/old.ts\nlet b;\n", "// w/b.ts\n\nlet b;\n"),
 ]
 
 
@@ -145,7 +162,7 @@ def test_headers(spark, language, rel, content, want):
 
 
 def test_header_filter(spark):
-    files = spark.createDataFrame([("a.go", "package a\n"), ("b.md", "x")], "rel string, content string")
+    files = spark.createDataFrame([("a.go", "package a\n"), ("b.md", "x"), ("x/vendor/c.go", "package c\n"), ("vendor.go/../d.md", "")], "rel string, content string")
     assert pytest.rows(headers.run_report(files)) == [("go", 1, 1)]
     with pytest.raises(ValueError):
         headers.formatted(files, ("rust",))
@@ -209,6 +226,80 @@ def test_registries(spark):
     assert pytest.rows(registry.set_differences(g([("a", 1), ("b", 1)]), g([("b", 1), ("c", 1)]), "k")) == [("a", "left"), ("c", "right")]
 
 
+def matching(items, rnd):
+    """A text for a parsed pattern; most tries match."""
+    from re import _constants as K
+
+    out = ""
+    for op, value in items:
+        if op is K.LITERAL:
+            out += chr(value)
+        elif op is K.NOT_LITERAL:
+            out += "a" if value != ord("a") else "b"
+        elif op is K.ANY:
+            out += "q"
+        elif op is K.IN:
+            kind, what = rnd.choice([v for v in value if v[0] is not K.NEGATE])
+            out += {K.LITERAL: lambda: chr(what), K.RANGE: lambda: chr(what[0]), K.CATEGORY: lambda: " " if "SPACE" in str(what) else "7" if "DIGIT" in str(what) else "w"}[kind]()
+        elif op is K.BRANCH:
+            out += matching(rnd.choice(value[1]), rnd)
+        elif op is K.SUBPATTERN:
+            out += matching(value[3], rnd)
+        elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
+            out += "".join(matching(value[2], rnd) for _ in range(value[0] + rnd.randint(0, 1) if value[1] > value[0] else value[0]))
+    return out
+
+
+def test_every_given_pattern_finds_a_line_made_for_it(spark, sf):
+    import random
+    import re
+    from re import _parser
+
+    from corpusgate.session import read_table
+
+    rnd, lines, made = random.Random(1), [], set()
+    patterns = {r.pattern for r in read_table(spark, sf, "custom_rules").where("enabled AND pattern <> ''").collect()}
+    own = [r"\bresult\.Prefix\(", r"foo.*?barbaz", r"foo\tbar", r"^password\Z", r"foo((a(b)?)c)", r"\x41bcdef", r"(?:ab|cd)efg", r"[xy]tail", r"(?i)MiXed\.Case"]
+    table = sorted(patterns) + own
+    for p in table:
+        for _ in range(6):
+            text = matching(_parser.parse(p), rnd)
+            for line in (text, f"x {text} y", f"x {text.upper()}"):
+                if re.search(p, line) and "\n" not in line:
+                    lines.append(line)
+                    made.add(p)
+    assert len(patterns) > 700 and len(made) > 0.99 * len(table) and made >= set(own)
+    files = spark.createDataFrame([("a.go", "\n".join(lines))], "rel string, content string")
+    rules = spark.createDataFrame([(str(i), "m", p, "warn", "", "", True) for i, p in enumerate(table)], "id string, message string, pattern string, severity string, file_glob string, language string, enabled boolean")
+    got = {(r.line, r.rule_id) for r in contracts.rule_hits(files, rules).collect()}
+    compiled = [(f"custom.{i}", re.compile(p)) for i, p in enumerate(table)]
+    assert got == {(n, rule) for n, line in enumerate(lines, 1) for rule, p in compiled if p.search(line)}
+
+
+def test_long_chains_have_levels(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(1, 12)], "node string, needs string")
+    assert {r.node: (r.level, r.in_circle) for r in registry.dependency_levels(chain).collect()} == {f"n{i}": (i, False) for i in range(12)}
+
+
+def test_ports_and_strictness(spark):
+    c = spark.createDataFrame([("a", "p"), ("b", "q"), ("c", None)], "consumer string, port string")
+    p = spark.createDataFrame([("x", "p"), ("y", None), ("z", "r")], "provider string, port string")
+    links, open_ = registry.port_links(c, p)
+    assert pytest.rows(links, "consumer", "provider", "port") == [("a", "x", "p")] and pytest.rows(open_, "consumer", "port") == [("b", "q")]
+    base = spark.createDataFrame([("r1",), ("r2",), (None,)], "rule string")
+    over = spark.createDataFrame([("g", "r1"), ("g", "r9"), ("h", "r2"), ("h", "r1"), ("i", "r9"), ("k", None), (None, "r1")], "file string, rule string")
+    assert {r.file: r.lacking for r in registry.not_stricter(base, over, "file", "rule").collect()} == {"g": ["r2"], "i": ["r1", "r2"], "k": ["r1", "r2"]}
+    with pytest.raises(ValueError):
+        registry.not_stricter(base, over, "file", "rule", most=1)
+
+
+def test_roll_up_with_a_higher_limit(spark):
+    mild = report.MILD
+    data = [(mild, f"{n}.go", f"f{i}", "m", "warn", i) for n in range(1, 6) for i in range(n)]
+    got = report.roll_up(violations(spark, data), report.RollUp(per_file=4, least=100)).collect()
+    assert sorted((r.file, r.function) for r in got) == sorted([("4.go", ""), ("5.go", "")] + [(f"{n}.go", f"f{i}") for n in range(1, 4) for i in range(n)])
+
+
 def test_dependency_levels_and_circles(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("x", "y"), ("y", "x"), ("z", "x"), ("d", None)], "node string, needs string")
     got = {r.node: r.level for r in registry.dependency_levels(edges).collect()}
@@ -266,7 +357,12 @@ def test_sources(spark, tmp_path):
     (tmp_path / "t/.hidden.py").write_text("x = 1\n")
     (tmp_path / "t/c.toml").write_text("")
     assert pytest.rows(tables.tree(spark, str(tmp_path / "t")).where("rel not like '%.toml'")) == [("internal/a.go", "package a\n")]
-    assert pytest.rows(tables.listed_tree(spark, str(tmp_path / "t")), "rel") == [(".hidden.py",), ("internal/a.go",)]
+    for folder in ("internal/deep/er", "internal/router/x", "node_modules"):
+        (tmp_path / "t" / folder).mkdir(parents=True)
+        (tmp_path / "t" / folder / "f.ts").write_text("")
+    assert pytest.rows(tables.listed_tree(spark, str(tmp_path / "t")), "rel") == [(".hidden.py",), ("internal/a.go",), ("internal/deep/er/f.ts",)]
+    mods = spark.createDataFrame([("go.mod", "// x\nmodule w.test/m\ngo 1.24\n"), ("a/go.mod", "go 1.2"), ("b.go", "module x")], "rel string, content string")
+    assert pytest.rows(tables.module_path(mods)) == [("a/go.mod", ""), ("go.mod", "w.test/m")]
     (tmp_path / "l.json").write_text('{"file":"a","checksum":"1"}\nbroken\n')
     assert pytest.rows(tables.lock_records(spark, str(tmp_path / "l.json"))) == [(None, None, "broken"), ("a", "1", None)]
     assert tables.ndjson(spark, str(tmp_path / "l.json"), "file string", strict=False).count() == 1
