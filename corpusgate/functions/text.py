@@ -11,6 +11,11 @@ ACRONYM_FORMS = ("Http", "Url", "Id", "Json", "Xml", "Dsn", "Api")
 WEAK_OPENERS = ("this function", "this method", "helper")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def lines_of(text: Column) -> Column:
     """Pieces between ``\\n``: a trailing newline counts one more, an empty text is one line."""
     return F.split(text, "\n", -1)
@@ -68,6 +73,12 @@ def first_line(text: Column) -> Column:
     return F.coalesce(F.get(full, F.lit(0)), F.lit(""))
 
 
+def first_tag_line(text: Column) -> Column:
+    """The first line of a ``/** */`` block that says something and is no tag; '' if there is none."""
+    said = F.transform(lines_of(text), lambda x: stripped(F.regexp_replace(F.regexp_replace(F.regexp_replace(stripped(x), r"^/\*\*", ""), r"^\*/", ""), r"^\s*\*", "")))
+    return F.coalesce(F.get(F.filter(said, lambda x: (x != "") & ~x.startswith("@")), F.lit(0)), F.lit(""))
+
+
 def summary_problem(summary: Column, name: Column) -> Column:
     """``empty``, ``symbol``, ``short`` (under 10 characters) or ``weak``; null for a good summary."""
     low = F.lower(summary)

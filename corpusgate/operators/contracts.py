@@ -34,18 +34,25 @@ def called_names(files: DataFrame) -> DataFrame:
     return files.select("rel", F.explode(F.regexp_extract_all(code, F.lit(r"\b([A-Za-z_]\w*\.[A-Za-z_]\w*)\("), F.lit(1))).alias("call")).distinct()
 
 
+#: Files beside Go in which forbidden calls are looked for.
+CALL_EXTENSIONS = (".py", ".ts", ".tsx", ".js")
+
+
 def forbidden_calls(files: DataFrame, calls: list[str], mode: str = "restrict", allowed: tuple[str, ...] = ()) -> DataFrame:
-    """``rel, call``: once for each file and forbidden call.
+    """``rel, call``: once for each file and forbidden call; Go files by what they call, others by their text.
 
     ``mode``: ``allow`` forbids nothing, ``restrict`` spares the paths below ``allowed``, ``ban`` spares none.
     """
-    found = called_names(files)
+    if mode not in ("allow", "restrict", "ban"):
+        raise ValueError(f"unknown mode {mode}")
     if mode == "allow" or not calls:
-        return found.where(F.lit(False))
+        return called_names(files).where(F.lit(False))
     if mode == "restrict":
-        found = found.where(~under_any(F.col("rel"), list(allowed)))
-    wanted = files.sparkSession.createDataFrame([(c,) for c in calls], "call string")
-    return found.join(F.broadcast(wanted), "call", "left_semi").select("rel", "call")
+        files = files.where(~under_any(F.col("rel"), list(allowed)))
+    go = F.col("rel").endswith(".go")
+    called = called_names(files.where(go)).where(F.col("call").isin(*calls))
+    held = files.where(~go & extension(F.col("rel")).isin(*CALL_EXTENSIONS))
+    return called.unionByName(held.select("rel", F.explode(F.filter(F.array(*map(F.lit, calls)), lambda c: F.col("content").contains(c))).alias("call")).distinct())
 
 
 def required_words(rows: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
@@ -59,6 +66,77 @@ def required_words(rows: DataFrame, key: str, text: str, words: list[str]) -> Da
     return judged.join(F.broadcast(complete), ~F.col("__any")).select(key, "missing")
 
 
+def ai_compatibility(files: DataFrame, flags: list[str]) -> DataFrame:
+    """``file, message`` of Go files without all of ``flags``; nothing if one file has them all, one row without file if no file counts.
+
+    A file that only runs another command line (``RunCLI(`` and neither ``flag.`` nor ``cobra.``) does not count.
+    """
+    content = F.col("content")
+    thin = content.contains("RunCLI(") & ~content.contains("flag.") & ~content.contains("cobra.")
+    lacking = F.filter(F.array(*map(F.lit, flags)).cast("array<string>"), lambda w: ~content.contains(w))
+    judged = files.where(F.col("rel").endswith(".go") & ~thin).select(F.col("rel").alias("file"), lacking.alias("missing"))
+    whole = judged.agg(F.count("*").alias("__n"), F.coalesce(F.bool_or(F.size("missing") == 0), F.lit(False)).alias("__any"))
+    each = judged.join(F.broadcast(whole), ~F.col("__any")).select("file", F.concat(F.lit("missing required flags: "), F.array_join("missing", " ")).alias("message"))
+    return each.unionByName(whole.where("__n = 0").select(F.lit("").alias("file"), F.lit("no required flags found in any file").alias("message")))
+
+
+def knob_sites(files: DataFrame, knobs: tuple[str, ...] = ("Timeout", "Port", "Retries", "limit", "depth")) -> DataFrame:
+    """``rel, line, name, value``: names that are, or end with, one of ``knobs`` and the value beside them, if it holds a literal.
+
+    ``a, b := 1, f(2)`` pairs names and values by place; a value may hold its literal anywhere, as
+    an operand, an argument or an element. With other numbers of names and values each name gets
+    the whole right side.
+    """
+    pattern = r"^\s*(?:var|const|let)?\s*((?:(?:self\.)?[A-Za-z_]\w*\s*,\s*)*(?:self\.)?[A-Za-z_]\w*)(?:\s+[\w.*\[\]]+)?\s*(?::=|=|:)\s*([^=\s].*)$"
+    sides = line_table(files).select("rel", "line", F.regexp_extract("text", pattern, 1).alias("left"), F.regexp_extract("text", pattern, 2).alias("right")).where("left <> ''")
+    names = F.transform(F.split("left", ","), lambda x: F.regexp_replace(T.stripped(x), r"^self\.", ""))
+    values = F.transform(F.split("right", ","), T.stripped)
+    paired = F.when(F.size(names) == F.size(values), values).otherwise(F.transform(names, lambda _: T.stripped(F.col("right"))))
+    sites = sides.select("rel", "line", F.explode(F.arrays_zip(names.alias("name"), paired.alias("value"))).alias("s")).select("rel", "line", "s.name", "s.value")
+    ends = F.lit(False)
+    for k in knobs:
+        ends = ends | F.col("name").endswith(k)
+    return sites.where(ends & F.col("value").rlike(r"(?:^|[^\w.])\d|\"[^\"]*\""))
+
+
+def go_directives(files: DataFrame, key: str = "rel", text: str = "content") -> DataFrame:
+    """``key, go, toolchain``: what the last line of each kind says; null where no line does."""
+    lines = F.transform(T.lines_of(F.col(text)), T.stripped)
+    last = lambda word: F.substring(F.element_at(F.reverse(F.filter(lines, lambda x: x.startswith(word + " "))), 1), F.lit(len(word) + 2), F.length(text))
+    kept = F.when(F.exists(lines, lambda x: x.startswith("go ")), last("go")), F.when(F.exists(lines, lambda x: x.startswith("toolchain ")), last("toolchain"))
+    return files.where(F.col(text).isNotNull()).select(key, kept[0].alias("go"), kept[1].alias("toolchain"))
+
+
+def go_version_problems(directives: DataFrame, allowed: tuple[str, ...], key: str = "rel") -> DataFrame:
+    """``key, problem`` of ``go_directives``: without a go version nothing more is judged."""
+    fits = F.lit(False)
+    for prefix in allowed:
+        fits = fits | F.col("go").startswith(prefix)
+    judged = F.array(F.when(F.col("toolchain").isNull(), "missing toolchain"), F.when(~fits, F.concat(F.lit("version "), F.col("go"), F.lit(" is not allowed"))))
+    found = F.when(F.col("go").isNull(), F.array(F.lit("missing go"))).otherwise(F.filter(judged, lambda x: x.isNotNull()))
+    return directives.select(key, F.explode(found).alias("problem"))
+
+
+# Files that name the Go version again, and marks of the lines that do.
+VERSION_FILES = ("Dockerfile", ".github/workflows/ci.yml", ".github/workflows/test.yml", ".gitlab-ci.yml")
+VERSION_MARKS = ("GO_VERSION", "go:", "golang:")
+
+
+def check_go_version(files: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """``rule_id, file, line, message, severity`` of a repository's ``go.mod`` and of the files that name another version than it does."""
+    mods = go_directives(files.where("rel = 'go.mod'"))
+    found = go_version_problems(mods, allowed)
+    missing = mods.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("go.mod").alias("rel"), F.lit("missing go.mod").alias("problem"))
+    errors = found.unionByName(missing).select(F.lit("go-version").alias("rule_id"), F.col("rel").alias("file"), F.lit(0).alias("line"), F.col("problem").alias("message"), F.lit("error").alias("severity"))
+    lines = line_table(files.where(F.col("rel").isin(*VERSION_FILES)))
+    marked = F.lit(False)
+    for m in VERSION_MARKS:
+        marked = marked | F.col("text").contains(m)
+    other = lines.where(F.col("text").contains("1.2") & marked).join(F.broadcast(mods.where("go IS NOT NULL").select("go")), ~F.col("text").contains(F.col("go")))
+    warned = other.select(F.lit("go-version-mismatch").alias("rule_id"), F.col("rel").alias("file"), "line", F.concat(F.lit("go.mod is "), F.col("go"), F.lit(" but found: "), T.stripped(F.col("text"))).alias("message"), F.lit("warn").alias("severity"))
+    return errors.unionByName(warned)
+
+
 def hardcoded_knobs(files: DataFrame, knobs: tuple[str, ...] = ("Timeout", "Port", "Retries", "limit", "depth")) -> DataFrame:
     """``rel, line, name, value``: assignments of a literal to a name that is, or ends with, one of ``knobs``."""
     name, value = F.regexp_extract("text", r"^\s*(?:var|const|let|self\.)?\s*([A-Za-z_]\w*)\s*(?::=|=|:)\s*", 1), F.regexp_extract("text", r"^\s*(?:var|const|let|self\.)?\s*[A-Za-z_]\w*\s*(?::=|=|:)\s*(-?\d[\w.]*|\"[^\"]*\")", 1)

@@ -7,9 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgate.functions.paths import starts_with_any, under_any
 from corpusgate.functions.text import line_count
 
 
+# All limits of the two classes, and the texts of the messages below.
 @dataclass(frozen=True)
 class FunctionLimits:
     """Limits of functions; lines per language as (warn, most)."""
@@ -41,11 +43,12 @@ class FileLimits:
     hard: int = 18
 
 
-def function_violations(facts: DataFrame, limits: FunctionLimits = FunctionLimits()) -> DataFrame:
+def function_violations(facts: DataFrame, limits: FunctionLimits = FunctionLimits(), roots: tuple[str, ...] = ()) -> DataFrame:
     """``fact_id, rule_id, file, function, message, severity, line`` of functions and methods beyond ``limits``.
 
     One error ends the judgement of a function (both limits together, complexity, length, in this
-    order); otherwise it may have several rows. Null numbers count as 0. One pass, no join.
+    order); otherwise it may have several rows. Null numbers count as 0. ``roots``: only files
+    below them, all files if there are none. One pass, no join.
     """
     lang, cx = F.col("language"), F.coalesce("complexity", F.lit(0))
     loc = F.coalesce(F.col("end_line") - F.col("line_number") + 1, F.lit(0))
@@ -73,7 +76,8 @@ def function_violations(facts: DataFrame, limits: FunctionLimits = FunctionLimit
         F.when(guards >= limits.nil_guards, row("warn", "function %s repeats plain nil-guard checks %d times; CTX may be inflated by distant repeated guards", guards)),
     )
     found = F.when(hard.isNotNull(), F.array(hard)).otherwise(F.filter(soft, lambda x: x.isNotNull()))
-    judged = facts.where(lang.isin(*limits.languages) & F.col("symbol_kind").isin("function", "method"))
+    inside = under_any(F.col("file_path"), list(roots)) if roots else F.lit(True)
+    judged = facts.where(inside & lang.isin(*limits.languages) & F.col("symbol_kind").isin("function", "method"))
     return judged.select("fact_id", F.col("file_path").alias("file"), F.col("symbol_name").alias("function"), F.coalesce("line_number", F.lit(0)).alias("line"), F.explode(found).alias("v")).select(
         "fact_id", "v.rule_id", "file", "function", "v.message", "v.severity", "line"
     )
@@ -93,9 +97,14 @@ def file_thresholds(mild: Column, hard: Column, limits: FileLimits) -> tuple[Col
     return warn, F.greatest(most, warn + limits.gap)
 
 
-def file_verdicts(files: DataFrame, facts: DataFrame, limits: FileLimits = FileLimits()) -> DataFrame:
-    """``file, lines, warn, most, severity`` of files with more lines than their thresholds allow; a file without facts has no penalty."""
-    sized = files.select(F.col("rel").alias("file"), line_count(F.col("content")).alias("lines"))
+def file_verdicts(files: DataFrame, facts: DataFrame, limits: FileLimits = FileLimits(), roots: tuple[str, ...] = (), ignored: tuple[str, ...] = ()) -> DataFrame:
+    """``file, lines, warn, most, severity`` of files with more lines than their thresholds allow; a file without facts has no penalty.
+
+    ``roots``: only files below them, all if there are none; paths that start with one of
+    ``ignored`` are left out.
+    """
+    inside = under_any(F.col("rel"), list(roots)) if roots else F.lit(True)
+    sized = files.where(inside & ~starts_with_any(F.col("rel"), list(ignored))).select(F.col("rel").alias("file"), line_count(F.col("content")).alias("lines"))
     both = sized.join(file_penalties(facts, limits), "file", "left")
     warn, most = file_thresholds(F.coalesce("mild", F.lit(0)), F.coalesce("hard", F.lit(0)), limits)
     judged = both.select("file", "lines", warn.cast("int").alias("warn"), most.cast("int").alias("most"))

@@ -150,3 +150,10 @@ def generated_or_skipped(files: DataFrame) -> DataFrame:
     name = base_name(F.col("rel"))
     skipped = name.endswith("_test.go") | name.endswith(".gen.go") | name.endswith("_mock.go") | starts_with_any(name, ["zz_generated"])
     return files.select("rel", (head.contains("Code generated") & head.contains("DO NOT EDIT")).alias("generated"), skipped.alias("skipped"))
+
+
+def renamed_modules(files: DataFrame, root: str, old: str, new: str) -> DataFrame:
+    """``rel, content`` of the Go files below ``root`` ('' for all) that change when every ``old`` becomes ``new``."""
+    inside = under_any(F.col("rel"), [root]) if root else F.lit(True)
+    made = F.replace(F.col("content"), F.lit(old), F.lit(new))
+    return files.where(inside & F.col("rel").endswith(".go") & F.col("content").contains(old)).select("rel", made.alias("content")) if old and old != new else files.where(F.lit(False)).select("rel", "content")

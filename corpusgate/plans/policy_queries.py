@@ -14,7 +14,8 @@ from corpusgate import schema
 from corpusgate.functions import paths as P
 from corpusgate.functions import severity as S
 from corpusgate.functions import text as T
-from corpusgate.operators import commands, contracts, headers, hygiene, quality, registry, report, structure
+from corpusgate.operators import all_rules, commands, contracts, headers, hygiene, quality, registry, report, structure
+from corpusgate.operators.skew import latest_rows
 from corpusgate.session import read_table
 from corpusgate.sources.extract import source_facts
 from corpusgate.streaming.sessions import finished_sessions
@@ -660,3 +661,260 @@ def session_outcomes(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.lower(F.trim("severity")) == "error", "failed").otherwise("success").alias("status"), F.col("reported_at").alias("at"), "violation_id",
     ).distinct()
     return finished_sessions(reports.drop("violation_id"), _EXPECTED)
+
+
+# Documentation and headers
+
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_SUMMARY = "CASE WHEN {t} = '' THEN 'empty' WHEN regexp_replace(lower({t}), '[.\\s]+$', '') = lower(s) THEN 'symbol' WHEN length({t}) < 10 THEN 'short' WHEN starts_with(lower({t}), 'this function') OR starts_with(lower({t}), 'this method') OR starts_with(lower({t}), 'helper') THEN 'weak' END"
+
+
+def _documentation_sql(python: str) -> str:
+    """SQL of the strict documentation rule; ``python`` is an expression over the docstring ``d`` and parameters ``ps``."""
+    return f"""WITH {_FACTS}, j AS (SELECT fact_id, language, symbol_name AS s, docstring AS d, list_filter(coalesce(params, []), lambda p: p NOT IN ('self', 'cls', '')) AS ps FROM f
+  WHERE language IN ('python', 'typescript') AND symbol_kind IN ('function', 'method')),
+t AS (SELECT *, coalesce(list_filter(list_transform(string_split(d, chr(10)), lambda x: trim(regexp_replace(x, '[\\r\\t]', ' ', 'g'))), lambda x: x <> '')[1], '') AS first,
+  coalesce(list_filter(list_transform(string_split(d, chr(10)), lambda x: {_STRIP.format(x="regexp_replace(regexp_replace(regexp_replace(" + _STRIP.format(x="x") + ", '^/[*][*]', ''), '^[*]/', ''), '^\\s*[*]', '')")}), lambda x: x <> '' AND NOT starts_with(x, '@'))[1], '') AS tagged FROM j),
+p AS (SELECT fact_id, CASE WHEN {_STRIP.format(x="d")} = '' THEN ['missing documentation']
+  WHEN language = 'python' THEN CASE WHEN {_SUMMARY.format(t="first")} IS NOT NULL THEN ['summary ' || {_SUMMARY.format(t="first")}] ELSE {python} END
+  WHEN NOT starts_with({_STRIP.format(x="d")}, '/**') THEN ['no documentation block']
+  WHEN {_SUMMARY.format(t="tagged")} IS NOT NULL THEN ['summary ' || {_SUMMARY.format(t="tagged")}]
+  ELSE list_concat(list_transform(list_filter(ps, lambda p: NOT contains(d, '@param ' || p)), lambda p: 'missing @param ' || p), CASE WHEN contains(d, '@return') THEN [] ELSE ['missing @returns'] END) END AS problems FROM t)
+SELECT fact_id, unnest(problems) AS problem FROM p"""
+
+
+_GOOGLE = "list_filter([CASE WHEN len(ps) > 0 AND NOT regexp_matches(d, '(?m)^\\s*Args:\\s*$') THEN 'missing Args' END, CASE WHEN NOT regexp_matches(d, '(?m)^\\s*(Returns|Yields):\\s*$') THEN 'missing Returns' END], lambda x: x IS NOT NULL)"
+_NUMPY = "list_filter([CASE WHEN len(ps) > 0 AND NOT regexp_matches(d, '(?m)^\\s*Parameters\\s*\\n\\s*-{3,}\\s*$') THEN 'missing Parameters' END, CASE WHEN NOT regexp_matches(d, '(?m)^\\s*Returns\\s*\\n\\s*-{3,}\\s*$') THEN 'missing Returns' END], lambda x: x IS NOT NULL)"
+_REST = "list_concat(list_transform(list_filter(ps, lambda p: NOT contains(d, ':param ' || p || ':')), lambda p: 'missing :param ' || p), CASE WHEN contains(d, ':returns:') OR contains(d, ':return:') THEN [] ELSE ['missing :returns:'] END)"
+
+
+@registered(_documentation_sql(_GOOGLE))
+def documentation_google(spark: SparkSession, sf: str) -> DataFrame:
+    return hygiene.documentation_problems(schema.facts(spark, sf))
+
+
+@registered(_documentation_sql(_NUMPY))
+def documentation_numpy(spark: SparkSession, sf: str) -> DataFrame:
+    return hygiene.documentation_problems(schema.facts(spark, sf), python_style="numpy")
+
+
+@registered(_documentation_sql(_REST))
+def documentation_rest(spark: SparkSession, sf: str) -> DataFrame:
+    return hygiene.documentation_problems(schema.facts(spark, sf), python_style="restructuredtext")
+
+
+def _header_sql(strict: bool) -> str:
+    window, word = (1, "incorrect") if strict else (6, "missing")
+    root = "ext = '.py' AND starts_with(rel, 'tools/')" if strict else "false"
+    return f"""WITH {_FILES}, h AS (SELECT rel, lower(regexp_extract(rel, '(\\.[^./]*)$', 1)) AS ext, list_transform(string_split(content, chr(10)), lambda x: {_STRIP.format(x="x")}) AS ls FROM fl WHERE regexp_matches(lower(rel), '\\.(go|ts|py)$')),
+g AS (SELECT rel, ext, ls, CASE WHEN ext = '.py' THEN '#' ELSE '//' END AS sign, CASE WHEN ext = '.py' AND CASE WHEN {root} THEN ls[1] = '#!/usr/bin/env python3' ELSE starts_with(ls[1], '#!') END THEN 2 ELSE 1 END AS start FROM h),
+s AS (SELECT *, list_transform(ls, lambda x: CASE WHEN starts_with(x, sign) THEN {_STRIP.format(x="substr(x, length(sign) + 1)")} ELSE '' END) AS said FROM g),
+a AS (SELECT *, start + nullif(list_position(said[start:start + {window - 1}], rel), 0) - 1 AS header FROM s),
+n AS (SELECT *, CASE WHEN coalesce(list_position(said[header + 1:], ''), 0) = 0 THEN len(said[header + 1:]) ELSE list_position(said[header + 1:], '') - 1 END AS n FROM a)
+SELECT rel, CAST(1 AS INTEGER) AS line, 'missing shebang' AS problem FROM n WHERE {root} AND ls[1] <> '#!/usr/bin/env python3'
+UNION ALL SELECT rel, CAST(start AS INTEGER), 'header is {word}' FROM n WHERE header IS NULL
+UNION ALL SELECT rel, CAST(header + 1 AS INTEGER), 'description has ' || n || ' line(s)' FROM n WHERE header IS NOT NULL AND (n < 2 OR n > 5)"""
+
+
+@registered(_header_sql(False))
+def header_loose(spark: SparkSession, sf: str) -> DataFrame:
+    return hygiene.header_problems(schema.files(spark, sf))
+
+
+@registered(_header_sql(True))
+def header_strict(spark: SparkSession, sf: str) -> DataFrame:
+    return hygiene.header_problems(schema.files(spark, sf), "strict", ("tools",))
+
+
+# Flags, knobs and versions
+
+_FLAGS = ["flag.String(", "--json", "quux_flag"]
+
+
+@registered(
+    f"""WITH {_FILES}, m AS (SELECT rel, list_filter(['flag.String(', '--json', 'quux_flag'], lambda w: NOT contains(content, w)) AS missing FROM fl
+  WHERE rel LIKE '%.go' AND NOT (contains(content, 'RunCLI(') AND NOT contains(content, 'flag.') AND NOT contains(content, 'cobra.')))
+SELECT rel AS file, 'missing required flags: ' || array_to_string(missing, ' ') AS message FROM m WHERE NOT (SELECT bool_or(len(missing) = 0) FROM m)
+UNION ALL SELECT '', 'no required flags found in any file' WHERE NOT EXISTS (SELECT 1 FROM m)"""
+)
+def ai_compatibility(spark: SparkSession, sf: str) -> DataFrame:
+    return contracts.ai_compatibility(schema.files(spark, sf), _FLAGS)
+
+
+_SIDES = r"^\s*(?:var|const|let)?\s*((?:(?:self\.)?[A-Za-z_]\w*\s*,\s*)*(?:self\.)?[A-Za-z_]\w*)(?:\s+[\w.*\[\]]+)?\s*(?::=|=|:)\s*([^=\s].*)$"
+
+
+@registered(
+    f"""WITH {_FILES}, {_LINES}, b AS (SELECT rel, line, regexp_extract(text, '{_SIDES}', 1) AS l, regexp_extract(text, '{_SIDES}', 2) AS r FROM ln WHERE regexp_extract(text, '{_SIDES}', 1) <> ''),
+n AS (SELECT rel, line, list_transform(string_split(l, ','), lambda x: regexp_replace({_STRIP.format(x="x")}, '^self[.]', '')) AS names, list_transform(string_split(r, ','), lambda x: {_STRIP.format(x="x")}) AS vals, {_STRIP.format(x="r")} AS r FROM b),
+z AS (SELECT rel, CAST(line AS INTEGER) AS line, unnest(names) AS name, unnest(CASE WHEN len(names) = len(vals) THEN vals ELSE list_transform(names, lambda _: r) END) AS value FROM n)
+SELECT * FROM z WHERE regexp_matches(name, '(Timeout|Port|Retries|limit|depth)$') AND regexp_matches(value, '(?:^|[^\\w.])\\d|"[^"]*"')"""
+)
+def knob_sites(spark: SparkSession, sf: str) -> DataFrame:
+    return contracts.knob_sites(schema.files(spark, sf))
+
+
+# No go.mod is given; the documents' lines stand for its lines.
+_DIRECTIVES = f"""dv AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL), dl AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format(x="x")}) AS l FROM dv),
+gd AS (SELECT doc_id, substr(list_filter(l, lambda x: starts_with(x, 'go '))[-1], 4) AS go, substr(list_filter(l, lambda x: starts_with(x, 'toolchain '))[-1], 11) AS toolchain FROM dl)"""
+
+
+@registered(f"WITH {_DIRECTIVES} SELECT * FROM gd WHERE go IS NOT NULL OR toolchain IS NOT NULL")
+def go_directives(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text").distinct()
+    return contracts.go_directives(docs, "doc_id", "text").where("go IS NOT NULL OR toolchain IS NOT NULL")
+
+
+@registered(
+    f"""WITH {_DIRECTIVES}, p AS (SELECT doc_id, unnest(CASE WHEN go IS NULL THEN ['missing go'] ELSE list_filter([CASE WHEN toolchain IS NULL THEN 'missing toolchain' END,
+  CASE WHEN NOT (starts_with(go, '1.24') OR starts_with(go, 'test')) THEN 'version ' || go || ' is not allowed' END], lambda x: x IS NOT NULL) END) AS problem FROM gd) SELECT * FROM p"""
+)
+def go_version_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text").distinct()
+    return contracts.go_version_problems(contracts.go_directives(docs, "doc_id", "text"), ("1.24", "test"), "doc_id")
+
+
+@registered(f"""WITH {_FILES} SELECT rel, sha256(replace(content, '"fmt"', '"corp.test/fmt"')) AS checksum FROM fl WHERE starts_with(rel, 'internal/') AND rel LIKE '%.go' AND contains(content, '"fmt"')""")
+def module_rename(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.renamed_modules(schema.files(spark, sf), "internal", '"fmt"', '"corp.test/fmt"').select("rel", F.sha2("content", 256).alias("checksum"))
+
+
+# Advisories and ports
+
+# No advisories are given; violations are put into the three forms that reports use.
+
+
+@registered(
+    f"""WITH {_V} SELECT violation_id, CASE WHEN trim(severity) = '' THEN 'unknown' ELSE severity END AS label FROM v"""
+)
+def advisory_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return _advisories(spark, sf).select("violation_id", S.advisory_label(F.col("vuln")).alias("label"))
+
+
+def _advisories(spark: SparkSession, sf: str) -> DataFrame:
+    v, form = schema.violations(spark, sf), F.col("violation_id") % 3
+    plain = F.to_json(F.struct(F.col("rule_id").alias("id"), F.col("message").alias("summary"), F.upper("severity").alias("severity")))
+    scored = F.to_json(F.struct(F.col("rule_id").alias("id"), F.col("message").alias("summary"), F.array(F.struct(F.lit(" ").alias("score")), F.struct(F.concat(F.lit(" "), F.col("severity")).alias("score"))).alias("severity")))
+    own = F.to_json(F.struct(F.col("rule_id").alias("id"), F.col("message").alias("summary"), F.struct("severity").alias("database_specific")))
+    return v.select("violation_id", "rule_id", "message", "severity", F.when(form == 0, plain).when(form == 1, scored).otherwise(own).alias("vuln"))
+
+
+@registered(
+    f"""WITH {_V}, a AS (SELECT rule_id AS id, message AS summary, CASE WHEN trim(severity) = '' THEN 'unknown' ELSE severity END AS severity FROM v WHERE rule_id <> '')
+SELECT id, min({{'summary': summary, 'severity': severity}}).summary AS summary, min({{'summary': summary, 'severity': severity}}).severity AS severity FROM a GROUP BY id"""
+)
+def advisories(spark: SparkSession, sf: str) -> DataFrame:
+    reports = _advisories(spark, sf).select(F.concat(F.lit('{"results":[{"packages":[{"vulnerabilities":['), F.col("vuln"), F.lit("]}]}]}")).alias("report"))
+    return S.advisories(reports, "report")
+
+
+@registered(
+    f"""WITH {_V}, c AS (SELECT DISTINCT file AS consumer, substr(rule_id, 8) AS port FROM v WHERE starts_with(rule_id, 'custom.'))
+SELECT port, count(*) AS consumers FROM c WHERE port NOT IN (SELECT id FROM custom_rules WHERE enabled AND id IS NOT NULL) GROUP BY port"""
+)
+def unprovided_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return registry.port_links(*_ports(spark, sf))[1].groupBy("port").agg(F.count("*").alias("consumers"))
+
+
+@registered(
+    f"""WITH {_V}, c AS (SELECT DISTINCT file AS consumer, substr(rule_id, 8) AS port FROM v WHERE starts_with(rule_id, 'custom.'))
+SELECT consumer, severity AS provider, port FROM c JOIN custom_rules ON id = port WHERE enabled"""
+)
+def rule_providers(spark: SparkSession, sf: str) -> DataFrame:
+    return registry.port_links(*_ports(spark, sf))[0]
+
+
+def _ports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Files consume the custom rules that they violate; each enabled rule is provided with its severity."""
+    v = schema.violations(spark, sf).where(F.col("rule_id").startswith("custom."))
+    consumers = v.select(F.col("file").alias("consumer"), F.substring("rule_id", F.lit(8), F.length("rule_id")).alias("port")).distinct()
+    return consumers, read_table(spark, sf, "custom_rules").where("enabled").select(F.col("severity").alias("provider"), F.col("id").alias("port"))
+
+
+# Words of commands
+
+_VALUES = {"message": "say \"hi\" {{.branch}}", "branch": "main", "password": "x y"}
+_NAME = "\\{\\{\\.([A-Za-z0-9_-]+)\\}\\}"
+_FILLED = f"""{_STRINGS}, tm AS (SELECT src, id, field, pos, text, regexp_extract_all(text, '{_NAME}', 1) AS names, regexp_split_to_array(text, '{_NAME}') AS pieces FROM st WHERE text IS NOT NULL),
+ip AS (SELECT src, id, field, pos, list_filter(names, lambda n: n NOT IN ('message', 'branch', 'password'))[-1] AS missing,
+  array_to_string(list_transform(pieces, lambda p, i: p || CASE names[i] WHEN 'message' THEN 'say "hi" {{{{.branch}}}}' WHEN 'branch' THEN 'main' WHEN 'password' THEN 'x y' ELSE '' END), '') AS filled FROM tm)"""
+
+
+@registered(f"WITH {_FILLED} SELECT src, id, field, pos, CASE WHEN missing IS NULL THEN filled END AS command, missing FROM ip")
+def interpolated_commands(spark: SparkSession, sf: str) -> DataFrame:
+    made = commands.interpolated(F.col("text"), _VALUES)
+    return _strings(spark, sf).where("text IS NOT NULL").select(*_KEYS, made.alias("c")).select(*_KEYS, "c.command", "c.missing")
+
+
+_ATOMS = """\\\\.|''(?:\\\\.|[^''\\\\])*''|"(?:\\\\.|[^"\\\\])*\""""
+_WORDS = f"(?s)(?:{_ATOMS}|[^''\"\\\\ \\t\\n])+"
+_UNQUOTE = "array_to_string(list_transform(regexp_extract_all({w}, '(?s)" + _ATOMS + "|[^''\"\\\\]+'), lambda a: regexp_replace(CASE WHEN left(a, 1) IN (chr(39), chr(34)) THEN substr(a, 2, length(a) - 2) ELSE a END, '(?s)\\\\(.)', '\\1', 'g')), '')"
+# What stays when all whole words are taken out: nothing, or an open quote or escape.
+_REST_OF = f"regexp_replace(text, '(?s)(?:{_ATOMS}|[^''\"\\\\])*', '')"
+
+
+@registered(
+    f"""WITH {_STRINGS}, w AS (SELECT src, id, field, pos, text, {_REST_OF} AS rest FROM st WHERE text IS NOT NULL)
+SELECT src, id, field, pos, CASE WHEN rest = '' THEN list_filter(list_transform(regexp_extract_all(text, '{_WORDS}'), lambda w: {_UNQUOTE.format(w="w")}), lambda x: x <> '') END AS tokens,
+CASE WHEN rest <> '' THEN CASE WHEN length(regexp_extract(rest, '(\\\\*)$', 1)) % 2 = 1 THEN 'trailing escape' ELSE 'unterminated quote' END END AS error FROM w"""
+)
+def command_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return commands.tokens(_strings(spark, sf), _KEYS, "text")
+
+
+@registered(
+    """WITH o AS (SELECT * FROM macros QUALIFY row_number() OVER (PARTITION BY macro_id ORDER BY ingested_at DESC) = 1),
+a AS (SELECT macro_id, regexp_split_to_array(replace(array_to_string(list_filter(steps, lambda s: s IS NOT NULL), ' -then '), chr(10), ' '), ' +') AS args FROM o WHERE steps IS NOT NULL),
+p AS (SELECT macro_id, args, coalesce(list_position(args, '-then'), 0) AS k FROM a)
+SELECT macro_id, CASE WHEN k > 0 THEN array_to_string(args[:k - 1], ' ') END AS gate, array_to_string(args[k + 1:], ' ') AS main, k > 0 AS chained FROM p"""
+)
+def chained_steps(spark: SparkSession, sf: str) -> DataFrame:
+    once = latest_rows(read_table(spark, sf, "macros"), "macro_id", "ingested_at", ["steps"]).where("steps IS NOT NULL")
+    args = F.split(F.replace(F.array_join("steps", " -then "), F.lit("\n"), F.lit(" ")), " +", -1)
+    parts = once.select("macro_id", commands.chain_parts(args).alias("p"))
+    return parts.select("macro_id", F.array_join("p.gate", " ").alias("gate"), F.array_join("p.main", " ").alias("main"), "p.chained")
+
+
+@registered(
+    f"""WITH o AS (SELECT * FROM macros QUALIFY row_number() OVER (PARTITION BY macro_id ORDER BY ingested_at DESC) = 1),
+s AS (SELECT macro_id, CASE WHEN lower(trim(coalesce(on_failure, ''))) IN ('', 'stop') THEN 'stop' WHEN lower(trim(on_failure)) = 'continue' THEN 'continue' ELSE 'invalid' END AS mode, unnest(range(1, len(steps) + 1)) AS n, unnest(steps) AS raw FROM o),
+m AS (SELECT *, regexp_extract_all(raw, '{_NAME}', 1)[-1] AS missing FROM s WHERE raw IS NOT NULL),
+t AS (SELECT *, raw AS text FROM m), w AS (SELECT *, {_REST_OF} AS rest FROM t),
+r AS (SELECT macro_id, mode, n, CASE WHEN missing IS NOT NULL THEN 'missing template variable ' || missing WHEN rest <> '' THEN CASE WHEN length(regexp_extract(rest, '(\\\\*)$', 1)) % 2 = 1 THEN 'trailing escape' ELSE 'unterminated quote' END
+  WHEN regexp_matches(text, '^(?:[ \\t\\n]|""|[''][''])*$') THEN 'empty command' END AS reason FROM w),
+l AS (SELECT macro_id, mode, list('step ' || n || ': ' || reason ORDER BY n) AS f FROM r WHERE reason IS NOT NULL GROUP BY macro_id, mode)
+SELECT macro_id, mode, CASE WHEN mode = 'continue' THEN array_to_string(f, '; ') ELSE f[1] END AS failures FROM l"""
+)
+def macro_failures(spark: SparkSession, sf: str) -> DataFrame:
+    return commands.macro_failures(read_table(spark, sf, "macros"), {})
+
+
+# All rules in one run
+
+_POLICY = all_rules.Policy(
+    files=_FILE_LIMITS, functions=quality.FunctionLimits(nil_guards=2), test_roots=("internal/tests", "cmd"), calls=("fmt.Errorf", "fmt.Println", "os.Exit", "owner.push", "line.append"), calls_allowed=("cmd",),
+    print_forms=("fmt.Print(", "fmt.Printf(", "fmt.Println(", "console.log(", "print(", "log("), flags=tuple(_FLAGS), documentation="loose",
+)
+_LOOSE = f"""WITH {_FACTS} SELECT fact_id, 'missing documentation' AS problem FROM f WHERE language IN ('python', 'typescript') AND symbol_kind IN ('function', 'method') AND {_STRIP.format(x="docstring")} = ''"""
+_OF_FACT = "fk.file_path AS file, fk.symbol_name AS function, coalesce(fk.line_number, 0) AS line"
+_ALL = f"""WITH {_FACTS.replace("f AS (", "fk AS (", 1)}, al AS (
+SELECT 'file-size' AS rule_id, file, '' AS function, 0 AS line, severity, lines || ' lines, limits ' || warn || ' and ' || most AS message FROM ({ORACLES["file_size_verdict"]})
+UNION ALL SELECT rule_id, file, function, line, severity, message FROM ({ORACLES["function_quality_ladder"]})
+UNION ALL SELECT 'hygiene.symbol_names', file, function, coalesce(line, 0), 'error', problem FROM ({ORACLES["symbol_names"]})
+UNION ALL SELECT 'hygiene.doc_style', {_OF_FACT}, 'error', problem FROM ({ORACLES["doc_style"]}) x JOIN fk USING (fact_id)
+UNION ALL SELECT 'hygiene.documentation', {_OF_FACT}, 'error', problem FROM ({_LOOSE}) x JOIN fk USING (fact_id)
+UNION ALL SELECT 'hygiene.documentation', rel, '', line, 'error', problem FROM ({_header_sql(False)})
+UNION ALL SELECT 'structure.test_location', rel, '', 0, 'error', 'test outside of its roots' FROM ({ORACLES["test_location"].replace(" UNION SELECT rel FROM fl", "").replace("SELECT DISTINCT file_path AS rel FROM f WHERE file_path <> ''", "SELECT rel FROM fl")})
+UNION ALL SELECT 'structure.package_rules', dir, '', 0, 'error', problem FROM ({ORACLES["package_verdicts"]})
+UNION ALL SELECT 'cli-formatter', rel, '', line, 'error', form FROM ({ORACLES["forbidden_prints"]})
+UNION ALL SELECT 'scope-guard', rel, '', 0, 'error', call FROM ({ORACLES["forbidden_calls"]})
+UNION ALL SELECT 'hardcoded-runtime-knob', rel, '', line, 'warn', name FROM ({ORACLES["knob_sites"]})
+UNION ALL SELECT rule_id, rel, '', line, x.severity, coalesce(message, '') FROM ({ORACLES["custom_rule_hits"]}) x LEFT JOIN custom_rules ON rule_id = 'custom.' || id
+UNION ALL SELECT 'ai-compatibility', file, '', 0, 'error', message FROM ({ORACLES["ai_compatibility"]}))
+SELECT file, CAST(line AS INTEGER) AS line, function, rule_id, message, arg_min(severity, (CASE severity WHEN 'error' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, severity)) AS severity FROM al GROUP BY ALL"""
+
+
+@registered(_ALL.replace("GROUP BY ALL", "GROUP BY file, line, function, rule_id, message"))
+def all_rules_run(spark: SparkSession, sf: str) -> DataFrame:
+    found = all_rules.check(schema.files(spark, sf), schema.facts(spark, sf), read_table(spark, sf, "custom_rules"), _POLICY)
+    return report.deduped(found)
