@@ -200,7 +200,7 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, total_tokens: floa
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: float | str | None = None, seed: int = 42, folder: str = TOKENIZERS) -> DataFrame:
-    """Per listed source: target and planned share, tokens available, planned and used, documents, copies, and ``actual_share``."""
+    """Per listed source: target and planned share, tokens available, planned and used, documents, copies, ``actual_share`` and how far it is from the plan, ``share_gap``."""
     counted = _counted(documents, folder)
     shares = source_shares(counted, targets, total_tokens)
     spark = documents.sparkSession
@@ -215,4 +215,4 @@ def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: float | s
     zero = ("documents", "copies", "most_copies", "used_tokens")
     out = plan.join(got, "source", "left").select(*plan.columns, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in zero])
     whole = out.agg(F.sum("used_tokens").alias("__all"))
-    return out.join(F.broadcast(whole)).withColumn("actual_share", F.coalesce(F.col("used_tokens") / F.nullif(F.col("__all"), F.lit(0)), F.lit(0.0))).drop("__all")
+    return out.join(F.broadcast(whole)).withColumn("actual_share", F.coalesce(F.col("used_tokens") / F.nullif(F.col("__all"), F.lit(0)), F.lit(0.0))).withColumn("share_gap", F.col("actual_share") - F.col("planned_share")).drop("__all")

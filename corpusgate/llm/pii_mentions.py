@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -131,7 +131,9 @@ class Text:
 
 
 def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    return not any(a < y and x < b for x, y in taken)
+    """Whether nothing of ``taken``, which is in order and does not overlap, reaches into the span."""
+    i = bisect_left(taken, (b,))
+    return i == 0 or taken[i - 1][1] <= a
 
 
 def emails_in(text: str) -> list[tuple[int, int]]:
@@ -238,7 +240,7 @@ def _numbers(text: str, out: list[Mention], taken: list[tuple[int, int]]) -> Non
         if address:
             if _free(taken, *address):
                 out.append(_address(text, *address))
-                taken.append(address)
+                insort(taken, address)
             upto = address[1]
             continue
         a = _BEFORE_NUMBER.search(text, max(0, place - 8), place).start()
@@ -265,7 +267,7 @@ def _numbers(text: str, out: list[Mention], taken: list[tuple[int, int]]) -> Non
             seed = before
         before = seed if seed in ("phone", "id_number") else before
         out.append(Mention("number", a, b, seed, (f"S {_shape(value)}",), _context(text, a, b)))
-        taken.append((a, b))
+        insort(taken, (a, b))
         upto = b
 
 
@@ -275,8 +277,10 @@ def _names(text: str, out: list[Mention], taken: list[tuple[int, int]], mails: l
             return
         if seed is None and given:
             # The address that follows on the same line has the name's letters.
-            for x, y in mails:
-                if b <= x < b + 40 and "\n" not in text[b:x]:
+            for x, y in mails[bisect_left(mails, (b,)) :]:
+                if x >= b + 40:
+                    break
+                if "\n" not in text[b:x]:
                     local = folded(re.split(r"@|[(\[{\s]", text[x:y])[0])
                     f = folded(family).split("-")[0]
                     if folded(given) in local or f in local:

@@ -372,3 +372,14 @@ def test_overlapping_spans_become_one(spark):
     df = spark.createDataFrame(rows, "k long, start int, end int, kind string")
     got = {r.k: [tuple(s) for s in r.spans] for r in pii.merged_spans(df, ["k"]).collect()}
     assert got == {1: [(0, 9, "name"), (9, 11, "phone")], 2: [(5, 6, "name")]}
+
+
+def test_long_texts_take_time_in_proportion():
+    text = "Please ask Anna Brackmere <anna.brackmere@mail.example> or call +44 20 7946 0958 at 12 Elm Street, Bo, VT 12345.\n"
+    began = time.process_time()
+    found = M.mentions_in(text * 5000)
+    assert len(found) >= 20_000 and time.process_time() - began < 60
+    taken = [(0, 3), (5, 6), (9, 20)]
+    for a in range(22):
+        for b in range(a + 1, 23):
+            assert M._free(taken, a, b) == (not any(a < y and x < b for x, y in taken))

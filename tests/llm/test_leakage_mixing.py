@@ -102,3 +102,18 @@ def test_mix_of_an_empty_corpus(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     assert mixing.mixed_documents(docs, targets).count() == 0
     assert mixing.mix_report(docs, targets).first().actual_share == 0.0
+
+
+def test_reached_shares_are_the_planned_ones(spark, sf):
+    from corpusgate.session import read_table
+
+    docs, targets = read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets")
+    for total in (None, "exact"):
+        rows = mixing.mix_report(docs, targets, total).collect()
+        all_ = sum(r.used_tokens for r in rows)
+        longest = 2000
+        assert all_ > 0 and all(abs(r.share_gap) * all_ <= longest * len(rows) for r in rows)
+        assert all(r.most_copies <= r.max_repeats for r in rows)
+        if total == "exact":
+            there = sum(r.target_share for r in rows if r.available_tokens)
+            assert all(abs(r.actual_share - r.target_share / there) * all_ <= longest * len(rows) for r in rows if r.available_tokens)
