@@ -178,6 +178,46 @@ def dense_strings(rows: DataFrame, keys: list[str], text: str, least_length: int
     return rows.withColumn("bits", T.entropy(F.col("value"))).where(F.col("bits") >= least_entropy)
 
 
+# Forms of secrets, each with its tier.
+SECRET_FORMS = (
+    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "CRITICAL"), ("github-token", r"gh[opsur]_[A-Za-z0-9]{30,}", "CRITICAL"), ("package-token", r"(?:npm_|glpat-|pypi-)[A-Za-z0-9_-]{16,}", "CRITICAL"),
+    ("cloud-key-id", r"AKIA[0-9A-Z]{16}", "HIGH"), ("chat-token", r"xox[abprs]-[A-Za-z0-9-]{10,}", "HIGH"), ("url-login", r"://[^/\s:@]+:[^/\s:@${]{3,}@", "HIGH"), ("web-token", r"eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}", "MEDIUM"),
+)
+TIERS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+
+
+def secret_findings(
+    rows: DataFrame, keys: list[str], text: str, allowed_texts: tuple[str, ...] = (), allowed_ids: tuple[str, ...] = (), overrides: dict[str, str] | None = None, least_entropy: float = 4.0
+) -> DataFrame:
+    """``keys, line_no, finding, tier``: of each line its gravest finding, of equal ones the last by name.
+
+    Findings are the ``SECRET_FORMS``, ``keyword`` (an assigned value HIGH, else LOW) and ``entropy``
+    (an unbroken string of more than 32 characters, MEDIUM). Lines with a benign hint or one of
+    ``allowed_texts`` have none; ``allowed_ids`` are not looked for; ``overrides`` give a finding
+    another tier, or ``OFF``. Null texts give no rows.
+    """
+    overrides = overrides or {}
+    if unknown := {t for t in overrides.values() if t not in (*TIERS, "OFF")}:
+        raise ValueError(f"unknown tiers {sorted(unknown)}")
+    lines = rows.where(F.col(text).isNotNull()).select(*keys, F.posexplode(T.lines_of(text)).alias("__pos", "l"))
+    low, harmless = F.lower("l"), F.lit(False)
+    for b in (*BENIGN, *(a.lower() for a in allowed_texts)):
+        harmless = harmless | low.contains(b)
+    words = "(?:" + "|".join(map(re.escape, KEYWORDS)) + ")"
+    valued, dense = low.rlike(words + r"\w*[\"']?\s*[:=]\s*[\"']?[^\s\"']{6,}"), F.regexp_extract_all("l", F.lit(r"([A-Za-z0-9+/_=-]{33,})"), F.lit(1))
+    tests = [(name, F.col("l").rlike(form), tier) for name, form, tier in SECRET_FORMS]
+    tests += [("keyword", valued, "HIGH"), ("keyword", low.rlike(words) & ~valued, "LOW"), ("entropy", F.exists(dense, lambda v: T.entropy(v) >= least_entropy), "MEDIUM")]
+    found = []
+    for name, test, tier in tests:
+        tier = overrides.get(name, tier)
+        if name not in allowed_ids and tier != "OFF":
+            found.append(F.when(test, F.struct(F.lit(TIERS.index(tier)).alias("rank"), F.lit(name).alias("finding"), F.lit(tier).alias("tier"))))
+    if not found:
+        return lines.where(F.lit(False)).select(*keys, F.col("__pos").alias("line_no"), F.lit("").alias("finding"), F.lit("").alias("tier"))
+    best = F.array_max(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    return lines.where(~harmless).select(*keys, (F.col("__pos") + 1).alias("line_no"), best.alias("b")).where("b IS NOT NULL").select(*keys, "line_no", "b.finding", "b.tier")
+
+
 # Custom rules
 
 LANGUAGE_EXTENSIONS = {"go": [".go"], "python": [".py"], "typescript": [".ts", ".tsx"]}

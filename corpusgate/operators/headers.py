@@ -22,7 +22,7 @@ def _from(lines: Column, start: Column | int) -> Column:
 def _first_not(lines: Column, test) -> Column:
     """Number, from 1, of the first line that fails ``test``; one past the end if none does."""
     at = F.array_position(F.transform(lines, lambda x: test(x)), False).cast("int")
-    return F.when(at == 0, F.size(lines) + 1).otherwise(at)
+    return F.coalesce(F.nullif(at, F.lit(0)), F.size(lines) + 1)
 
 
 def _is_path(sign: str, exts: list[str]):
@@ -30,6 +30,35 @@ def _is_path(sign: str, exts: list[str]):
     return lambda line: line.rlike(pattern)
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _headed(lines: Column, rel: Column, language: str) -> Column:
+    """``lines`` with the path's comment in its place."""
+    if language == "python":
+        is_path, first = _is_path("#", EXTENSIONS["python"]), F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+        behind = F.when(first.startswith("#!"), _from(lines, 2)).otherwise(lines)
+        rest = lambda body: F.when(F.coalesce(is_path(F.get(body, F.lit(0))), F.lit(False)), _from(body, 2)).otherwise(body)
+        return F.concat(F.array(F.when(first.startswith("#!"), first).otherwise(DEFAULT_SHEBANG), F.concat(F.lit("# "), rel)), _let(behind, rest))
+    is_path = _is_path("//", EXTENSIONS[language])
+
+    def placed(body: Column) -> Column:
+        at = F.lit(1)
+        if language == "go":
+            behind = _first_not(body, lambda x: x.startswith("//go:build") | x.startswith("// +build"))
+            at = _let(behind, lambda b: b + _first_not(_from(body, b), lambda x: x == "") - 1)
+        return _let(at, lambda k: put(body, k))
+
+    def put(body: Column, at: Column) -> Column:
+        gap = F.when(F.coalesce(F.get(body, at - 1), F.lit("")).startswith("//"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.slice(body, F.lit(1), at - 1), F.array(F.concat(F.lit("// "), rel)), gap, _from(body, at))
+
+    without = lambda k: F.concat(F.filter(F.slice(lines, F.lit(1), k - 1), lambda x: ~is_path(x)), _from(lines, k))
+    return _let(_let(_first_not(lines, lambda x: (x == "") | x.startswith("//")), without), placed)
+
+
 def with_header(content: Column, rel: Column, language: str) -> Column:
     """``content`` with the comment of its own path on top, in place of other path headers.
 
@@ -39,26 +68,9 @@ def with_header(content: Column, rel: Column, language: str) -> Column:
     """
     crlf = content.contains("\r\n")
     pieces = lines_of(F.replace(content, F.lit("\r\n"), F.lit("\n")))
-    lines = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
-    if language == "python":
-        is_path = _is_path("#", EXTENSIONS["python"])
-        first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-        shebang = F.when(first.startswith("#!"), first).otherwise(DEFAULT_SHEBANG)
-        body = F.when(first.startswith("#!"), _from(lines, 2)).otherwise(lines)
-        body = F.when(F.coalesce(is_path(F.get(body, F.lit(0))), F.lit(False)), _from(body, 2)).otherwise(body)
-        out = F.concat(F.array(shebang, F.concat(F.lit("# "), rel)), body)
-    else:
-        is_path = _is_path("//", EXTENSIONS[language])
-        rest_at = _first_not(lines, lambda x: (x == "") | x.startswith("//"))
-        body = F.concat(F.filter(F.slice(lines, F.lit(1), rest_at - 1), lambda x: ~is_path(x)), _from(lines, rest_at))
-        at = F.lit(1)
-        if language == "go":
-            at = _first_not(body, lambda x: x.startswith("//go:build") | x.startswith("// +build"))
-            at = at + _first_not(_from(body, at), lambda x: x == "") - 1
-        following = F.coalesce(F.get(body, at - 1), F.lit(""))
-        gap = F.when(following.startswith("//"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-        out = F.concat(F.slice(body, F.lit(1), at - 1), F.array(F.concat(F.lit("// "), rel)), gap, _from(body, at))
-    return F.when(crlf, F.concat(F.array_join(out, "\r\n"), F.lit("\r\n"))).otherwise(F.concat(F.array_join(out, "\n"), F.lit("\n")))
+    end = F.when(crlf, "\r\n").otherwise("\n")
+    made = _let(pieces, lambda p: _let(F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p), lambda lines: _headed(lines, rel, language)))
+    return _let(made, lambda lines: F.concat(F.when(crlf, F.array_join(lines, "\r\n")).otherwise(F.array_join(lines, "\n")), end))
 
 
 def has_header(content: Column, rel: Column, language: str, window: int = 6) -> Column:

@@ -18,6 +18,8 @@ from corpusgate.session import materialize, parallelism
 #: Rows in a chunk and states merged at a time.
 CHUNK_ROWS = 20_000
 FAN_IN = 500
+#: Most rows of an input partition; more rows make more partitions than the shuffle has.
+RANGE_ROWS = 2_000_000
 
 _STATE = "struct<n:bigint,first:string,last:string,changes:bigint,pre:bigint,suf:bigint,best:bigint>"
 
@@ -149,7 +151,9 @@ def key_profiles(violations: DataFrame, chunk_rows: int = CHUNK_ROWS, fan_in: in
     slim = violations.select("violation_id", "ingested_at", "reported_at", "rule_id", "file", rated.alias("sev"))
     once = latest_rows(slim, "violation_id", "ingested_at", ["reported_at", "rule_id", "file", "sev"])
     spark = violations.sparkSession
-    ranged = once.repartitionByRange(parallelism(spark), F.col("reported_at").asc_nulls_first(), F.col("violation_id").asc_nulls_first())
+    # The count comes from the files' metadata.
+    partitions = max(parallelism(spark), violations.count() // RANGE_ROWS + 1)
+    ranged = once.repartitionByRange(partitions, F.col("reported_at").asc_nulls_first(), F.col("violation_id").asc_nulls_first())
     placed = materialize(ranged.withColumn("__part", F.spark_partition_id()), "violations_ranged")
 
     def of(kind: str, key: str, other: str) -> DataFrame:

@@ -419,7 +419,26 @@ def header_status(spark: SparkSession, sf: str) -> DataFrame:
     return hygiene.header_status(schema.files(spark, sf))
 
 
-@registered()
+_IS_PATH = "regexp_matches({x}, '^' || sign || '\\s*\\S*[^\\s/]\\S*(?:' || exts || ')\\s*$')"
+_FIRST_NOT = "coalesce(nullif(list_position(list_transform({l}, lambda x: {c}), false), 0), len({l}) + 1)"
+_BUILD = "starts_with(x, '//go:build') OR starts_with(x, '// +build')"
+
+
+@registered(
+    f"""WITH {_FILES}, a AS (SELECT rel, content, CASE WHEN regexp_matches(lower(rel), '\\.go$') THEN 'go' WHEN regexp_matches(lower(rel), '\\.py$') THEN 'python' WHEN regexp_matches(lower(rel), '\\.tsx?$') THEN 'typescript' END AS language FROM fl
+  WHERE NOT list_has_any(string_split(rel, '/')[:-2], [{", ".join(f"'{d}'" for d in headers.SKIPPED_DIRECTORIES)}])),
+b AS (SELECT *, CASE language WHEN 'python' THEN '#' ELSE '//' END AS sign, CASE language WHEN 'go' THEN '\\.go' WHEN 'python' THEN '\\.py' ELSE '\\.ts|\\.tsx' END AS exts, contains(content, chr(13) || chr(10)) AS crlf,
+  string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS p, list_transform(string_split(content, chr(10))[1:6], lambda x: regexp_replace(x, chr(13) || '$', '')) AS head FROM a WHERE language IS NOT NULL),
+c AS (SELECT *, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS l, coalesce(list_filter(head, lambda x: {_IS_PATH.format(x="x")})[1] = sign || ' ' || rel, false) AS own FROM b),
+d AS (SELECT *, coalesce(l[1], '') AS first, {_FIRST_NOT.format(l="l", c="x = '' OR starts_with(x, '//')")} AS rest_at FROM c),
+e AS (SELECT *, CASE WHEN starts_with(first, '#!') THEN l[2:] ELSE l END AS py, list_concat(list_filter(l[1:rest_at - 1], lambda x: NOT {_IS_PATH.format(x="x")}), l[rest_at:]) AS body FROM d),
+f AS (SELECT *, CASE language WHEN 'go' THEN {_FIRST_NOT.format(l="body", c=_BUILD)} ELSE 1 END AS a1 FROM e),
+g AS (SELECT *, CASE language WHEN 'go' THEN a1 + {_FIRST_NOT.format(l="body[a1:]", c="x = ''")} - 1 ELSE 1 END AS k FROM f),
+o AS (SELECT rel, language, content, own, crlf, CASE WHEN language = 'python' THEN list_concat([CASE WHEN starts_with(first, '#!') THEN first ELSE '#!/usr/bin/env python3' END, '# ' || rel], CASE WHEN coalesce({_IS_PATH.format(x="py[1]")}, false) THEN py[2:] ELSE py END)
+  ELSE list_concat(list_concat(body[1:k - 1], ['// ' || rel]), list_concat(CASE WHEN starts_with(coalesce(body[k], ''), '//') THEN [''] ELSE [] END, body[k:])) END AS made FROM g),
+m AS (SELECT rel, language, content, CASE WHEN own THEN content WHEN crlf THEN array_to_string(made, chr(13) || chr(10)) || chr(13) || chr(10) ELSE array_to_string(made, chr(10)) || chr(10) END AS made FROM o)
+SELECT rel, language, made <> content AS changed, sha256(made) AS checksum FROM m"""
+)
 def header_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     return headers.formatted(schema.files(spark, sf)).select("rel", "language", "changed", F.sha2("content", 256).alias("checksum"))
 
@@ -889,6 +908,52 @@ def macro_failures(spark: SparkSession, sf: str) -> DataFrame:
     return commands.macro_failures(read_table(spark, sf, "macros"), {})
 
 
+# Findings, header counts and relative paths
+
+_TIER = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}
+_BITS = "list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -(length(v) - length(replace(v, c, ''))) / length(v) * log2((length(v) - length(replace(v, c, ''))) / length(v))))"
+_FORMS = ", ".join(f"CASE WHEN regexp_matches(l, '{form}') THEN {{'rank': {_TIER[tier]}, 'finding': '{name}', 'tier': '{tier}'}} END" for name, form, tier in contracts.SECRET_FORMS if name != "web-token")
+_VALUED = f"""regexp_matches(w, '(?:{_KWRE})\\w*["'']?\\s*[:=]\\s*["'']?[^\\s"'']{{6,}}')"""
+
+
+@registered(
+    f"""WITH {_STRINGS}, ln2 AS (SELECT src, id, field, pos, unnest(range(1, len(s) + 1)) AS line_no, unnest(s) AS l FROM (SELECT *, string_split(text, chr(10)) AS s FROM st WHERE text IS NOT NULL)),
+lw AS (SELECT *, lower(l) AS w FROM ln2),
+b AS (SELECT src, id, field, pos, CAST(line_no AS INTEGER) AS line_no, list_max(list_filter([{_FORMS}, CASE WHEN {_VALUED} THEN {{'rank': 2, 'finding': 'keyword', 'tier': 'HIGH'}} END,
+  CASE WHEN regexp_matches(w, '(?:{_KWRE})') AND NOT {_VALUED} THEN {{'rank': 0, 'finding': 'keyword', 'tier': 'LOW'}} END,
+  CASE WHEN len(list_filter(regexp_extract_all(l, '([A-Za-z0-9+/_=-]{{33,}})', 1), lambda v: round({_BITS}, 6) >= 4.0)) > 0 THEN {{'rank': 0, 'finding': 'entropy', 'tier': 'LOW'}} END], lambda x: x IS NOT NULL)) AS f
+  FROM lw WHERE NOT ({_BENIGN.replace("(l, ", "(w, ")} OR contains(w, 'sha256sum')))
+SELECT src, id, field, pos, line_no, f.finding AS finding, f.tier AS tier FROM b WHERE f IS NOT NULL"""
+)
+def secret_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return contracts.secret_findings(_strings(spark, sf), _KEYS, "text", ("sha256sum",), ("web-token",), {"entropy": "LOW"})
+
+
+@registered(f"SELECT language, count(*) AS checked, count(*) FILTER (changed) AS modified FROM ({ORACLES['header_rewrite']}) GROUP BY language")
+def header_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return headers.run_report(schema.files(spark, sf))
+
+
+@registered(
+    f"""WITH {_V}, p AS (SELECT DISTINCT file FROM v WHERE file <> '' AND NOT starts_with(file, '/') AND NOT contains(file, '..')), s AS (SELECT file, list_filter(string_split(file, '/'), lambda x: x <> '') AS a FROM p),
+c AS (SELECT file, a, CASE WHEN a[1] = 'internal' THEN CASE WHEN a[2] = 'app' THEN 2 ELSE 1 END ELSE 0 END AS k FROM s)
+SELECT file, array_to_string(list_concat(list_transform(range(0, 2 - k), lambda x: '..'), a[k + 1:]), '/') AS relative FROM c"""
+)
+def relative_paths(spark: SparkSession, sf: str) -> DataFrame:
+    files = schema.violations(spark, sf).where(~F.col("file").startswith("/") & ~F.col("file").contains("..") & (F.col("file") != "")).select("file").distinct()
+    return files.select("file", P.relative_to(F.col("file"), F.lit("internal/app")).alias("relative"))
+
+
+@registered(
+    f"""WITH {_V}, c AS (SELECT DISTINCT id, coalesce(severity, '') AS override FROM custom_rules), j AS (SELECT violation_id, severity, override FROM v JOIN c ON rule_id = 'custom.' || id),
+k AS (SELECT *, CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'moderate' THEN 2 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS b, CASE lower(trim(override)) WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'moderate' THEN 2 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END AS o FROM j)
+SELECT violation_id, coalesce(o >= b, false) AS covered FROM k"""
+)
+def severity_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    rules = read_table(spark, sf, "custom_rules").select(F.concat(F.lit("custom."), F.col("id")).alias("rule_id"), F.coalesce("severity", F.lit("")).alias("override")).distinct()
+    return schema.violations(spark, sf).join(F.broadcast(rules), "rule_id").select("violation_id", S.override_covers(F.col("override"), F.col("severity")).alias("covered"))
+
+
 # All rules in one run
 
 _POLICY = all_rules.Policy(
