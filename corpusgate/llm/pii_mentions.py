@@ -82,6 +82,10 @@ _RUN = re.compile(rf"(?<![\w./`$@<>-]){_NAMEY}(?:(?:[ \t]+|\.[ \t]*|,[ \t]+){_NA
 _PIECE = re.compile(_NAMEY)
 _LOWER = re.compile(rf"(?i)(?<![\w])(?:{ADDRESSED})[ ,:]+([^\W\d_][\w’'-]+) ([^\W\d_][\w’'-]+)(?![\w/.@])")
 _KNOWN_WORD = re.compile(rf"(?i)(?:^|[^\w])(?P<phone>{PHONE_WORDS})\W{{0,3}}$|(?:^|[^\w])(?P<machine>{MACHINE_WORDS})\W{{0,3}}$")
+# Numbers that their form alone tells: British and French social security, American social security.
+_ID_FORM = re.compile(r"[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[12] \d\d (?:0[1-9]|1[0-2]) \d[\dAB] \d{3} \d{3}(?: \d\d)?|(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}")
+#: What stands between a name and its own number.
+_BESIDE = re.compile(r"(?i)(?=[^|(\"#<]*[|(\"#<])[\"'\s|(#,;:<>-]{1,8}(?:(?:call|tel|phone|mobile|mob|cell|fax)\W{0,3})?\(?")
 _DATE = re.compile(r"^(?:\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4})")
 _NEWLINE = re.compile("\n")
 
@@ -262,6 +266,8 @@ def _numbers(text: str, out: list[Mention], taken: list[tuple[int, int]]) -> Non
             seed = "phone"
         elif _DATE.match(value) or (known and known.group("machine")):
             seed = "other"
+        elif _ID_FORM.fullmatch(value):
+            seed = "id_number"
         else:
             # What the word before the first number of a run says holds for the others.
             seed = before
@@ -272,9 +278,13 @@ def _numbers(text: str, out: list[Mention], taken: list[tuple[int, int]]) -> Non
 
 
 def _names(text: str, out: list[Mention], taken: list[tuple[int, int]], mails: list[tuple[int, int]]) -> None:
+    own = [m.start for m in out if m.kind == "number" and m.seed in ("phone", "id_number")]
+
     def add(a: int, b: int, given: str | None, family: str, seed: str | None) -> None:
         if not _free(taken, a, b):
             return
+        if seed is None and given and not text[a:b].isupper() and (i := bisect_left(own, b)) < len(own) and own[i] < b + 24 and _BESIDE.fullmatch(text, b, own[i]):
+            seed = "name"
         if seed is None and given:
             # The address that follows on the same line has the name's letters.
             for x, y in mails[bisect_left(mails, (b,)) :]:
@@ -305,6 +315,11 @@ def _names(text: str, out: list[Mention], taken: list[tuple[int, int]], mails: l
                     add(a, d, None, second, "name")
                     i += 2
                     continue
+            # The word is no part of the name.
+            if low == "attn" and between.strip() in (".", ":", "") and i + 2 < len(pieces) and len(second) > 1 and not text[d : pieces[i + 2][0]].strip():
+                add(c, pieces[i + 2][1], second, pieces[i + 2][2], "name")
+                i += 3
+                continue
             if len(first) == 1 and between.strip() in (".", "") and len(second) > 2 and between:
                 if between.strip() == ".":
                     add(a, d, None, second, None)

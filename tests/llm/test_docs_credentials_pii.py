@@ -383,3 +383,12 @@ def test_long_texts_take_time_in_proportion():
     for a in range(22):
         for b in range(a + 1, 23):
             assert M._free(taken, a, b) == (not any(a < y and x < b for x, y in taken))
+
+
+def test_names_beside_their_number_and_telling_forms_are_seeds():
+    seeds = lambda t: {(t[m.start : m.end], m.seed) for m in M.mentions_in(t) if m.seed}
+    assert ("Paul Thornquist", "name") in seeds('# maintainer = "Paul Thornquist"  # call 702.555.0155')
+    assert seeds("| Maria Zellidge | 1 80 12 83 500 007 23 | 20 |") == {("Maria Zellidge", "name"), ("1 80 12 83 500 007 23", "id_number")}
+    assert ("Naomi Bracksen", "name") in seeds("Attn. Naomi Bracksen")
+    assert ("QQ 79 40 11 D", "id_number") in seeds("noted QQ 79 40 11 D and")
+    assert not {s for s in seeds("Strict Mode 617-555-0152 and PARSER STATE (call 617-555-0152") if s[1] == "name"}
