@@ -118,6 +118,16 @@ def plural_noun(count: Column, noun: str) -> Column:
     return F.when(count == 1, noun).otherwise(noun + "s")
 
 
+# Verbs whose plural is no shorter form.
+IRREGULAR_VERBS = {"does": "do", "has": "have", "is": "are", "was": "were"}
+
+
+def plural_verb(count: Column, singular: str) -> Column:
+    """The verb as it goes with ``count``: irregular ones by list, else without ``es`` or ``s``."""
+    regular = singular.removesuffix("es") if singular.endswith("es") else singular.removesuffix("s")
+    return F.when(count == 1, singular).otherwise(IRREGULAR_VERBS.get(singular, regular))
+
+
 def comment_doc_prefix(text: Column) -> Column:
     """The word group after the name in the first ``// Package`` line starts with A-Z."""
     line = F.regexp_extract(text, r"(?m)^// Package ([^\n\r]*)", 1)

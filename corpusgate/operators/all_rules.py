@@ -17,6 +17,7 @@ class Policy:
 
     files: quality.FileLimits = field(default_factory=quality.FileLimits)
     functions: quality.FunctionLimits = field(default_factory=quality.FunctionLimits)
+    production_roots: tuple[str, ...] = ()
     file_roots: tuple[str, ...] = ()
     function_roots: tuple[str, ...] = ()
     ignored_prefixes: tuple[str, ...] = ()
@@ -49,7 +50,7 @@ def check(files: DataFrame, facts: DataFrame, rules: DataFrame, policy: Policy =
     """
     of_fact = {"file": "file_path", "function": "symbol_name", "line": "line_number"}
     messages = rules.where("enabled").select(F.concat(F.lit("custom."), F.col("id")).alias("rule_id"), "message").dropDuplicates(["rule_id"])
-    custom = contracts.rule_hits(files, rules).join(F.broadcast(messages), "rule_id", "left")
+    custom = contracts.rule_hits(files, rules, roots=policy.production_roots).join(F.broadcast(messages), "rule_id", "left")
     parts = [
         _row(quality.file_verdicts(files, facts, policy.files, policy.file_roots, policy.ignored_prefixes), "file-size", F.col("severity"), "file", F.format_string("%d lines, limits %d and %d", "lines", "warn", "most")),
         _row(quality.function_violations(facts, policy.functions, policy.function_roots), F.col("rule_id"), F.col("severity"), "file", F.col("message"), "function", "line"),

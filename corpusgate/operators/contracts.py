@@ -282,13 +282,14 @@ def needed_literal(pattern: str) -> str:
     return max(runs, key=len).lower()
 
 
-def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = MOST_RULES) -> DataFrame:
+def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = MOST_RULES, roots: tuple[str, ...] = ()) -> DataFrame:
     """``rel, line, rule_id, severity``: each line that matches an enabled rule in its scope, once per rule.
 
     One automaton over the literals that the patterns need picks the (line, rule) pairs to try, so
     the work does not grow with lines times rules; the patterns themselves decide. Patterns that
     need no literal are tried on every line of their scope. ``rules`` is a config table of at most
-    ``most_rules`` rows. A pattern that does not compile raises at once.
+    ``most_rules`` rows. A pattern that does not compile raises at once. With ``roots``, rules
+    without a glob look at files below them only.
     """
     rows = rules.where("enabled AND pattern IS NOT NULL AND pattern <> ''").select("id", "pattern", "severity", "language", "file_glob").limit(most_rules + 1).collect()
     if len(rows) > most_rules:
@@ -298,6 +299,10 @@ def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = MOST_RULES)
         re.compile(pattern)
     sent = files.sparkSession.sparkContext.broadcast(table)
     schema = "rel string, line int, rule_id string, severity string"
+    below = tuple(r.rstrip("/") + "/" for r in roots if r)
+
+    def inside(rel: str) -> bool:
+        return not below or rel.startswith(below)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
@@ -316,7 +321,7 @@ def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = MOST_RULES)
             out = []
             for rel, content in zip(pdf["rel"], pdf["content"]):
                 ext = re.search(r"(\.[^./]*)?$", rel).group().lower()
-                covered = {scope for scope, exts, glob in scopes if (exts is None or ext in exts) and (glob is None or glob.search(rel))}
+                covered = {scope for scope, exts, glob in scopes if (exts is None or ext in exts) and (inside(rel) if glob is None else glob.search(rel))}
                 low = folded(content)
                 hits = {i for _, ids in finder.iter(low) for i in ids} if by_literal else set()
                 tried = [i for i in sorted({*hits, *always}) if table[i][3] in covered]

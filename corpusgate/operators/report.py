@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgate.functions.severity import violation_rank
 from corpusgate.operators.skew import offset_numbers
+from corpusgate.session import materialize
 
 MILD = "function-quality.mild-ctx"
 
@@ -72,6 +73,19 @@ def group_starts(violations: DataFrame) -> DataFrame:
     return violations.groupBy("severity", "rule_id").agg(F.count("*").alias("rows"), first.alias("f")).select("severity", "rule_id", "rows", "f.file", "f.function", "f.line", "f.message")
 
 
+def grouped_report(violations: DataFrame, tie: str) -> DataFrame:
+    """``position, file, group, tie``: each violation once per place, rule and message, with the least position of its file; files print in the order of ``group``.
+
+    Of repeats the first by ``tie`` stays. Positions count the rows that are left, from 0.
+    """
+    same = ["file", "line", "function", "rule_id", "message"]
+    first = F.min(F.struct(violation_rank(F.col("severity")).alias("r"), F.col(tie).alias("t"), F.col("severity").alias("s")))
+    once = violations.groupBy(*same).agg(first.alias("f")).select(*same, F.col("f.s").alias("severity"), F.col("f.t").alias(tie))
+    placed = materialize(positions(once, tie).select("position", shown_file(F.col("file")).alias("file"), tie), "placed")
+    starts = placed.groupBy("file").agg(F.min("position").alias("group"))
+    return placed.join(starts, "file").select("position", "file", "group", tie)
+
+
 def shown_file(file: Column) -> Column:
     return F.when(file == "", "(repo)").otherwise(file)
 

@@ -954,6 +954,16 @@ def severity_overrides(spark: SparkSession, sf: str) -> DataFrame:
     return schema.violations(spark, sf).join(F.broadcast(rules), "rule_id").select("violation_id", S.override_covers(F.col("override"), F.col("severity")).alias("covered"))
 
 
+@registered(
+    f"""WITH {_V}, o AS (SELECT *, CASE severity WHEN 'error' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS rk FROM v),
+d AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY file, line, function, rule_id, message ORDER BY rk, violation_id) = 1),
+p AS (SELECT violation_id, CASE WHEN file = '' THEN '(repo)' ELSE file END AS file, row_number() OVER (ORDER BY rk, rule_id, file, function, line, message, violation_id) - 1 AS position FROM d)
+SELECT position, file, min(position) OVER (PARTITION BY file) AS "group", violation_id FROM p"""
+)
+def grouped_report(spark: SparkSession, sf: str) -> DataFrame:
+    return report.grouped_report(schema.violations(spark, sf), "violation_id")
+
+
 # All rules in one run
 
 _POLICY = all_rules.Policy(

@@ -107,6 +107,16 @@ def test_roots_skips_and_renames(spark):
     assert structure.renamed_modules(go, "", "", "x").count() == 0
 
 
+def test_production_roots_and_verbs(spark):
+    from corpusgate.functions import text as T
+
+    files = spark.createDataFrame([("a/x.go", "hit"), ("ab/x.go", "hit"), ("c/x.go", "hit")], FILES)
+    rules = spark.createDataFrame([("all", "m", "hit", "warn", "", "", True), ("glob", "m", "hit", "warn", "c/*.go", "", True)], "id string, message string, pattern string, severity string, file_glob string, language string, enabled boolean")
+    assert pytest.rows(contracts.rule_hits(files, rules, roots=("a",)), "rel", "rule_id") == [("a/x.go", "custom.all"), ("c/x.go", "custom.glob")]
+    verbs = spark.range(1).select(*[T.plural_verb(F.lit(n), v) for v in ("has", "fixes", "runs") for n in (1, 2)]).first()
+    assert tuple(verbs) == ("has", "have", "fixes", "fix", "runs", "run")
+
+
 def test_all_rules_over_nothing(spark):
     rules = spark.createDataFrame([], "id string, message string, pattern string, severity string, file_glob string, language string, enabled boolean")
     facts = spark.createDataFrame([], "fact_id long, " + FACT)
