@@ -537,12 +537,14 @@ def secret_entropy(spark: SparkSession, sf: str) -> DataFrame:
 _EXTS = "(lower(r.language) IN ('', 'any') OR (lower(r.language) = 'go' AND ext = '.go') OR (lower(r.language) = 'python' AND ext = '.py') OR (lower(r.language) = 'typescript' AND ext IN ('.ts', '.tsx')))"
 
 
-# The given patterns mean the same in both dialects.
+# The given patterns mean the same in both dialects. None looks at a text's ends, so a line can only match where its file does.
 @registered(
     f"""WITH {_FILES}, {_LINES}, r AS (SELECT id, pattern, coalesce(severity, '') AS severity, coalesce(language, '') AS language, coalesce(file_glob, '') AS file_glob FROM custom_rules WHERE enabled AND pattern <> ''),
-t AS (SELECT rel, line, text, lower(regexp_extract(rel, '(\\.[^./]*)$', 1)) AS ext FROM ln)
-SELECT rel, CAST(line AS INTEGER) AS line, 'custom.' || id AS rule_id, severity FROM t JOIN r ON {_EXTS}
-AND (file_glob = '' OR regexp_full_match(rel, replace(replace(replace(replace(file_glob, '.', '\\.'), '**', chr(1)), '*', '[^/]*'), chr(1), '.*'))) AND regexp_matches(text, pattern)"""
+t AS (SELECT rel, string_agg(text, chr(10) ORDER BY line) AS content, lower(regexp_extract(rel, '(\\.[^./]*)$', 1)) AS ext FROM ln GROUP BY rel),
+sc AS MATERIALIZED (SELECT rel, content, id, pattern, severity FROM t JOIN r ON {_EXTS}
+AND (file_glob = '' OR regexp_full_match(rel, replace(replace(replace(replace(file_glob, '.', '\\.'), '**', chr(1)), '*', '[^/]*'), chr(1), '.*')))),
+fit AS MATERIALIZED (SELECT rel, id, pattern, severity FROM sc WHERE regexp_matches(content, '(?m)' || pattern))
+SELECT rel, CAST(line AS INTEGER) AS line, 'custom.' || id AS rule_id, severity FROM fit JOIN ln USING (rel) WHERE regexp_matches(text, pattern)"""
 )
 def custom_rule_hits(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.rule_hits(schema.files(spark, sf), read_table(spark, sf, "custom_rules"))
