@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 from re import _parser
 
 import pandas as pd
@@ -223,18 +225,17 @@ def secret_findings(
 LANGUAGE_EXTENSIONS = {"go": [".go"], "python": [".py"], "typescript": [".ts", ".tsx"]}
 
 
-#: Most rules of a config table; the scopes that are broadcast are no more.
-MOST_RULES = 100_000
+#: Rules, or scopes of rules, in one broadcast; more of them take one more pass each.
+BLOCK_RULES = 100_000
 
 
-def scope_matches(rules: DataFrame, files: DataFrame) -> DataFrame:
+def scope_matches(rules: DataFrame, files: DataFrame, block_rules: int = BLOCK_RULES) -> DataFrame:
     """``language, file_glob, rel``: the files that each distinct scope of enabled rules covers.
 
-    Rules share few scopes, so the pairs are (scope, file), not (rule, file); the scopes are a
-    config table. An empty or ``any`` language covers all files, an unknown one is an extension.
+    Rules share few scopes, so the pairs are (scope, file), not (rule, file). The distinct scopes
+    are broadcast in blocks of about ``block_rules``, each of them one pass over the paths. An
+    empty or ``any`` language covers all files, an unknown one is an extension.
     """
-    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} custom rules")
     scopes = rules.where("enabled").select(F.coalesce("language", F.lit("")).alias("language"), F.coalesce("file_glob", F.lit("")).alias("file_glob")).distinct()
     low = F.lower("language")
     wanted = F.when(low.isin("", "any"), F.lit(None)).otherwise(F.array(F.concat(F.lit("."), low)))
@@ -243,7 +244,9 @@ def scope_matches(rules: DataFrame, files: DataFrame) -> DataFrame:
     scoped = scopes.select("language", "file_glob", wanted.alias("__exts"), glob_regex_column(F.col("file_glob")).alias("__glob"))
     paths = files.select("rel", extension(F.col("rel")).alias("__ext"))
     fits = (F.col("__exts").isNull() | F.array_contains("__exts", F.col("__ext"))) & ((F.col("__glob") == "") | F.expr("rel RLIKE __glob"))
-    return paths.join(F.broadcast(scoped), fits).select("language", "file_glob", "rel")
+    blocks = max(1, -(-scopes.count() // block_rules))
+    block = F.pmod(F.xxhash64("language", "file_glob"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [paths.join(F.broadcast(scoped.where(block == b)), fits).select("language", "file_glob", "rel") for b in range(blocks)])
 
 
 def scope_test(language: str, file_glob: str) -> tuple[list[str] | None, re.Pattern | None]:
@@ -282,21 +285,28 @@ def needed_literal(pattern: str) -> str:
     return max(runs, key=len).lower()
 
 
-def rule_hits(files: DataFrame, rules: DataFrame, most_rules: int = MOST_RULES, roots: tuple[str, ...] = ()) -> DataFrame:
+def rule_hits(files: DataFrame, rules: DataFrame, block_rules: int = BLOCK_RULES, roots: tuple[str, ...] = ()) -> DataFrame:
     """``rel, line, rule_id, severity``: each line that matches an enabled rule in its scope, once per rule.
 
     One automaton over the literals that the patterns need picks the (line, rule) pairs to try, so
     the work does not grow with lines times rules; the patterns themselves decide. Patterns that
-    need no literal are tried on every line of their scope. ``rules`` is a config table of at most
-    ``most_rules`` rows. A pattern that does not compile raises at once. With ``roots``, rules
-    without a glob look at files below them only.
+    need no literal are tried on every line of their scope. ``rules`` is a config table; each
+    ``block_rules`` of its rows are one automaton and one pass over the files. A pattern that does
+    not compile raises at once; no rules give no rows. With ``roots``, rules without a glob look at
+    files below them only.
     """
-    rows = rules.where("enabled AND pattern IS NOT NULL AND pattern <> ''").select("id", "pattern", "severity", "language", "file_glob").limit(most_rules + 1).collect()
-    if len(rows) > most_rules:
-        raise ValueError(f"more than {most_rules} custom rules")
-    table = [(r.id, r.pattern, r.severity or "", (r.language or "", r.file_glob or ""), needed_literal(r.pattern)) for r in rows]
-    for _, pattern, *_ in table:
-        re.compile(pattern)
+    rows = rules.where("enabled AND pattern IS NOT NULL AND pattern <> ''").select("id", "pattern", "severity", "language", "file_glob").toLocalIterator()
+    parts = []
+    while block := list(islice(rows, block_rules)):
+        table = [(r.id, r.pattern, r.severity or "", (r.language or "", r.file_glob or ""), needed_literal(r.pattern)) for r in block]
+        for _, pattern, *_ in table:
+            re.compile(pattern)
+        parts.append(_table_hits(files, table, roots))
+    return reduce(DataFrame.unionByName, parts) if parts else _table_hits(files.limit(0), [], roots)
+
+
+def _table_hits(files: DataFrame, table: list[tuple], roots: tuple[str, ...]) -> DataFrame:
+    """The hits of the rules of ``table``: id, pattern, severity, scope and needed literal of each."""
     sent = files.sparkSession.sparkContext.broadcast(table)
     schema = "rel string, line int, rule_id string, severity string"
     below = tuple(r.rstrip("/") + "/" for r in roots if r)

@@ -208,6 +208,20 @@ def test_escaped_signs_are_part_of_the_needed_text(spark):
     assert contracts.needed_literal(r"\bbatch\.Fact\(") == "batch.fact("
 
 
+def test_rules_in_blocks_hit_what_they_hit_at_once(spark):
+    schema = "id string, message string, pattern string, severity string, file_glob string, language string, enabled boolean"
+    rows = [("a", "m", "fmt", "warn", "", "go", True), ("b", "m", "^x", "error", None, None, True), ("c", "m", "os", "warn", "cmd/*.go", "any", True), ("d", "m", "fmt", "warn", "", "", False), ("e", "m", None, "warn", "", "", True), ("f", "m", "print", None, "", "python", True)]
+    rules = spark.createDataFrame(rows, schema)
+    files = spark.createDataFrame([("cmd/a.go", "fmt os\nx fmt"), ("b.py", "x print\nfmt"), ("c.go", "os"), ("d.go", ""), ("e.go", None), (None, "fmt")], "rel string, content string")
+    want = [("b.py", 1, "custom.b", "error"), ("b.py", 1, "custom.f", ""), ("cmd/a.go", 1, "custom.a", "warn"), ("cmd/a.go", 1, "custom.c", "warn"), ("cmd/a.go", 2, "custom.a", "warn"), ("cmd/a.go", 2, "custom.b", "error")]
+    for block in (1, 2, 100):
+        assert pytest.rows(contracts.rule_hits(files, rules, block)) == want
+    assert pytest.rows(contracts.rule_hits(files, rules.where("false"))) == []
+    paths = files.where("rel IS NOT NULL")
+    assert pytest.rows(contracts.scope_matches(rules, paths, 1)) == pytest.rows(contracts.scope_matches(rules, paths)) and contracts.scope_matches(rules, paths).count() > 5
+    assert pytest.rows(contracts.scope_matches(rules.where("false"), paths)) == []
+
+
 def test_calls_words_secrets(spark):
     files = spark.createDataFrame([("a.go", 'x := os.Exit(1) // fmt.Println(2)\ns := "os.Getenv(3)"'), ("cmd/b.go", "os.Exit(1)")], "rel string, content string")
     assert pytest.rows(contracts.forbidden_calls(files, ["os.Exit", "fmt.Println"], "restrict", ("cmd",))) == [("a.go", "os.Exit")]
