@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 #: Least number of consecutive words that count as a leak.
 WORDS = 13
-#: Words of the items in one automaton: bounds it to about 200 MB in a process.
-BLOCK_WORDS = 2_000_000
+#: Words of the items in one automaton: bounds it to about 100 MB in a process, and its words to fewer than the alphabet has letters.
+BLOCK_WORDS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 #: The automaton's alphabet begins here; the characters before stand for no word of an item.
 _FIRST, _OTHER = 0x100, "\x00"
 _SURROGATES = range(0xD800, 0xE000)
+#: Distinct words that one automaton can tell apart.
+LETTERS = 0x110000 - _FIRST - len(_SURROGATES)
 
 
 def _letters() -> Iterator[str]:
@@ -133,10 +135,16 @@ class Passages:
 
 
 def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most ``block_words`` words, an item with more being its own block."""
+    """The items in blocks of at most ``block_words`` words, an item with more being its own block.
+
+    A single item of more distinct words than the alphabet has letters (1,111,808) raises here.
+    """
     block, size = [], 0
     for row in items.select("item_id", "item_text").where("item_id IS NOT NULL AND item_text IS NOT NULL").distinct().orderBy("item_id").toLocalIterator():
-        n = len(words_of(row.item_text))
+        listed = words_of(row.item_text)
+        n = len(listed)
+        if n > LETTERS and len(set(listed)) > LETTERS:
+            raise ValueError(f"item {row.item_id} has more than {LETTERS} distinct words")
         if block and size + n > block_words:
             yield block
             block, size = [], 0

@@ -26,6 +26,14 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaked_items(d.limit(0), i).count() == 0 and leakage.leaked_items(d, i.limit(0)).count() == 0
 
 
+def test_items_are_cut_into_blocks_that_the_alphabet_can_tell_apart(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "a b c d"), (2, "e f g"), (3, "h"), (4, None), (None, "i j")], "item_id long, item_text string")
+    assert [[i for i, _ in b] for b in leakage.item_blocks(items, 4)] == [[1], [2, 3]] and leakage.BLOCK_WORDS <= leakage.LETTERS
+    monkeypatch.setattr(leakage, "LETTERS", 3)
+    with pytest.raises(ValueError, match="item 1 has more than 3 distinct words"):
+        list(leakage.item_blocks(items, 4))
+
+
 def test_spans_map_to_the_original_text(spark):
     passage = "one Two_three, FOUR five-six seven"
     p = leakage.Passages([(1, "zero one two three four five six seven eight")], 5)
